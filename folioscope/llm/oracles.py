@@ -44,3 +44,29 @@ SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (n_words - n_removed_words < CAST(0.2 AS DOUBLE) * n_words) AS kept
 FROM f
 """
+
+SQL["op7_decontamination"] = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+p AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS x FROM (SELECT *, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM p),
+g AS (SELECT k, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS x FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+hit AS (SELECT k, i, g.n, item_id FROM g JOIN p ON g.x = p.x AND g.n = p.n),
+words AS (SELECT k, count(DISTINCT j) AS n FROM (SELECT k, unnest(range(i, i + n)) AS j FROM hit) GROUP BY k),
+items AS (SELECT k, count(*) AS n, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items.s, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (k) LEFT JOIN items USING (k)
+"""
+
+SQL["op5_warc_normaliser"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT page_id, html, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+h AS (SELECT *, sha1(html) AS x FROM f)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((
+    (CAST(('0x' || substr(x || '00', 1 + 2 * CAST(i * 5 // 8 AS INT), 4)) AS INTEGER) >> CAST(11 - (i * 5) % 8 AS INT)) & 31) AS INT), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM h
+"""

@@ -7,10 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat, quality
+from folioscope.llm import chat, decontaminate, quality, sstable, warc
 from folioscope.llm.common import table
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public vocabulary file, the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_sorted_string_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.write_and_read(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
+
+
+def op5_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write_and_read(table(spark, sf_dir, "pages"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -22,7 +41,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_quality_rules": op8_quality_rules, "op10_chat_formatting": op10_chat_formatting}
+    return {f.__name__: f for f in (op2_sorted_string_table, op5_warc_normaliser, op7_decontamination, op8_quality_rules, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
