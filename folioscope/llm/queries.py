@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat, decontaminate, quality, sstable, warc
+from folioscope.llm import chat, decontaminate, neardup, quality, sstable, warc
 from folioscope.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op2_sorted_string_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.write_and_read(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write_and_read(table(spark, sf_dir, "pages"))
 
@@ -41,7 +45,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sorted_string_table, op5_warc_normaliser, op7_decontamination, op8_quality_rules, op10_chat_formatting)}
+    return {f.__name__: f for f in (op2_sorted_string_table, op4_superminhash, op5_warc_normaliser, op7_decontamination, op8_quality_rules, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
