@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat, decontaminate, neardup, quality, sstable, warc
+from folioscope.llm import chat, decontaminate, neardup, quality, sstable, substring, warc
 from folioscope.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
@@ -45,7 +49,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sorted_string_table, op4_superminhash, op5_warc_normaliser, op7_decontamination, op8_quality_rules, op10_chat_formatting)}
+    return {f.__name__: f for f in (op2_sorted_string_table, op4_superminhash, op5_warc_normaliser, op7_decontamination, op8_quality_rules, op9_substring_dedup, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
