@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat, decontaminate, neardup, quality, sstable, substring, warc
+from folioscope.llm import chat, decontaminate, neardup, quality, sstable, substring, toxicity, warc
 from folioscope.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write_and_read(table(spark, sf_dir, "pages"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.fit_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,7 +53,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sorted_string_table, op4_superminhash, op5_warc_normaliser, op7_decontamination, op8_quality_rules, op9_substring_dedup, op10_chat_formatting)}
+    return {f.__name__: f for f in (op2_sorted_string_table, op4_superminhash, op5_warc_normaliser, op6_toxicity, op7_decontamination, op8_quality_rules, op9_substring_dedup, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
