@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat, decontaminate, neardup, quality, sstable, substring, toxicity, warc
+from folioscope.llm import bpe, chat, decontaminate, mainart, neardup, quality, sstable, substring, toxicity, warc
 from folioscope.llm.common import table
 
 
@@ -18,10 +19,29 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+@functools.cache
+def rank_map() -> bpe.RankMap:
+    return bpe.RankMap.read(vocabulary("byte_bpe_multi_50k.tiktoken"))
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.report(table(spark, sf_dir, "documents"), rank_map(), pattern())
+
+
 def op2_sorted_string_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.write_and_read(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op3_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainart.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,7 +73,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sorted_string_table, op4_superminhash, op5_warc_normaliser, op6_toxicity, op7_decontamination, op8_quality_rules, op9_substring_dedup, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_sorted_string_table, op3_page_differencing, op4_superminhash, op5_warc_normaliser, op6_toxicity, op7_decontamination, op8_quality_rules, op9_substring_dedup, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
