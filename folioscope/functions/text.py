@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +30,11 @@ def _decompositions(form: str) -> tuple[str, str]:
 _CANONICAL, _COMPATIBLE = _decompositions("NFD"), _decompositions("NFKD")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, also where body uses it inside another higher-order function."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
@@ -93,8 +98,18 @@ def without_words(found: Column, words: Sequence[str]) -> Column:
 
 def ngrams(found: Column, low: int, high: int) -> Column:
     """All runs of low to high tokens, joined by a space (n-grams of the filtered sequence)."""
-    runs = [F.when(F.size(found) >= n, F.transform(F.sequence(F.lit(1), F.size(found) - (n - 1)), lambda i, n=n: F.array_join(F.slice(found, i, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
-    return runs[0] if len(runs) == 1 else F.concat(*runs)
+    if (low, high) == (1, 1):
+        return found
+
+    def run(t: Column, n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    def runs(t: Column) -> Column:
+        parts = [run(t, n) for n in range(low, high + 1)]
+        return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+    return let(found, runs)
 
 
 def has_keyword(text: Column, keywords: Sequence[str] = SECTION_KEYWORDS) -> Column:
@@ -114,17 +129,18 @@ def citation_page(quote: Column, text: Column) -> Column:
 
     Both are folded by T4; pages are folded one by one, and the page is the first whose folded end reaches the hit.
     """
-    folded, needle = fold_citation(text), fold_citation(quote)
-    at = F.locate(needle, folded) if isinstance(needle, str) else F.position(needle, folded)
-    lengths = F.transform(F.split(text, "\n"), lambda p: F.char_length(fold_citation(p)))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("page"), F.lit(0).alias("found"))
 
-    def step(s: Column, n: Column) -> Column:
+    def step(s: Column, n: Column, at: Column) -> Column:
         end = s["end"] + F.when(n > 0, n + F.when(s["end"] > 0, 1).otherwise(0)).otherwise(0)
         page = s["page"] + 1
         return F.struct(end.alias("end"), page.alias("page"), F.when((s["found"] == 0) & (end >= at), page).otherwise(s["found"]).alias("found"))
 
-    return F.when((needle != "") & (at > 0), F.aggregate(lengths, zero, step, lambda s: s["found"]))
+    def page_of(at: Column) -> Column:
+        lengths = F.transform(F.split(text, "\n"), lambda p: F.char_length(fold_citation(p)))
+        return F.when(at > 0, F.aggregate(lengths, zero, lambda s, n: step(s, n, at), lambda s: s["found"]))
+
+    return let(fold_citation(quote), lambda needle: F.when(needle != "", let(F.position(needle, fold_citation(text)), page_of)))
 
 
 def evidence(text: Column, position: Column, length: Column, window: int) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import dictionaries as D
-from folioscope.functions.text import alternation, anchor_evidence, evidence, fold_collapsed, python_fold
+from folioscope.functions.text import alternation, anchor_evidence, evidence, fold_collapsed, let, python_fold
 
 
 def dating(years: Column, order: Sequence[str] = D.DATING_ORDER) -> Column:
@@ -34,7 +34,7 @@ def signal_array(signals: Sequence[str], dimensions: dict[str, Sequence[str]]) -
 
 def matched(text: Column, signals: Column) -> Column:
     """The signals that occur as whole tokens in a folded text."""
-    return F.filter(signals, lambda s: text.rlike(s["re"]))
+    return let(text, lambda t: F.filter(signals, lambda s: t.rlike(s["re"])))
 
 
 def classify(rows: DataFrame, signals: Sequence[str], dimensions: dict[str, Sequence[str]], text: str = "text", anchor: str = "anchor") -> DataFrame:
@@ -57,8 +57,10 @@ def classify(rows: DataFrame, signals: Sequence[str], dimensions: dict[str, Sequ
 def axis3(text: Column, triggers: Sequence[str] = D.AXIS3_TRIGGERS, targets: Sequence[str] = D.AXIS3_TARGETS, required: Sequence[str] = D.AXIS3_REQUIRED, vetoed: Sequence[str] = D.AXIS3_VETOED, window: int = D.EVIDENCE_WINDOW) -> Column:
     """E5: struct<code, signals, evidence>. Substantive (a trigger and a target) before instrumental (all required and none
     vetoed) before silence; the evidence surrounds the first pattern in the dictionary's order."""
-    plain = fold_collapsed(F.coalesce(text, F.lit("")))
+    return let(fold_collapsed(F.coalesce(text, F.lit(""))), lambda plain: _axis3(text, plain, triggers, targets, required, vetoed, window))
 
+
+def _axis3(text: Column, plain: Column, triggers: Sequence[str], targets: Sequence[str], required: Sequence[str], vetoed: Sequence[str], window: int) -> Column:
     def first(terms: Sequence[str]) -> Column:
         return F.coalesce(*[F.when(plain.rlike(alternation([python_fold(t)])), F.struct(F.lit(t).alias("term"), F.lit(alternation([python_fold(t)])).alias("re"))) for t in terms])
 

@@ -56,7 +56,6 @@ on_catalog("effective_queue_row", lambda c: C.effective_queue(c.queue), "SELECT
 on_catalog("excluded_count", lambda c: C.excluded_count(c, year=2019), "SELECT count(*) AS n_excluded FROM base WHERE excluded")
 on_catalog("year_source_summary", lambda c: C.year_sources(C.listing(c)), "SELECT year_source, count(*) AS n FROM base WHERE NOT excluded GROUP BY 1")
 on_catalog("coverage_matrix", C.coverage, "SELECT * FROM coverage")
-STAGES_SQL = ", ".join(f"('{s}', sum({s}))" for s in ("n_docs", *C.STAGES))
 on_catalog("coverage_funnel", lambda c: C.funnel(C.coverage(c)), f""", t AS (SELECT unnest([{', '.join(f"{{'stage': '{s}', 'n': sum({s})}}" for s in ('n_docs', *C.STAGES))}]) AS x, greatest(sum(n_docs), 1) AS total FROM coverage)
 SELECT x.stage AS stage, CAST(x.n AS BIGINT) AS n, round(CAST(100 * x.n AS DOUBLE) / CAST(total AS DOUBLE), 1) AS pct FROM t""")
 BY_INSTITUTION = """SELECT institution, CAST(sum(n_docs) AS BIGINT) AS n_docs, CAST(sum(textuados) AS BIGINT) AS textuados, CAST(sum(datados) AS BIGINT) AS datados, CAST(sum(classificados_l1) AS BIGINT) AS classificados_l1,
@@ -140,7 +139,6 @@ query("host_scope", f"WITH p AS (SELECT page_id, url, {HOST} AS host FROM pages)
     lambda spark, d: (lambda p: stages.host_scope(p.select("page_id", "url"), p.where("page_id % 3 = 0").groupBy((F.col("page_id") % 7).alias("portal_id")).agg(F.collect_set("url").alias("urls"))))(model.table(spark, d, "pages"))
 )
 on_table("slug", "pages", lambda p: p.select("page_id", urls.slug(F.col("url")).alias("slug")), r"SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(lower(list_last(string_split(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/'))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'documento') AS slug FROM pages")
-LINKED = "concat('https://h.org/', ['editais', 'chamada-x', 'docs', 'a/b.pdf', 'noticias'][1 + doc_id % 5], '/', doc_id % 3)"
 on_table(
     "link_classify",
     "documents",
@@ -166,8 +164,9 @@ on_table("scanned_flag", "documents", lambda d: d.select("doc_id", rules.scanned
 
 
 def _ngram_sql(low: int, high: int) -> str:
-    parts = [f"SELECT doc_id, institution, year, unnest(list_transform(range(1, greatest(len(w) - {n} + 2, 1)), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS term FROM toks" for n in range(low, high + 1)]
-    return ", terms AS (SELECT * FROM (" + " UNION ALL ".join(parts) + r") WHERE NOT regexp_matches(term, '\p{Nd}')) "
+    joined = lambda n: "t" + "".join(f" || ' ' || lead(t, {k}) OVER d" for k in range(1, n))
+    parts = [f"SELECT doc_id, institution, year, {joined(n)} AS term FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)" for n in range(low, high + 1)]
+    return ", words AS (SELECT doc_id, institution, year, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS i FROM toks), terms AS (SELECT * FROM (" + " UNION ALL ".join(parts) + r") WHERE term IS NOT NULL AND NOT regexp_matches(term, '\p{Nd}')) "
 
 
 for _low, _high in ((1, 1), (1, 2), (1, 3), (2, 2)):
