@@ -8,11 +8,11 @@ lowers the variance against independent hashes. All texts of a chunk are process
 The way to components:
 
 1. documents with equal shingle sets are one class, represented by the smallest id (partial sums, no pairs);
-2. representatives share a bucket where a band of ROWS slots agrees; in every bucket each is paired with the smallest
-   one (a star, linear in the bucket), filtered by the signatures' estimate and confirmed on the full sets;
-3. components are contracted; buckets that still hold several components compare only documents of different
-   components, in tiles of TILE documents, so no task gets a whole hot bucket, and pairs inside a component, nearly all
-   in a group of copies, are never made;
+2. representatives share a bucket where a band of ROWS slots agrees; each is paired with one head, the bucket's smallest
+   document that it meets most often, and the pair is confirmed on the full sets: a pair a document, whatever the group;
+3. components are contracted; buckets that still hold several components compare all their documents of different
+   components, in tiles of TILE documents, so no task gets a whole hot bucket; pairs are compared on the full sets
+   inside the task and are never rows, and a task returns only links that join components;
 4. the confirmed links of both rounds give the components.
 
 A pair with similarity 0.75 shares none of the 32 bands of 4 with probability 5e-6, and its estimate falls below
@@ -39,7 +39,7 @@ SLOTS, BANDS = 128, 32
 ROWS = SLOTS // BANDS
 PERCENT = 75
 MIN_AGREE = 76
-TILE = 512
+TILE = 1500
 _C = [U64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
@@ -150,10 +150,22 @@ def agreeing(pairs: DataFrame, representatives: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "u long, u_tie long, v long, v_tie long")
 
 
+#: Documents (16 bytes each) up to which a list of them is broadcast; beyond it Spark joins by shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, tie and text of the documents in ids (id, tie), each once."""
+    ids = written(ids.distinct())
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, ["id", "tie"], "left_semi").dropDuplicates(["id", "tie"])
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The links u, v among the pairs: those with 100 * intersection >= percent * union on full sets."""
-    ids = pairs.select(F.col("u").alias("id"), F.col("u_tie").alias("tie")).unionByName(pairs.select(F.col("v").alias("id"), F.col("v_tie").alias("tie"))).distinct()
-    texts = written(docs.join(ids, ["id", "tie"], "left_semi").dropDuplicates(["id", "tie"]))
+    ids = pairs.select(F.col("u").alias("id"), F.col("u_tie").alias("tie")).unionByName(pairs.select(F.col("v").alias("id"), F.col("v_tie").alias("tie")))
+    texts = written(texts_of(docs, ids))
     for side in "uv":
         pairs = pairs.join(texts.select(F.col("id").alias(side), F.col("tie").alias(f"{side}_tie"), F.col("text").alias(f"{side}_text")), [side, f"{side}_tie"])
 
@@ -180,17 +192,21 @@ def full_set(text: str) -> np.ndarray:
 
 
 def star_pairs(buckets: DataFrame) -> DataFrame:
-    """Each document of a bucket with the bucket's smallest one. buckets: key, id, tie."""
+    """Each document with one head: of the smallest ones of its buckets, the one it shares most buckets with.
+
+    buckets: key, id, tie. At most a pair a document, however large the buckets.
+    """
     heads = buckets.groupBy("key").agg(F.min(F.struct("id", "tie")).alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-    pairs = buckets.join(heads, "key").where(F.col("id") != F.col("head.id"))
-    return pairs.select(F.col("head.id").alias("u"), F.col("head.tie").alias("u_tie"), F.col("id").alias("v"), F.col("tie").alias("v_tie")).distinct()
+    met = buckets.join(heads, "key").where(F.col("id") != F.col("head.id")).groupBy("id", "tie", "head").agg(F.count("*").alias("n"))
+    best = met.groupBy("id", "tie").agg(F.max_by("head", F.struct("n", -F.col("head.id"))).alias("head"))
+    return best.select(F.col("head.id").alias("u"), F.col("head.tie").alias("u_tie"), F.col("id").alias("v"), F.col("tie").alias("v_tie"))
 
 
-def cross_pairs(buckets: DataFrame, components: DataFrame, representatives: DataFrame) -> DataFrame:
-    """Pairs of documents in one bucket, but of different components, whose signatures agree enough.
+def tiled(buckets: DataFrame, components: DataFrame, representatives: DataFrame) -> DataFrame:
+    """The documents of buckets with several components, dealt out to pairs of tiles (key, p, q).
 
-    The largest component of a bucket is side 0, the rest is side 1; each side is dealt out to tiles. Tiles of side 1
-    meet all tiles; two tiles of side 0 never meet.
+    The largest component of a bucket is side 0, the rest is side 1; each side has tiles of about TILE documents. Tiles
+    of side 1 meet all tiles; two tiles of side 0 never meet.
     """
     placed = buckets.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
@@ -202,29 +218,84 @@ def cross_pairs(buckets: DataFrame, components: DataFrame, representatives: Data
     met = lambda side, n: F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.lit(side).alias("s"), k.alias("k")))
     partners = F.when(F.col("side") == 0, met(1, F.col("tiles_1"))).otherwise(F.concat(met(0, F.col("tiles_0")), met(1, F.col("tiles_1"))))
     dealt = own.select("key", "id", "tie", "component", F.struct(F.col("side").alias("s"), F.col("tile").alias("k")).alias("me"), F.explode(partners).alias("other"))
-    dealt = dealt.select("key", "id", "tie", "component", F.least("me", "other").alias("p"), F.greatest("me", "other").alias("q"), F.col("me.s").alias("side"), F.col("me.k").alias("tile"))
-    dealt = dealt.join(representatives.select("id", "tie", "short"), ["id", "tie"])
-
-    def run(group: pa.Table) -> pa.Table:
-        ids, ties, comp = (group.column(c).to_numpy() for c in ("id", "tie", "component"))
-        short = np.frombuffer(b"".join(group.column("short").to_pylist()), np.uint8).reshape(-1, SLOTS)
-        p = group.column("p")[0].as_py()
-        first = (group.column("side").to_numpy() == p["s"]) & (group.column("tile").to_numpy() == p["k"])
-        left = np.flatnonzero(first)
-        right = np.flatnonzero(~first) if not first.all() else left
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for i in left:
-            rest = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (right is not left))]
-            rest = rest[(short[rest] == short[i]).sum(axis=1) >= MIN_AGREE]
+    return dealt.select("key", "id", "tie", "component", F.least("me", "other").alias("p"), F.greatest("me", "other").alias("q"), (F.col("me") != F.least("me", "other")).alias("second"))
+
+
+def _candidates(group: pa.Table, short: np.ndarray, bands: np.ndarray):
+    """(a document, those to compare it with) in a pair of tiles: of other components, agreeing, first met here."""
+    ids, comp = (group.column(c).to_numpy() for c in ("id", "component"))
+    second, key = group.column("second").to_numpy(), group.column("key")[0].as_py()
+    left = np.flatnonzero(~second)
+    right = np.flatnonzero(second) if second.any() else left
+    for i in left:
+        rest = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (right is not left))]
+        rest = rest[(short[rest] == short[i]).sum(axis=1) >= MIN_AGREE]
+        if len(rest):
+            same = bands[rest] == bands[i]
+            rest = rest[bands[rest, same.argmax(axis=1)] == key]
             if len(rest):
-                found.append((np.full(len(rest), i), rest))
-        a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        swap = ids[a] > ids[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        return pa.table({"u": ids[a], "u_tie": ties[a], "v": ids[b], "v_tie": ties[b]})
+                yield i, rest
 
-    pairs = dealt.groupBy("key", "p", "q").applyInArrow(run, "u long, u_tie long, v long, v_tie long")
-    return pairs.where("u <> v").distinct()
+
+def _signs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(group.column("short").to_pylist()), np.uint8).reshape(-1, SLOTS), group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+
+
+def crossing_links(buckets: DataFrame, components: DataFrame, representatives: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links between documents of different components that share a bucket, enough to connect all that are linked.
+
+    First the signatures alone tell which documents of a pair of tiles have a candidate there; then the texts of just
+    these come, and sets are compared inside the task: no pair is ever a row. Links that join what the task has joined
+    already are left out, so a task returns fewer links than it has documents.
+    """
+    signed = representatives.select("id", "tie", "short", "bands")
+    dealt = tiled(buckets, components, representatives).join(signed, ["id", "tie"])
+    names = ["key", "p", "q", "id", "tie", "component", "second"]
+
+    def worth(group: pa.Table) -> pa.Table:
+        keep = np.zeros(group.num_rows, bool)
+        for i, rest in _candidates(group, *_signs(group)):
+            keep[i] = True
+            keep[rest] = True
+        return group.select(names).filter(pa.array(keep))
+
+    place = "struct<s:int,k:int>"
+    left = written(dealt.groupBy("key", "p", "q").applyInArrow(worth, f"key long, p {place}, q {place}, id long, tie long, component long, second boolean"))
+    if left.isEmpty():
+        return docs.sparkSession.createDataFrame([], "u long, v long")
+    texts = texts_of(docs, left.select("id", "tie"))
+    full = left.join(signed, ["id", "tie"]).join(texts, ["id", "tie"])
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids, comp = group.column("id").to_numpy(), group.column("component").to_pylist()
+        sets = [full_set(t) for t in group.column("text").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        _, dense = np.unique(np.concatenate(sets), return_inverse=True)
+        marks = np.zeros(dense.max() + 1 if len(dense) else 1, bool)
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        u, v = [], []
+        for i, rest in _candidates(group, *_signs(group)):
+            rest = [j for j in rest.tolist() if root(comp[j]) != root(comp[i])]
+            if not rest:
+                continue
+            marks[dense[ends[i] : ends[i + 1]]] = True
+            for j in rest:
+                both = int(marks[dense[ends[j] : ends[j + 1]]].sum())
+                if 100 * both >= percent * (sizes[i] + sizes[j] - both) and root(comp[j]) != root(comp[i]):
+                    parent[root(comp[j])] = root(comp[i])
+                    u.append(ids[i])
+                    v.append(ids[j])
+            marks[dense[ends[i] : ends[i + 1]]] = False
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return full.groupBy("key", "p", "q").applyInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -241,10 +312,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     same_set = made.join(classes.select("set_a", "set_b", "n_shingles", F.col("id").alias("v")), ["set_a", "set_b", "n_shingles"]).select(F.col("id").alias("u"), "v").where("u <> v")
     stars = written(confirmed(written(agreeing(star_pairs(buckets), classes)), own, percent))
     first = connected(stars)
-    crossing = written(cross_pairs(buckets, first, classes))
-    links = stars.unionByName(same_set)
-    if not crossing.isEmpty():
-        links = links.unionByName(written(confirmed(crossing, own, percent)))
+    links = stars.unionByName(same_set).unionByName(written(crossing_links(buckets, first, classes, own, percent)))
     final = connected(links)
     out = made.select(F.col("id").alias("doc_id"), "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
