@@ -19,7 +19,7 @@ TOKEN = r"(?U)\b[^\W\d_]\w+\b"
 def _decompositions(form: str) -> tuple[str, str]:
     """Lower-case letters that decompose into one base character and marks, and their bases: a rule, not a list."""
     pairs = []
-    for code in (*range(0xC0, 0x250), *range(0x370, 0x400), *range(0x1E00, 0x2000)):
+    for code in (*range(0xA0, 0x250), *range(0x370, 0x400), *range(0x1E00, 0x2000)):
         c = chr(code)
         base = "".join(x for x in unicodedata.normalize(form, c) if not unicodedata.combining(x))
         if len(base) == 1 and base != c and c == c.lower():

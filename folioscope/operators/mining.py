@@ -87,11 +87,12 @@ def signal_pattern(signal: str, bigrams: bool = True) -> str:
 
 
 def signals(corpus: DataFrame, dimensions: dict[str, Sequence[str]], bigrams: bool = True, by: Sequence[str] = ()) -> DataFrame:
-    """For each document and dimension the signals present, with rows of none; the dictionary is a literal array."""
-    entries = [F.struct(F.lit(d).alias("dimension"), F.array(*[F.struct(F.lit(s).alias("name"), F.lit(signal_pattern(s, bigrams)).alias("re")) for s in own]).alias("signals")) for d, own in dimensions.items()]
-    rows = corpus.select("doc_id", *by, fold_light(F.coalesce("text", F.lit(""))).alias("t"), F.explode(F.array(*entries)).alias("d"))
-    found = F.transform(F.filter(F.col("d.signals"), lambda s: F.col("t").rlike(s["re"])), lambda s: s["name"])
-    return rows.select("doc_id", *by, F.col("d.dimension").alias("dimension"), found.alias("found")).select("doc_id", *by, "dimension", F.size("found").alias("n"), F.array_join("found", ", ").alias("sinais"))
+    """For each document and dimension the signals present, with rows of none. One literal pattern a signal."""
+    rows = corpus.select("doc_id", *by, fold_light(F.coalesce("text", F.lit(""))).alias("t"))
+    present = lambda own: F.array_compact(F.array(*[F.when(F.col("t").rlike(signal_pattern(s, bigrams)), F.lit(s)) for s in own]))
+    each = F.array(*[F.struct(F.lit(d).alias("dimension"), present(own).alias("found")) for d, own in dimensions.items()])
+    found = rows.select("doc_id", *by, F.explode(each).alias("d"))
+    return found.select("doc_id", *by, "d.dimension", F.size("d.found").alias("n"), F.array_join("d.found", ", ").alias("sinais"))
 
 
 def prevalence(mined: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -25,23 +25,20 @@ def dating(years: Column, order: Sequence[str] = D.DATING_ORDER) -> Column:
     return F.struct(F.when(accepted, F.get(every, F.lit(0))).alias("year"), F.when(accepted, F.get(producers, F.lit(0))).alias("method"), reason.alias("reason"))
 
 
-def signal_array(signals: Sequence[str], dimensions: dict[str, Sequence[str]]) -> Column:
-    """Literal array of struct<name, re, dims>, in the dictionary's order."""
-    of = {s: [d for d, own in dimensions.items() if s in own] for s in signals}
-    dims = lambda s: F.array(*[F.lit(d) for d in of[s]]).cast("array<string>")
-    return F.array(*[F.struct(F.lit(s).alias("name"), F.lit(alternation([python_fold(s)])).alias("re"), dims(s).alias("dims")) for s in signals])
-
+def matched(text: Column, signals: Sequence[str], dimensions: dict[str, Sequence[str]]) -> Column:
+    """array<struct<name, dims>> of the signals that occur as whole tokens in a folded text, in the dictionary's order.
 
-def matched(text: Column, signals: Column) -> Column:
-    """The signals that occur as whole tokens in a folded text."""
-    return let(text, lambda t: F.filter(signals, lambda s: t.rlike(s["re"])))
+    One literal pattern a signal: the engine compiles each once.
+    """
+    of = {s: [d for d, own in dimensions.items() if s in own] for s in signals}
+    entry = lambda s: F.struct(F.lit(s).alias("name"), F.array(*[F.lit(d) for d in of[s]]).cast("array<string>").alias("dims"))
+    return let(text, lambda t: F.array_compact(F.array(*[F.when(t.rlike(alternation([python_fold(s)])), entry(s)) for s in signals])))
 
 
 def classify(rows: DataFrame, signals: Sequence[str], dimensions: dict[str, Sequence[str]], text: str = "text", anchor: str = "anchor") -> DataFrame:
     """Kind, method, signals, dimensions and anchor evidence: text first, then the link's anchor."""
-    table = signal_array(signals, dimensions)
     has_text = F.trim(F.coalesce(F.col(text), F.lit(""))) != ""
-    found = rows.withColumn("_t", F.when(has_text, matched(fold_collapsed(F.col(text)), table))).withColumn("_a", matched(fold_collapsed(F.coalesce(F.col(anchor), F.lit(""))), table))
+    found = rows.withColumn("_t", F.when(has_text, matched(fold_collapsed(F.col(text)), signals, dimensions))).withColumn("_a", matched(fold_collapsed(F.coalesce(F.col(anchor), F.lit(""))), signals, dimensions))
     by_text, by_anchor = F.coalesce(F.size("_t") > 0, F.lit(False)), F.size("_a") > 0
     used = F.when(by_text, F.col("_t")).otherwise(F.col("_a"))
     return found.select(

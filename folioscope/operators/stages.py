@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import urls
+from folioscope.functions.dictionaries import SECTION_KEYWORDS
 from folioscope.operators.catalog import PENDING, RESOLVED
 
 
@@ -163,7 +164,7 @@ def host_scope(targets: DataFrame, portals: DataFrame) -> DataFrame:
     return counted.select(*targets.columns, "n_portals", F.when(F.col("n_portals") == 1, F.col("portal_id")).alias("portal_id"), status.alias("status"))
 
 
-def discover(seeds: DataFrame, pages: DataFrame, max_depth: int = 3, page_cap: int | None = None) -> DataFrame:
+def discover(seeds: DataFrame, pages: DataFrame, max_depth: int = 3, page_cap: int | None = None, keywords: Sequence[str] = SECTION_KEYWORDS) -> DataFrame:
     """Breadth-first discovery over stored pages (url, html) from seeds (url): found links with class and depth.
 
     One join a level between the frontier and the pages; only links of the page's own site are followed. page_cap is the
@@ -179,7 +180,7 @@ def discover(seeds: DataFrame, pages: DataFrame, max_depth: int = 3, page_cap: i
         level = frontier.join(known, "page").select("page", F.explode(urls.links(F.col("html"))).alias("a"))
         level = level.where(urls.followable(F.col("a.href"))).select("page", F.col("a.anchor").alias("anchor"), urls.canonical(urls.resolve(F.col("page"), F.col("a.href"))).alias("url"))
         level = level.where(F.col("url").isNotNull() & (urls.scope_host(F.col("url")) == urls.scope_host(F.col("page"))))
-        level = level.withColumns({"class": urls.link_class(F.col("anchor"), F.col("url")), "depth": F.lit(depth)})
+        level = level.withColumns({"class": urls.link_class(F.col("anchor"), F.col("url"), keywords), "depth": F.lit(depth)})
         found = found.unionByName(level.where(F.col("class").isNotNull()).select("page", "url", "class", "depth"))
         visited = visited.unionByName(frontier)
         frontier = level.where(F.col("class") == "secao").select(F.col("url").alias("page")).distinct().join(visited, "page", "left_anti")

@@ -220,8 +220,8 @@ SELECT doc_id, CASE WHEN g IS NOT NULL AND a IS NOT NULL THEN 'IMPACTO_SUBSTANTI
 )
 query(
     "citation_check",
-    r"""WITH q AS (SELECT item_id AS quote_id, doc_id, b.text AS quote, d.text FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40), f AS (SELECT quote_id, doc_id, trim(regexp_replace(replace(lower(quote), 'ß', 'ss'), '\s+', ' ', 'g'), ' ') AS q, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g'), ' ') AS t, list_transform(string_split(text, chr(10)), lambda p: length(trim(regexp_replace(replace(lower(p), 'ß', 'ss'), '\s+', ' ', 'g'), ' '))) AS n FROM q), g AS (SELECT *, position(q IN t) AS at, list_transform(range(1, len(n) + 1), lambda i: list_sum(n[1:i]) + greatest(len(list_filter(n[1:i], lambda x: x > 0)) - 1, 0)) AS ends FROM f)
-SELECT quote_id, doc_id, CASE WHEN q <> '' AND at > 0 THEN CAST(len(list_filter(ends, lambda e: e < at)) + 1 AS INT) END AS page FROM g""",
+    r"""WITH q AS (SELECT item_id AS quote_id, doc_id, b.text AS quote, d.text FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40), f AS (SELECT quote_id, doc_id, trim(regexp_replace(replace(lower(quote), 'ß', 'ss'), '\s+', ' ', 'g'), ' ') AS q, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g'), ' ') AS t, list_transform(string_split(text, chr(10)), lambda p: length(trim(regexp_replace(replace(lower(p), 'ß', 'ss'), '\s+', ' ', 'g'), ' '))) AS n FROM q), g AS (SELECT *, position(q IN t) AS pos, list_transform(range(1, len(n) + 1), lambda i: list_sum(n[1:i]) + greatest(len(list_filter(n[1:i], lambda x: x > 0)) - 1, 0)) AS ends FROM f)
+SELECT quote_id, doc_id, CASE WHEN q <> '' AND pos > 0 THEN CAST(len(list_filter(ends, lambda e: e < pos)) + 1 AS INT) END AS page FROM g""",
     base=False,
 )(lambda spark, d: (lambda b, t: coding.verify_many(b.join(t, F.expr("doc_id % 40 = item_id % 40")).select(F.col("item_id").alias("quote_id"), "doc_id", b["text"].alias("quote")), t.select("doc_id", "text")))(model.table(spark, d, "benchmark"), model.table(spark, d, "documents")))
 
@@ -249,7 +249,7 @@ on_catalog(
     ", s AS (SELECT DISTINCT CASE WHEN id % 5 <> 0 THEN id % 7 END AS seed, id % 3 AS model FROM queue), b AS (SELECT id, CASE WHEN id % 4 <> 0 THEN id % 7 END AS seed, id % 3 AS model, id % 10 = 0 AS o FROM queue WHERE id < 500) SELECT s.seed, s.model, arg_max(b.id, CAST(o AS BIGINT) * 1000000 + b.id) AS batch_id FROM s JOIN b ON s.seed IS NOT DISTINCT FROM b.seed AND s.model = b.model GROUP BY 1, 2",
 )
 on_table("html_links", "pages", lambda p: p.select("page_id", F.size(urls.links(F.col("html"))).cast("long").alias("n_links")), "SELECT page_id, CAST(len(regexp_extract_all(html, '<a href=\"[^\"]*\">')) AS BIGINT) AS n_links FROM pages")
-query("discovery")(lambda spark, d: (lambda p: stages.discover(p.select("url"), p.select("url", "html"), 1))(model.table(spark, d, "pages")))
+query("discovery")(lambda spark, d: (lambda p: stages.discover(p.select("url"), p.select("url", "html"), 1, keywords=("the", "de", "la", "and")))(model.table(spark, d, "pages")))
 
 
 def queries() -> dict[str, Query]:
