@@ -188,7 +188,7 @@ class Encoder:
     chunks is dropped when it has ENTRIES of them.
     """
 
-    ENTRIES = 400_000
+    ENTRIES = 600_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -196,6 +196,10 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each token: one a character of its name
+        for name, i in vocabulary.items():
+            self.sizes[i] = len(name)
         self.double = re.compile(r"\s\s|\x00")
         self.chunk = re.compile(r"\s*\S+|\s+")
 
@@ -213,12 +217,29 @@ class Encoder:
         whole.difference_update(ends)
         whole.update(b for c in ends if (b := c[:-1]) not in self.known)
         whole.update(b for b in (",", ".") if b not in self.known)
-        whole = list(whole)
-        for c, e in zip(whole, self.library.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+        joined = [c for c in whole if len(c) > 1 and c[0] == " " and not c[1].isspace()]
+        alone = list(whole.difference(joined))
+        for c, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
             self.known[c] = self.raw(e.ids)
+        self._learn_joined(joined)
         for c in ends:
             self.known[c] = self.known[c[:-1]] + self.known[c[-1]]
 
+    def _learn_joined(self, new: list[str]) -> None:
+        """Chunks that start with one space, many to a call: a join of them is cut apart again by the tokens' bytes."""
+        parts = [new[i : i + 256] for i in range(0, len(new), 256)]
+        for part, e in zip(parts, self.library.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int64)
+            ends = np.cumsum(self.sizes[ids])
+            wanted = np.cumsum([len(c.encode()) for c in part])
+            cuts = np.searchsorted(ends, wanted) + 1
+            if not (ends[cuts - 1] == wanted).all():
+                raise ValueError("the tokenizer joins what lies before a white space with it")
+            raw, at = ids.astype(f"<u{self.width}").tobytes(), 0
+            for c, cut in zip(part, (cuts * self.width).tolist(), strict=True):
+                self.known[c] = raw[at:cut]
+                at = cut
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.chunks(t) for t in texts]
         every = set().union(*cut)
