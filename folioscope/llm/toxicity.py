@@ -27,7 +27,7 @@ from folioscope.llm.hashing import ALNUM, U64, Words, mixed, word_chunks
 
 BUCKETS = 1 << 18
 DIM = 8
-MAX_TRAIN = 20_000
+MAX_TRAIN = 8_000
 SEGMENT = 12
 THRESHOLD = 0.3
 GRAMS = (3, 4, 5)
@@ -106,18 +106,21 @@ class Sample:
             for _, _, found in word_chunks(pa.array([text], pa.string()), ALNUM):
                 s = Segments(found)
                 known = np.fromiter((number.get(x, -1) for x in s.distinct.tolist()), np.int64, len(s.distinct))
-                for k in np.flatnonzero(known < 0).tolist():
-                    known[k] = number[int(s.distinct[k])] = len(number)
-                    own = s.buckets[s.bounds[k] : s.bounds[k + 1]]
-                    buckets.append(own.astype(np.int32))
-                    sizes.append(len(own))
+                unseen = np.flatnonzero(known < 0)
+                known[unseen] = np.arange(len(number), len(number) + len(unseen))
+                number.update(zip(s.distinct[unseen].tolist(), known[unseen].tolist(), strict=True))
+                own = np.diff(s.bounds)
+                sizes.append(own[unseen])
+                is_new = np.zeros(len(own), bool)
+                is_new[unseen] = True
+                buckets.append(s.buckets[np.repeat(is_new, own)].astype(np.int32))
                 if len(s.word):
                     words.append(known[s.word].astype(np.int32))
                     firsts.append(s.first[:-1] + at)
                     owner.append(np.full(len(s.first) - 1, i))
                     at += len(s.word)
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.buckets, self.bounds = join(buckets, np.int32), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.buckets, self.bounds = join(buckets, np.int32), np.concatenate([[0], np.cumsum(join(sizes, np.int64))]).astype(np.int64)
         self.word, self.first, self.owner = join(words, np.int32), np.append(join(firsts, np.int64), at), join(owner, np.int64)
 
     def random_segments(self, rng) -> dict[int, int]:
