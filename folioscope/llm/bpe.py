@@ -25,16 +25,17 @@ import struct
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import fresh, only, text_or_empty, written
 
 #: Most frequent words that are encoded once for all documents.
-HOT = 200_000
+HOT = 300_000
 #: Documents, about, whose words are counted to choose them.
 SAMPLE = 20_000
-MAPS = 1 << 18
+#: Places of the cache; a word may lie in one of two. Of words that fall into one, the most frequent stays.
+SLOTS = 1 << 20
 NONE = 2**31 - 1
 
 
@@ -111,17 +112,21 @@ class RankMap:
     def strings(self, name: str) -> Column:
         return F.split(F.lit(getattr(self, name)), ",")
 
+    def scalar(self, spark: SparkSession) -> Column:
+        """The literals as one struct: evaluated once, into a one-row table that plans refer to without spelling it out."""
+        row = [self.numbers(x).alias(x) for x in ("byte_ids", "offset", "owner", "merged")] + [self.strings(x).alias(x) for x in ("ids_hex", "bytes_hex")]
+        return written(spark.range(1).select(F.struct(*row).alias("tables"))).scalar()
+
 
 def let(value: Column, body) -> Column:
     """body(value) with value computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def encode_word(word: Column, ranks: RankMap) -> Column:
-    """array<int>: the ids of one word."""
-    tables = F.struct(*[ranks.numbers(x).alias(x) for x in ("byte_ids", "offset", "owner", "merged")])
-    folded = let(tables, lambda t: _fold(word, t))
-    for token, rank_ in ranks.whole:
+def encode_word(word: Column, tables: Column, whole: list[tuple[bytes, int]]) -> Column:
+    """array<int>: the ids of one word. tables: RankMap.scalar(), or a variable bound to it."""
+    folded = _fold(word, tables)
+    for token, rank_ in whole:
         folded = F.when(F.encode(word, "UTF-8") == F.unhex(F.lit(token.hex())), F.array(F.lit(rank_))).otherwise(folded)
     return folded
 
@@ -154,41 +159,59 @@ def _fold(word: Column, tables: Column) -> Column:
     return let(start, lambda s: F.aggregate(F.slice(s, 2, F.size(s)), ranked(s), merge, lambda state: state["ids"]))
 
 
-def coded(word: Column, ranks: RankMap) -> Column:
+def coded(word: Column, tables: Column, whole: list[tuple[bytes, int]]) -> Column:
     """struct<ids, bytes>: a word's ids as little-endian 32-bit numbers, and the decoded ids, both in hex."""
-    ids_hex, bytes_hex = ranks.strings("ids_hex"), ranks.strings("bytes_hex")
-    both = lambda ids: F.struct(F.array_join(F.transform(ids, lambda i: F.get(ids_hex, i)), "").alias("ids"), F.array_join(F.transform(ids, lambda i: F.get(bytes_hex, i)), "").alias("bytes"))
-    return let(encode_word(word, ranks), both)
+    text = lambda ids, name: F.array_join(F.transform(ids, lambda i: F.get(tables[name], i)), "")
+    return let(encode_word(word, tables, whole), lambda ids: F.struct(text(ids, "ids_hex").alias("ids"), text(ids, "bytes_hex").alias("bytes")))
 
 
 def pieces(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
 
 
-def hot_words(docs: DataFrame, ranks: RankMap, pattern: str, hot: int) -> Column:
-    """A scalar: for each hash of a word, the map from words to their codes. docs: text."""
+def hot_words(docs: DataFrame, tables: Column, ranks: RankMap, pattern: str, hot: int) -> Column:
+    """A scalar: an array with a frequent word and its code, or null, at each hash of a word. docs: text."""
     every_nth = max(1, docs.count() // SAMPLE)
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every_nth)) == 0)
     words = sample.select(F.explode(pieces(F.col("text"), pattern)).alias("word"))
-    top = written(words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(hot).select("word"))
-    codes = top.repartition("word").select("word", coded(F.col("word"), ranks).alias("code"))
-    maps = codes.groupBy(F.pmod(F.hash("word"), F.lit(MAPS)).alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("word", "code"))).alias("m"))
-    every = docs.sparkSession.range(MAPS).select(F.col("id").cast("int").alias("k"))
-    table = written(every.join(maps, "k", "left"))
-    return table.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.coalesce(F.map_entries("m"), F.array().cast(_ENTRIES)).alias("m")))), lambda x: F.map_from_entries(x["m"]))).scalar()
+    top = written(words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(hot))
+    most = F.max_by("word", F.struct("count", "word")).alias("word")
+    first = written(top.groupBy(slot(F.col("word")).alias("k")).agg(most))
+    second = top.join(first.select("word"), "word", "left_anti").groupBy(other_slot(F.col("word")).alias("k")).agg(most)
+    both = first.withColumn("rank", F.lit(1)).unionByName(second.withColumn("rank", F.lit(0)))
+    placed = both.groupBy("k").agg(F.max_by("word", "rank").alias("word"))
+    code = let(F.col("tables"), lambda t: coded(F.col("word"), t, ranks.whole))
+    codes = placed.withColumn("tables", tables).select("k", F.struct("word", code.alias("code")).alias("entry"))
+    every = docs.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("k"))
+    table = written(every.join(codes, "k", "left").select(F.struct("k", "entry").alias("x")))
+    return table.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["entry"])).scalar()
+
+
+def slot(word: Column) -> Column:
+    return F.pmod(F.hash(word), F.lit(SLOTS))
 
 
-_ENTRIES = "array<struct<key:string,value:struct<ids:string,bytes:string>>>"
+def other_slot(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")
 
 
 def with_codes(docs: DataFrame, text: str, ranks: RankMap, pattern: str, hot: int = HOT) -> tuple[DataFrame, str]:
     """docs and a column with the array of its words' codes; and that column's name."""
     name = fresh(docs.columns, "codes")
-    known = hot_words(docs.select(F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull()), ranks, pattern, hot)
-    held = fresh([*docs.columns, name], "known")  # a scalar may not stand inside a higher-order function, a column may
-    code = lambda maps, w: F.coalesce(F.try_element_at(F.get(maps, F.pmod(F.hash(w), F.lit(MAPS))), w), coded(w, ranks))
-    found = let(F.col(held), lambda maps: F.transform(pieces(text_or_empty(text), pattern), lambda w: code(maps, w)))
-    return docs.withColumn(held, known).withColumn(name, found).drop(held), name
+    tables = ranks.scalar(docs.sparkSession)
+    known = hot_words(docs.select(F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull()), tables, ranks, pattern, hot)
+    # a scalar may not stand inside a higher-order function, a column may; the optimizer puts both together
+    held = [fresh([*docs.columns, name], x) for x in ("known", "tables")]
+
+    def codes(cache: Column, t: Column) -> Column:
+        def of(w: Column) -> Column:
+            one, two = (F.get(cache, k(w)) for k in (slot, other_slot))
+            return F.when(one["word"] == w, one["code"]).when(two["word"] == w, two["code"]).otherwise(coded(w, t, ranks.whole))
+
+        return F.transform(pieces(text_or_empty(text), pattern), of)
+
+    found = let(F.col(held[1]), lambda t: let(F.col(held[0]), lambda cache: codes(cache, t)))
+    return docs.withColumns({held[0]: known, held[1]: tables}).withColumn(name, found).drop(*held), name
 
 
 def digests(codes: Column) -> list[Column]:
