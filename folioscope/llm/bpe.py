@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import fresh, only, text_or_empty, written
 
 #: Most frequent words that are encoded once for all documents.
-HOT = 300_000
+HOT = 200_000
 #: Documents, about, whose words are counted to choose them.
 SAMPLE = 20_000
-#: Places of the cache; a word may lie in one of two. Of words that fall into one, the most frequent stays.
-SLOTS = 1 << 20
+#: Places of the cache; of words that fall into one, the most frequent stays.
+SLOTS = 1 << 19
 NONE = 2**31 - 1
 
 
@@ -175,11 +175,7 @@ def hot_words(docs: DataFrame, tables: Column, ranks: RankMap, pattern: str, hot
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every_nth)) == 0)
     words = sample.select(F.explode(pieces(F.col("text"), pattern)).alias("word"))
     top = written(words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(hot))
-    most = F.max_by("word", F.struct("count", "word")).alias("word")
-    first = written(top.groupBy(slot(F.col("word")).alias("k")).agg(most))
-    second = top.join(first.select("word"), "word", "left_anti").groupBy(other_slot(F.col("word")).alias("k")).agg(most)
-    both = first.withColumn("rank", F.lit(1)).unionByName(second.withColumn("rank", F.lit(0)))
-    placed = both.groupBy("k").agg(F.max_by("word", "rank").alias("word"))
+    placed = top.groupBy(slot(F.col("word")).alias("k")).agg(F.max_by("word", F.struct("count", "word")).alias("word"))
     code = let(F.col("tables"), lambda t: coded(F.col("word"), t, ranks.whole))
     codes = placed.withColumn("tables", tables).select("k", F.struct("word", code.alias("code")).alias("entry"))
     every = docs.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("k"))
@@ -191,10 +187,6 @@ def slot(word: Column) -> Column:
     return F.pmod(F.hash(word), F.lit(SLOTS))
 
 
-def other_slot(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")
-
-
 def with_codes(docs: DataFrame, text: str, ranks: RankMap, pattern: str, hot: int = HOT) -> tuple[DataFrame, str]:
     """docs and a column with the array of its words' codes; and that column's name."""
     name = fresh(docs.columns, "codes")
@@ -204,10 +196,7 @@ def with_codes(docs: DataFrame, text: str, ranks: RankMap, pattern: str, hot: in
     held = [fresh([*docs.columns, name], x) for x in ("known", "tables")]
 
     def codes(cache: Column, t: Column) -> Column:
-        def of(w: Column) -> Column:
-            one, two = (F.get(cache, k(w)) for k in (slot, other_slot))
-            return F.when(one["word"] == w, one["code"]).when(two["word"] == w, two["code"]).otherwise(coded(w, t, ranks.whole))
-
+        of = lambda w: F.when(F.get(cache, slot(w))["word"] == w, F.get(cache, slot(w))["code"]).otherwise(coded(w, t, ranks.whole))
         return F.transform(pieces(text_or_empty(text), pattern), of)
 
     found = let(F.col(held[1]), lambda t: let(F.col(held[0]), lambda cache: codes(cache, t)))
