@@ -58,12 +58,17 @@ class Words:
         self.data = data
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
+        self.offsets = offsets
         self.first = np.searchsorted(self.start, offsets)
+        self.hash_spans(data, self.start, self.end)
+
+    def hash_spans(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        n = len(data)
         up, down = _power_tables(n + 1)
         with np.errstate(over="ignore"):
             sums = np.zeros(n + 1, U64)
             np.cumsum((data.astype(U64) + U64(1)) * up[:n], out=sums[1:])
-            self.hash = mixed((sums[self.end] - sums[self.start]) * down[self.start])
+            self.hash = mixed((sums[end] - sums[start]) * down[start])
 
     def __len__(self) -> int:
         return len(self.first) - 1

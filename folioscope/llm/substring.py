@@ -3,9 +3,14 @@
 A unit is a stretch of a line that ends at ``. , ; : ! ?`` or the line break, so a passage inside a longer line is
 found too. It is normalised to its words (lower case for A-Z, anything but letters and digits dropped) and hashed;
 digests are grouped globally, and the earliest occurrence, by (document id, text hash, position), is the one that stays.
-In each document, runs of later occurrences with MIN_WORDS words at least are cut; units of one or two words are too
-common to tell anything, so they are not looked up and only go with a run that surrounds them. Shorter runs stay: chance
-repeats in clean text do no harm.
+In each document, runs of later occurrences with MIN_WORDS words at least are cut. Shorter runs stay: chance repeats in
+clean text do no harm.
+
+A unit of one or two words tells too little alone, so it is looked up together with the units after it, up to three
+words at least (at the end of a text with those before it); all units of a window that occurred before count as
+repeated. New words end a run. Only one or two new words in short units, between repeated ones, go with the run.
+
+In scripts without spaces (Chinese, Japanese, Thai) each character is a word, and their full stops and commas end units.
 
 Cut spans are kept as offsets (code points) into the original text; what is left is the text without them.
 
@@ -29,30 +34,77 @@ from folioscope.llm.hashing import ALNUM, U64, Words, mixed, word_chunks
 
 MIN_WORDS = 25
 LEAST_UNIT = 3
+#: Punctuation of scripts without spaces, as UTF-8.
+_WIDE_ENDS = [c.encode() for c in "、。，．：；！？"]
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".,;:!?\n"]] = True
 _P, _P_INVERSE = U64(0xD6E8FEB86659FD93), U64(pow(0xD6E8FEB86659FD93, -1, 2**64))
 
 
-def units(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word of each unit (and the number of words), its hash and its text."""
-    n = len(words.hash)
+def split(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of each word, with a word for each character of scripts without spaces; where units end."""
+    data = words.data
+    wide = (data >= 0xE3) & (data <= 0xE9)
+    wide[:-1] |= (data[:-1] == 0xE0) & ((data[1:] == 0xB8) | (data[1:] == 0xB9))
+    wide |= data == 0xEF
+    at = np.flatnonzero(wide)
+    ends = _ENDS[data]
+    if not len(at):
+        return words.start, words.end, ends
+    gaps = np.zeros(len(data), bool)
+    for a, b, c in _WIDE_ENDS:
+        gaps[at[(data[at] == a) & (data[at + 1] == b) & (data[at + 2] == c)]] = True
+    stops = np.flatnonzero(gaps)
+    ends[stops] = True
+    own = at[~gaps[at] & (data[at] != 0xEF)]
+    inside = ALNUM[data]
+    for k in range(3):
+        inside[stops + k] = False
+    cut = np.zeros(len(data) + 1, bool)  # a word may start here for another reason than white space before it
+    cut[own] = cut[own + 3] = True
+    cut[words.start] = True
+    starts = inside & cut[:-1]
+    starts[1:] |= inside[1:] & ~inside[:-1]
+    start = np.flatnonzero(starts)
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | starts[1:]
+    return start, np.flatnonzero(last) + 1, ends
+
+
+def units(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each unit: its first word (and the number of words), text, the first unit of its window and the one after it,
+    and the window's hash; and the first byte of each word."""
+    start, end, stops = split(words)
+    n = len(start)
+    none = np.zeros(0, np.int64)
     if not n:
-        return np.zeros(1, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
-    ends = np.concatenate([[0], np.cumsum(_ENDS[words.data])])
+        return np.zeros(1, np.int64), none, none, none, np.zeros(0, U64), none
+    own, opens = words.hash, words.first
+    if start is not words.start:
+        again = Words.__new__(Words)
+        again.hash_spans(words.data, start, end)
+        own, opens = again.hash, np.searchsorted(start, words.offsets)
+    ends = np.concatenate([[0], np.cumsum(stops)])
     new = np.ones(n, bool)
-    new[1:] = ends[words.start[1:]] > ends[words.end[:-1]]
-    new[words.first[:-1][np.diff(words.first) > 0]] = True
+    new[1:] = ends[start[1:]] > ends[end[:-1]]
+    new[opens[:-1][np.diff(opens) > 0]] = True
     first = np.append(np.flatnonzero(new), n)
+    text = np.searchsorted(opens, first[:-1], "right") - 1
+    low, high = np.searchsorted(first, opens[text]), np.searchsorted(first, opens[text + 1])  # units of the text
+    after = np.minimum(np.searchsorted(first, first[:-1] + LEAST_UNIT), high)
+    begin = np.arange(len(text))
+    short = first[after] - first[:-1] < LEAST_UNIT
+    begin[short] = np.maximum(np.searchsorted(first, first[high[short]] - LEAST_UNIT, "right") - 1, low[short])
     with np.errstate(over="ignore"):
         up, down = (np.multiply.accumulate(np.concatenate([[U64(1)], np.full(n, p, U64)])) for p in (_P, _P_INVERSE))
-        sums = np.concatenate([[U64(0)], np.cumsum(words.hash * up[:n])])
-        hashed = mixed((sums[first[1:]] - sums[first[:-1]]) * down[first[:-1]])
-    return first, hashed, np.searchsorted(words.first, first[:-1], "right") - 1
+        sums = np.concatenate([[U64(0)], np.cumsum(own * up[:n])])
+        hashed = mixed((sums[first[after]] - sums[first[begin]]) * down[first[begin]])
+    return first, text, begin, after, hashed, start
 
 
 def unit_rows(docs: DataFrame) -> DataFrame:
-    """id, tie, hashes (of units with LEAST_UNIT words at least) and their places among the document's units."""
+    """id, tie, hashes (of windows with LEAST_UNIT words at least) and places: 4 * the unit's index in its document + the
+    window's number of units, which is 3 at most."""
 
     def run(batches):
         for batch in batches:
@@ -60,45 +112,47 @@ def unit_rows(docs: DataFrame) -> DataFrame:
                 part = batch.slice(at, 2000)
                 hashes, places = [], []
                 for _, _, words in word_chunks(part.column(2), ALNUM):
-                    first, hashed, text = units(words)
+                    first, text, begin, after, hashed, _ = units(words)
                     bounds = np.searchsorted(text, np.arange(len(words) + 1))
-                    long = np.diff(first) >= LEAST_UNIT
+                    long = first[after] - first[begin] >= LEAST_UNIT
                     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                        keep = long[a:b]
+                        keep = np.flatnonzero(long[a:b])
                         hashes.append(hashed[a:b][keep].view(np.int64))
-                        places.append(np.flatnonzero(keep).astype(np.int32))
+                        places.append((4 * keep + (after - begin)[a:b][keep]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["id", "tie", "hashes", "places"])
 
     return docs.mapInArrow(run, "id long, tie long, hashes array<long>, places array<int>")
 
 
 def later_occurrences(docs: DataFrame) -> DataFrame:
-    """id, tie and the sorted places of the units that occurred before. docs: id, tie, text."""
+    """id, tie and the sorted indices of the units whose windows occurred before. docs: id, tie, text.
+
+    A window that overlaps the first occurrence in its own document is none.
+    """
     every = unit_rows(docs).select("id", "tie", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("id", "tie", F.col("x.hashes").alias("h"), F.col("x.places").alias("place"))
     firsts = every.groupBy("h").agg(F.min(F.struct("id", "tie", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
-    later = every.join(firsts, "h").where(~F.struct("id", "tie", "place").eqNullSafe(F.col("first")))
-    return later.groupBy("id", "tie").agg(F.array_sort(F.collect_set("place")).alias("later"))
+    same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("tie") == F.col("first.tie"))
+    unit = F.shiftright("place", 2)
+    later = every.join(firsts, "h").where(~(same & (unit - F.shiftright("first.place", 2) < F.col("place").bitwiseAND(3))))
+    return later.groupBy("id", "tie").agg(F.array_sort(F.collect_set(unit)).alias("later"))
 
 
 def cut_spans(text: str, later: list[int], min_words: int) -> list[tuple[int, int]]:
     """Byte spans of the text's runs of later units."""
     spans: list[tuple[int, int]] = []
     for _, _, words in word_chunks(pa.array([text], pa.string()), ALNUM):
-        first, _, _ = units(words)
+        first, _, begin, after, _, start = units(words)
         size = np.diff(first)
-        marks = np.zeros(len(size), bool)
-        marks[later] = True
-        run: list[int] = []
-        for u in [*np.flatnonzero(marks | (size >= LEAST_UNIT)).tolist(), len(size)]:
-            if u < len(size) and marks[u]:
-                run.append(u)
-                continue
-            if run and size[run[0] : run[-1] + 1].sum() >= min_words:
-                start = int(words.start[first[run[0]]])
-                after = run[-1] + 1
-                stop = int(words.start[first[after]]) if after < len(size) else len(words.data)
-                spans.append((start, stop))
-            run = []
+        depth = np.zeros(len(size) + 1, np.int64)
+        np.add.at(depth, begin[later], 1)
+        np.add.at(depth, after[later], -1)
+        marked = np.flatnonzero(np.cumsum(depth)[:-1] > 0)
+        # a run goes on over less than LEAST_UNIT words
+        breaks = np.flatnonzero(first[marked[1:]] - first[marked[:-1] + 1] >= LEAST_UNIT) + 1
+        for run in np.split(marked, breaks):
+            if len(run) and first[run[-1] + 1] - first[run[0]] >= min_words:
+                stop = int(start[first[run[-1] + 1]]) if run[-1] + 1 < len(size) else len(words.data)
+                spans.append((int(start[first[run[0]]]), stop))
     return spans
 
 
@@ -152,7 +206,7 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars:
     """docs with their texts cut, in their own columns; documents of which no word is left go."""
     out = deduplicate(docs, doc_id, text)
     spans = [c for c in out.columns if c not in docs.columns][0]
-    out = out.where((F.size(spans) == 0) | F.col(f"`{text}`").rlike("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]")).drop(spans)
+    out = out.where((F.size(spans) == 0) | F.col(f"`{text}`").rlike("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F、。，．：；！？]")).drop(spans)
     if n_chars and n_chars in docs.columns:
         out = out.withColumn(n_chars, F.char_length(F.col(f"`{text}`")).cast(docs.schema[n_chars].dataType))
     return out

@@ -449,6 +449,32 @@ def test_substring_repeated_rows_and_empty(spark, empty):
     assert substring.report(empty).count() == 0
 
 
+@pytest.mark.parametrize("lead", ["", "New! ", "new one, "])
+def test_substring_cuts_text_of_short_units(spark, lead):
+    passage = "!! ".join(prose(61, 40).replace(".", "").split()) + "!!"
+    found = {r.doc_id: r.text for r in substring.report(spark.createDataFrame([(1, passage), (2, f"{lead}{passage}\nOther words end it here.")], "doc_id long, text string")).collect()}
+    assert found == {1: passage, 2: f"{lead}Other words end it here."}
+
+
+def test_substring_keeps_new_short_units(spark):
+    passage, new = prose(62, 30), "No. Not. Ever. Seen. Before."
+    found = {r.doc_id: r.text for r in substring.report(spark.createDataFrame([(1, passage), (2, f"{passage}\n{new}\n{passage}")], "doc_id long, text string")).collect()}
+    assert found == {1: passage, 2: new + "\n"}
+
+
+def test_substring_cuts_text_without_spaces(spark):
+    r = random.Random(63)
+    chinese = lambda n: "".join(chr(r.randint(0x4E00, 0x9FA5)) + ("。" if i % 9 == 8 else "") for i in range(n))
+    passage, a, b = chinese(63), chinese(36), chinese(36)
+    found = {x.doc_id: x.text for x in substring.report(spark.createDataFrame([(1, a + passage), (2, b + passage)], "doc_id long, text string")).collect()}
+    assert found == {1: a + passage, 2: b}
+
+
+def test_substring_keeps_a_repeating_first_occurrence(spark):
+    found = {r.doc_id: r.text for r in substring.report(spark.createDataFrame([(1, "ha. " * 40), (2, "ha. ha. ha.")], "doc_id long, text string")).collect()}
+    assert found == {1: "ha. ha. ha. ", 2: "ha. ha. ha."}
+
+
 # ---- 10: chat formatting
 
 
