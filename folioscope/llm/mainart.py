@@ -9,9 +9,9 @@ Blocks whose chain names furniture (nav, header, footer, aside, form, adverts, n
 menus and adverts that change from page to page share no line with a neighbour. A page with an article or main element
 keeps that element's blocks only.
 
-Neighbours are found without gathering a host: pages are range-partitioned and sorted by (host, path, url, id), each
-task diffs the pages it holds one after the other, and a page at the edge of a partition is compared with its inner
-neighbour only, so a hot host is simply spread over tasks. Memory is three pages.
+Neighbours are found without gathering a host: the keys (host, path, url, id, hash of the page) are sorted first and cut
+into ranges, and each range is sent to one task with copies of the HALO pages before and after it, so a hot host is
+simply spread over tasks and every page meets both neighbours, wherever ranges end. Memory is three pages.
 
 Blocks: white space (Unicode) inside a block becomes one space, block texts are joined by one line feed; ``br`` and
 inline elements don't end a block. Character references are decoded as HTML 5 does.
@@ -24,6 +24,7 @@ rows. Broken markup (unclosed elements, a cut-off end) is read to its end.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html import unescape
 
 import pyarrow as pa
@@ -218,22 +219,86 @@ def kept(page: list[Block], shared_lines: set[int]) -> str:
 _HOST, _PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)"
 
 
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+#: Pages that a range has from each of its neighbours.
+HALO = 2
+ORDER = ["host", "path", "url", "page_id", "hash"]
+#: Pages of a range at least, on average: with fewer, the copies cost more than the ranges.
+RANGE_PAGES = 100
+
+
+def order_key(host: str, path: str, url: str | None, page_id, hashed: int) -> tuple:
+    """A page's place in Spark's order, where strings go by bytes and nulls come first."""
+    return host.encode(), path.encode(), url is not None, (url or "").encode(), page_id is not None, page_id if page_id is not None else 0, hashed
+
+
+def ranges(keys: DataFrame, n: int) -> tuple[list[tuple], dict[tuple, list[int]]]:
+    """The first key of each of n ranges at most, and to which other ranges a key's pages are copied."""
+
+    def edges(batches):
+        head: list[dict] = []
+        tail: list[dict] = []
+        kind = None
+        for batch in batches:
+            kind = batch.schema
+            head += batch.slice(0, HALO - len(head)).to_pylist()
+            tail = (tail + batch.slice(max(0, batch.num_rows - HALO)).to_pylist())[-HALO:]
+        if head:
+            yield pa.RecordBatch.from_pylist([{**r, "place": k} for k, r in enumerate(head + tail)], pa.schema([*kind, pa.field("place", pa.int32())]))
+
+    schema = T.StructType([*keys.schema.fields, T.StructField("place", T.IntegerType())])
+    parts: list[list[tuple]] = []
+    for row in keys.repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER).mapInArrow(edges, schema).collect():
+        if row["place"] == 0:
+            parts.append([])
+        parts[-1].append(order_key(*row[:-1]))
+    parts.sort(key=lambda p: p[0])
+    copies: dict[tuple, list[int]] = {}
+    for k in range(len(parts)):
+        for step in (-1, 1):
+            near: list[tuple] = []
+            at = k + step
+            while len(near) < HALO and 0 <= at < len(parts):
+                # head and tail overlap in a small range: its keys once each are enough, as a key stands for all its pages
+                own = list(dict.fromkeys(parts[at]))
+                near += own[-HALO:] if step < 0 else own[:HALO]
+                at += step
+            for key in dict.fromkeys(near):
+                copies.setdefault(key, []).append(k)
+    return [p[0] for p in parts], copies
+
+
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", range_pages: int = RANGE_PAGES) -> DataFrame:
     """page_id, url, text and n_chars, a row for each page."""
     own = only(pages, page_id=page_id, url=url, html=html).withColumn("html", text_or_empty("html"))
     keys = [F.regexp_extract(F.coalesce("url", F.lit("")), x, 1) for x in (_HOST, _PATH)]
-    dealt = own.select("page_id", "url", "html", F.lower(keys[0]).alias("host"), keys[1].alias("path"))
-    order = ["host", "path", "url", "page_id"]
-    dealt = dealt.repartitionByRange(*order).sortWithinPartitions(*order).select("page_id", "url", "html", "host")
+    keyed = own.select(F.lower(keys[0]).alias("host"), keys[1].alias("path"), "url", "page_id", F.xxhash64("html").alias("hash"), "html")
+    n = max(1, min(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), own.count() // range_pages))
+    bounds, copies = ranges(keyed.drop("html"), n)
+
+    def deal(batches):
+        for batch in batches:
+            at, to, halo = [], [], []
+            for i, row in enumerate(zip(*[c.to_pylist() for c in batch.columns[:-1]], strict=True)):
+                key = order_key(*row)
+                mine = max(0, bisect_right(bounds, key) - 1)
+                targets = [mine, *copies.get(key, ())]
+                at += [i] * len(targets)
+                to += targets
+                halo += [False] + [True] * (len(targets) - 1)
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at, pa.int32())).columns, pa.array(to, pa.int32()), pa.array(halo, pa.bool_())], names=[*batch.schema.names, "range", "halo"])
+
+    dealt = keyed.mapInArrow(deal, T.StructType([*keyed.schema.fields, T.StructField("range", T.IntegerType()), T.StructField("halo", T.BooleanType())]))
+    dealt = dealt.repartitionById(max(1, len(bounds)), F.col("range")).sortWithinPartitions("range", *ORDER).select("page_id", "url", "html", "host", "range", "halo")
     schema = T.StructType([*dealt.schema.fields[:2], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
-        before = None  # (id, url, host, blocks, shared with the page before)
+        before = None  # (id, url, (range, host), blocks, shared with the page before, halo)
         done: list[tuple] = []
 
         def settle(page, after_shared: set[int]) -> None:
-            text = kept(page[3], page[4] | after_shared)
-            done.append((page[0], page[1], text, len(text)))
+            if not page[5]:
+                text = kept(page[3], page[4] | after_shared)
+                done.append((page[0], page[1], text, len(text)))
 
         def batch_of(rows):
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=schema.fieldNames())
@@ -243,19 +308,20 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             kinds = kinds or [batch.schema.field(0).type, pa.string(), pa.string(), pa.int64()]
             for at in range(0, batch.num_rows, 500):
                 for row in batch.slice(at, 500).to_pylist():
-                    found = blocks(row["html"])
+                    found, group = blocks(row["html"]), (row["range"], row["host"])
                     mine: set[int] = set()
                     theirs: set[int] = set()
-                    if before is not None and before[2] == row["host"]:
+                    if before is not None and before[2] == group:
                         theirs, mine = shared(before[3], found)
                     if before is not None:
                         settle(before, theirs)
-                    before = (row["page_id"], row["url"], row["host"], found, mine)
+                    before = (row["page_id"], row["url"], group, found, mine, row["halo"])
                 if done:
                     yield batch_of(done)
                     done = []
         if before is not None:
             settle(before, set())
-            yield batch_of(done)
+            if done:
+                yield batch_of(done)
 
     return dealt.mapInArrow(run, schema)

@@ -171,6 +171,18 @@ def test_extraction_by_differencing(spark):
     assert found[9].startswith("Site name")  # no neighbour on its host
 
 
+@pytest.mark.parametrize("range_pages", [1, 3, 1000])
+def test_extraction_meets_both_neighbours_at_every_bound(spark, range_pages):
+    page = "<div>Site name</div><div>Home | About</div><div>Own text {0}.</div><div>Rights {1}</div>"
+    pages = spark.createDataFrame([(i, f"http://x.net/a/{i:02d}", page.format(i, i // 2)) for i in range(24)] + [(99, "http://y.net/a", page.format(99, 99))], "page_id long, url string, html string").repartition(5)
+    spark.conf.set("spark.sql.shuffle.partitions", 30)
+    try:
+        found = {r.page_id: r.text for r in mainart.extract(pages, range_pages=range_pages).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 2)
+    assert found == {i: f"Own text {i}." for i in range(24)} | {99: "Site name\nHome | About\nOwn text 99.\nRights 99"}
+
+
 def test_longest_common_subsequence():
     def length(x, y):
         d = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
