@@ -3,8 +3,10 @@
 A page becomes a list of text blocks, each with the chain of elements around it. Pages of a host are sorted by URL
 path, which puts pages of one template and section side by side, and every page is aligned with the page before and
 the page after it: the longest common subsequence of their block lines (chain and text) is what they share. A shared
-block is site furniture and is deleted, unless it stands in an ``article`` or ``main`` element: texts legitimately
-repeat passages, and copies of an article share everything, so within those elements differencing decides nothing.
+block is site furniture and is deleted. In an ``article`` or ``main`` element more is asked, as texts legitimately repeat
+passages and copies of an article share everything: there a block goes if both neighbours share it and each of them
+shares half of the page's blocks in those elements at most. The first and the last page of a host have one neighbour; they
+lose the blocks that it shares with them and loses itself.
 Blocks whose chain names furniture (nav, header, footer, aside, form, adverts, notices, comments ...) go in any case:
 menus and adverts that change from page to page share no line with a neighbour. A page with an article or main element
 keeps that element's blocks only.
@@ -209,12 +211,20 @@ def subsequence(x: list, y: list) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def kept(page: list[Block], shared_lines: set[int]) -> str:
+def kept(page: list[Block], shared_lines: set[int], shared_main: frozenset | set = frozenset()) -> str:
+    """The page's text; shared_main: blocks to delete from article and main elements."""
     has_main = any(b.main for b in page)
-    left = [b.text for i, b in enumerate(page) if not b.drop and (b.main if has_main else i not in shared_lines)]
+    left = [b.text for i, b in enumerate(page) if not b.drop and (b.main and i not in shared_main if has_main else i not in shared_lines)]
     return "\n".join(left)
 
 
+def little(page: list[Block], shared_lines: set[int]) -> set[int]:
+    """Blocks of article and main elements that a neighbour shares, if it shares half of those at most."""
+    main = {i for i, b in enumerate(page) if b.main and not b.drop}
+    found = main & shared_lines
+    return found if 2 * len(found) <= len(main) else set()
+
+
 #: (host, path) of a URL: what pages are sorted by.
 _HOST, _PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)"
 
@@ -292,14 +302,39 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     schema = T.StructType([*dealt.schema.fields[:2], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
-        before = None  # (id, url, (range, host), blocks, shared with the page before, halo)
+        # (id, url, (range, host), blocks, shared with the page before, halo, whether there is a page before)
+        before = None
+        first = None  # the first page of its host and what it shares with the second, until that one is known
         done: list[tuple] = []
 
-        def settle(page, after_shared: set[int]) -> None:
+        def settle(page, lines: set[int], main: set[int]) -> None:
             if not page[5]:
-                text = kept(page[3], page[4] | after_shared)
+                text = kept(page[3], lines, main)
                 done.append((page[0], page[1], text, len(text)))
 
+        def by_lines(page, shared_lines: set[int], lines: set) -> set[int]:
+            return {i for i in little(page[3], shared_lines) if page[3][i].line() in lines}
+
+        def settle_middle(page, after_shared: set[int]) -> set:
+            """Settles a page with two neighbours, and the one before it if that is the host's first; the lines it loses."""
+            nonlocal first
+            main = little(page[3], page[4]) & little(page[3], after_shared)
+            lines = {page[3][i].line() for i in main}
+            if first is not None:
+                settle(*first, by_lines(*first, lines))
+                first = None
+            settle(page, page[4] | after_shared, main)
+            return lines
+
+        def settle_last(page) -> None:
+            nonlocal first
+            if first is not None:  # a host of two pages
+                settle(*first, set())
+                first = None
+            settle(page, page[4], by_lines(page, page[4], lost))
+
+        lost: set = set()  # lines that the page before the last one loses
+
         def batch_of(rows):
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=schema.fieldNames())
 
@@ -311,16 +346,22 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                     found, group = blocks(row["html"]), (row["range"], row["host"])
                     mine: set[int] = set()
                     theirs: set[int] = set()
-                    if before is not None and before[2] == group:
+                    after = before is not None and before[2] == group
+                    if after:
                         theirs, mine = shared(before[3], found)
-                    if before is not None:
-                        settle(before, theirs)
-                    before = (row["page_id"], row["url"], group, found, mine, row["halo"])
+                        if before[6]:
+                            lost = settle_middle(before, theirs)
+                        else:
+                            first, lost = (before, theirs), set()
+                    elif before is not None:
+                        settle_last(before)
+                        lost = set()
+                    before = (row["page_id"], row["url"], group, found, mine, row["halo"], after)
                 if done:
                     yield batch_of(done)
                     done = []
         if before is not None:
-            settle(before, set())
+            settle_last(before)
             if done:
                 yield batch_of(done)
 

@@ -183,6 +183,23 @@ def test_extraction_meets_both_neighbours_at_every_bound(spark, range_pages):
     assert found == {i: f"Own text {i}." for i in range(24)} | {99: "Site name\nHome | About\nOwn text 99.\nRights 99"}
 
 
+@pytest.mark.parametrize("range_pages", [1, 1000])
+def test_extraction_differences_inside_articles(spark, range_pages):
+    notice = lambda i, more="": f"<article><p>Read it in our app</p><p>Text {i}.</p><p>More {i}.</p>{more}</article>"
+    copy = "<article><p>Copied.</p><p>From elsewhere.</p></article>"
+    data = [(i, f"http://a.org/{i}", notice(i, "<p>Twice only.</p>" if i in (2, 3) else "")) for i in range(6)]
+    data += [(10 + i, f"http://b.org/{i}", copy) for i in range(3)] + [(20 + i, f"http://c.org/{i}", notice(i)) for i in range(2)]
+    spark.conf.set("spark.sql.shuffle.partitions", 15)
+    try:
+        found = {r.page_id: r.text for r in mainart.extract(spark.createDataFrame(data, "page_id long, url string, html string"), range_pages=range_pages).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 2)
+    for i in range(6):
+        assert found[i] == f"Text {i}.\nMore {i}." + ("\nTwice only." if i in (2, 3) else ""), i
+    assert {found[10 + i] for i in range(3)} == {"Copied.\nFrom elsewhere."}
+    assert found[20].startswith("Read it in our app")  # two pages don't tell a notice from a passage
+
+
 def test_longest_common_subsequence():
     def length(x, y):
         d = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
