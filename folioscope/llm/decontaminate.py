@@ -10,8 +10,8 @@ Items are searched in blocks of at most BLOCK_BYTES of text, so what reaches eac
 many items there are; each block is a pass over the documents and their spans are merged per document.
 
 Defined results: a null text, of a document or an item, has no words; a null item id is left out of the list of
-items but its windows still hit; documents with the same id are searched each on its own (in one block; with more
-blocks, rows equal in id and text are one); items with the same text are all listed; an empty benchmark hits nothing.
+items but its windows still hit; each row of the documents is searched on its own, however many blocks there are (with
+more than one, rows get a key in a table in the shared folder first); items with the same text are all listed; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import only
+from folioscope.llm.common import only, written
 from folioscope.llm.hashing import ALNUM, U64, Words, mixed, utf8, LOWER, windows, word_chunks
 
 WINDOW = 10
@@ -165,7 +165,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     blocks = item_blocks(benchmark, item_id, item_text, block_bytes)
     if len(blocks) == 1:
         return _scan(inner, blocks[0], False)
-    parts = [_scan(inner.withColumn("key", F.struct("row", F.xxhash64("text"))).select("row", "key", "text"), b, False) for b in blocks]
+    keyed = written(inner.select("row", F.monotonically_increasing_id().alias("key"), "text"))
+    parts = [_scan(keyed, b, False) for b in blocks]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)

@@ -380,6 +380,14 @@ def test_decontamination_matches_brute_force(spark, texts, block):
     assert found == {i: plain_hits(t, items) for i, t in enumerate(own)}
 
 
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 200])
+def test_decontamination_keeps_repeated_rows(spark, block):
+    items = spark.createDataFrame([(i, prose(300 + i, 40)) for i in range(4)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, prose(310, 30))] * 3 + [(2, prose(300, 40))] * 2 + [(None, None)] * 2, "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.contaminated) for r in decontaminate.report(docs, items, block_bytes=block).collect()) == [("1", False)] * 3 + [("2", True)] * 2 + [("None", False)] * 2
+    assert sorted(str(r.doc_id) for r in decontaminate.clean(docs, items, block_bytes=block).collect()) == ["1"] * 3 + ["None"] * 2
+
+
 def test_decontamination_of_nothing(spark, docs, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r.contaminated for r in decontaminate.report(docs, none).collect()} == {False}
