@@ -129,6 +129,11 @@ def citation_page(quote: Column, text: Column) -> Column:
 
     Both are folded by T4; pages are folded one by one, and the page is the first whose folded end reaches the hit.
     """
+    return let(fold_citation(quote), lambda needle: folded_citation_page(needle, fold_citation(text), text))
+
+
+def folded_citation_page(needle: Column, folded: Column, text: Column) -> Column:
+    """citation_page() of a quote and a text that are folded already."""
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("page"), F.lit(0).alias("found"))
 
     def step(s: Column, n: Column, at: Column) -> Column:
@@ -140,7 +145,7 @@ def citation_page(quote: Column, text: Column) -> Column:
         lengths = F.transform(F.split(text, "\n"), lambda p: F.char_length(fold_citation(p)))
         return F.when(at > 0, F.aggregate(lengths, zero, lambda s, n: step(s, n, at), lambda s: s["found"]))
 
-    return let(fold_citation(quote), lambda needle: F.when(needle != "", let(F.position(needle, fold_citation(text)), page_of)))
+    return F.when(needle != "", let(F.position(needle, folded), page_of))
 
 
 def evidence(text: Column, position: Column, length: Column, window: int) -> Column:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import citation_page
+from folioscope.functions.text import citation_page, fold_citation, folded_citation_page, let
 
 NOT_APPLICABLE = "N/A"
 
@@ -96,6 +96,24 @@ def verify_many(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("quote_id", "doc_id", citation_page(F.col("quote"), F.col("text")).alias("page"))
 
 
+#: Bytes of quotes that are sent to each executor at once.
+QUOTE_BYTES = 8 << 20
+
+
+def verify_all(quotes: DataFrame, texts: DataFrame, block_bytes: int = QUOTE_BYTES) -> DataFrame:
+    """Every quote (quote_id, quote) against every text (doc_id, text): quote_id, doc_id, page, a row for each pair.
+
+    Each text is folded once for each block of quotes, and a block is one row that is broadcast.
+    """
+    folded = quotes.select("quote_id", fold_citation(F.col("quote")).alias("needle"))
+    n = max(1, -(-(folded.agg(F.sum(F.octet_length("needle"))).first()[0] or 0) // block_bytes))
+    blocks = folded.groupBy(F.pmod(F.xxhash64("needle"), F.lit(n)).alias("_b")).agg(F.collect_list(F.struct("quote_id", "needle")).alias("_q")).drop("_b")
+    page = lambda q, t: folded_citation_page(q["needle"], t, F.col("text"))
+    found = let(fold_citation(F.col("text")), lambda t: F.transform("_q", lambda q: F.struct(q["quote_id"].alias("quote_id"), page(q, t).alias("page"))))
+    pairs = texts.select("doc_id", "text").crossJoin(F.broadcast(blocks)).select("doc_id", F.explode(found).alias("x"))  # rows of bounded size
+    return pairs.select("x.quote_id", "doc_id", "x.page")
+
+
 SIGNATURE = ("model", "model_version", "prompt_version", "prompt_sha256", "temperature", "seed", "codebook_sha256", "agent_version", "schema_version")
 
 

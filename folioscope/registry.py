@@ -223,7 +223,7 @@ query(
     r"""WITH q AS (SELECT item_id AS quote_id, doc_id, b.text AS quote, d.text FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40), f AS (SELECT quote_id, doc_id, trim(regexp_replace(replace(lower(quote), 'ß', 'ss'), '\s+', ' ', 'g'), ' ') AS q, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g'), ' ') AS t, list_transform(string_split(text, chr(10)), lambda p: length(trim(regexp_replace(replace(lower(p), 'ß', 'ss'), '\s+', ' ', 'g'), ' '))) AS n FROM q), g AS (SELECT *, position(q IN t) AS pos, list_transform(range(1, len(n) + 1), lambda i: list_sum(n[1:i]) + greatest(len(list_filter(n[1:i], lambda x: x > 0)) - 1, 0)) AS ends FROM f)
 SELECT quote_id, doc_id, CASE WHEN q <> '' AND pos > 0 THEN CAST(len(list_filter(ends, lambda e: e < pos)) + 1 AS INT) END AS page FROM g""",
     base=False,
-)(lambda spark, d: (lambda b, t: coding.verify_many(b.join(t, F.expr("doc_id % 40 = item_id % 40")).select(F.col("item_id").alias("quote_id"), "doc_id", b["text"].alias("quote")), t.select("doc_id", "text")))(model.table(spark, d, "benchmark"), model.table(spark, d, "documents")))
+)(lambda spark, d: coding.verify_all(model.table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")), model.table(spark, d, "documents")))
 
 BOOK = coding.Codebook([coding.Field("qualidade", ordinal=(0, 1)), coding.Field("tom", labels=("toxico", "neutro"), allows_na=True)])
 
