@@ -126,13 +126,13 @@ def find_batch(batches: DataFrame, signature: dict, keys: Sequence[str] = SIGNAT
 
 
 def match_batches(signatures: DataFrame, batches: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """K10 for many signatures at once: the batch id each one gets, by a null-safe join."""
-    a, b = signatures.alias("a"), batches.alias("b")
+    """K10 for many signatures at once: the best batch of each signature, then a null-safe join."""
+    best = batches.groupBy(*keys).agg(F.max_by("id", F.struct((F.col("status") == "aberto").cast("int"), "id")).alias("batch_id"))
+    a, b = signatures.distinct().alias("a"), best.alias("b")
     clause = F.col(f"a.{keys[0]}").eqNullSafe(F.col(f"b.{keys[0]}"))
     for k in keys[1:]:
         clause = clause & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    joined = a.join(b, clause).select("a.*", F.col("b.id").alias("batch"), F.col("b.status").alias("_s"))
-    return joined.groupBy(*signatures.columns).agg(F.max_by("batch", F.struct((F.col("_s") == "aberto").cast("int"), "batch")).alias("batch_id"))
+    return a.join(b, clause).select("a.*", "b.batch_id")
 
 
 def close_batch(batches: DataFrame, batch_id: int) -> DataFrame:

@@ -245,7 +245,7 @@ on_table(
 )
 on_catalog(
     "batch_lookup_nullsafe",
-    lambda c: coding.match_batches(c.queue.select(F.when(F.col("id") % 5 != 0, F.col("id") % 7).alias("seed"), (F.col("id") % 3).alias("model")).distinct(), c.queue.where("id < 500").select("id", F.when(F.col("id") % 4 != 0, F.col("id") % 7).alias("seed"), (F.col("id") % 3).alias("model"), F.when(F.col("id") % 10 == 0, "aberto").otherwise("concluido").alias("status")), ["seed", "model"]),
+    lambda c: coding.match_batches(c.queue.select(F.when(F.col("id") % 5 != 0, F.col("id") % 7).alias("seed"), (F.col("id") % 3).alias("model")).distinct(), c.queue.select("id", F.when(F.col("id") % 4 != 0, F.col("id") % 7).alias("seed"), (F.col("id") % 3).alias("model"), F.when(F.col("id") % 10 == 0, "aberto").otherwise("concluido").alias("status")), ["seed", "model"]),
     ", s AS (SELECT DISTINCT CASE WHEN id % 5 <> 0 THEN id % 7 END AS seed, id % 3 AS model FROM queue), b AS (SELECT id, CASE WHEN id % 4 <> 0 THEN id % 7 END AS seed, id % 3 AS model, id % 10 = 0 AS o FROM queue WHERE id < 500) SELECT s.seed, s.model, arg_max(b.id, CAST(o AS BIGINT) * 1000000 + b.id) AS batch_id FROM s JOIN b ON s.seed IS NOT DISTINCT FROM b.seed AND s.model = b.model GROUP BY 1, 2",
 )
 on_table("html_links", "pages", lambda p: p.select("page_id", F.size(urls.links(F.col("html"))).cast("long").alias("n_links")), "SELECT page_id, CAST(len(regexp_extract_all(html, '<a href=\"[^\"]*\">')) AS BIGINT) AS n_links FROM pages")

@@ -4,6 +4,7 @@ import json
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -228,3 +229,17 @@ def test_citation_check_looks_at_every_document(spark, tmp_path):
     assert len(out) == len(want) and {(r.quote_id, r.doc_id): r.page for r in out} == want
     few = coding.verify_all(spark.createDataFrame(list(quotes.items()), "quote_id long, quote string"), spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 8).collect()
     assert len(few) == len(want) and {(r.quote_id, r.doc_id): r.page for r in few} == want
+
+
+def test_batch_lookup_takes_the_whole_queue(spark):
+    queue = spark.range(2000).select("id")
+    c = SimpleNamespace(queue=queue)
+    want: dict = {}
+    for i in range(2000):
+        key = (i % 7 if i % 4 else None, i % 3)
+        want[key] = max(want.get(key, (False, -1)), (i % 10 == 0, i))
+    signatures = {(i % 7 if i % 5 else None, i % 3) for i in range(2000)}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(registry.model, "catalog", lambda spark, d: c)
+        out = registry.queries()["batch_lookup_nullsafe"](spark, "").collect()
+    assert {(r.seed, r.model): r.batch_id for r in out} == {k: v[1] for k, v in want.items() if k in signatures} and len(out) == len(signatures)
