@@ -3,10 +3,10 @@
 Base figures of a text: words, code points in words, symbols, repeated lines, words in repeated 8-word windows.
 
 Cross-document verdict: every line with a word is normalised (lower case, digits to 0, white space collapsed) and
-hashed; for each host the *distinct texts* that hold the line are counted. A line of at most ``max_line_words``
-words is boilerplate where more than ``max(min_docs, share * texts of the host)`` texts hold it. Boilerplate lines
-are removed; a document with less than ``min_left`` of its words left is depleted and rejected. Exact copies count
-as one text, and long paragraphs are never boilerplate, so copies of prose are left to the duplicate operators.
+hashed; for each host the *distinct texts* that hold the line are counted. A line of any length is boilerplate where
+more than ``max(min_docs, share * texts of the host)`` texts hold it. Boilerplate lines are removed; a document with
+less than ``min_left`` of its words left is depleted and rejected. Exact copies count as one text, so they are left to
+the duplicate operators.
 
 Defined results: a null text has no words and fails the base rules; a null host is a host of its own; rows with
 the same id are judged each by its own text; extra columns pass through ``clean``; an empty table gives no rows.
@@ -31,7 +31,6 @@ class Limits:
     max_repeat_percent: int = 30
     min_docs: int = 20
     share: float = 0.01
-    max_line_words: int = 30
     min_left: float = 0.2
 
 
@@ -86,13 +85,13 @@ def line_key(line: Column) -> Column:
     return bound(normalised(line), lambda n: F.struct(F.xxhash64(n).alias("h"), (F.char_length(n) - F.char_length(F.translate(n, " ", "")) + 1).alias("n")))
 
 
-def short_line_keys(text: Column, limits: Limits) -> Column:
-    return F.filter(F.transform(lines_with_words(text), line_key), lambda k: k["n"] <= limits.max_line_words)
+def line_keys(text: Column) -> Column:
+    return F.transform(lines_with_words(text), line_key)
 
 
 def boilerplate(docs: DataFrame, limits: Limits) -> DataFrame:
     """host, h of every boilerplate line; docs has host and text. Partial sums run before each shuffle."""
-    held = docs.select("host", F.xxhash64("text").alias("t"), F.explode(F.array_distinct(F.transform(short_line_keys(F.col("text"), limits), lambda k: k["h"]))).alias("h"))
+    held = docs.select("host", F.xxhash64("text").alias("t"), F.explode(F.array_distinct(F.transform(line_keys(F.col("text")), lambda k: k["h"]))).alias("h"))
     counted = held.groupBy("host", "h", "t").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > limits.min_docs)
     hosts = docs.select("host", F.xxhash64("text").alias("t")).groupBy("host", "t").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("all"))
     return counted.join(hosts, counted["host"].eqNullSafe(hosts["host"])).where(F.col("n") > F.col("all") * limits.share).select(counted["host"], "h")
@@ -117,8 +116,8 @@ def with_boilerplate(docs: DataFrame, limits: Limits) -> tuple[DataFrame, str]:
     return joined.withColumn(bad_name, F.coalesce(F.col(bad_name), F.array().cast("array<bigint>"))), bad_name
 
 
-def removed_words(bad: Column, limits: Limits) -> Column:
-    keys = F.filter(short_line_keys(F.col("text"), limits), lambda k: F.array_contains(bad, k["h"]))
+def removed_words(bad: Column) -> Column:
+    keys = F.filter(line_keys(F.col("text")), lambda k: F.array_contains(bad, k["h"]))
     return F.when(F.size(bad) == 0, F.lit(0)).otherwise(F.aggregate(F.transform(keys, lambda k: k["n"]), F.lit(0), lambda a, x: a + x))
 
 
@@ -134,7 +133,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     """doc_id, base figures, base_failed, n_removed_words and kept, a row for each row of docs."""
     own = only(docs, doc_id=doc_id, text=text, host=host).withColumn("text", text_or_empty("text"))
     marked, bad = with_boilerplate(own, limits)
-    figures = marked.select("doc_id", *base_figures(F.col("text")), removed_words(F.col(bad), limits).cast("long").alias("n_removed_words"))
+    figures = marked.select("doc_id", *base_figures(F.col("text")), removed_words(F.col(bad)).cast("long").alias("n_removed_words"))
     judged = figures.withColumn("base_failed", base_failed(limits))
     return judged.withColumn("kept", ~F.col("base_failed") & ~depleted(limits))
 
@@ -143,8 +142,8 @@ def clean(docs: DataFrame, text: str = "text", host: str = "source", limits: Lim
     """The kept documents without their boilerplate lines; all columns stay, n_chars follows the text."""
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.col(f"`{host}`").alias("host"))
     marked, bad = with_boilerplate(inner, limits)
-    judged = marked.select("row", "text", bad, *base_figures(F.col("text")), removed_words(F.col(bad), limits).alias("n_removed_words")).where(~base_failed(limits) & ~depleted(limits))
-    keep_line = lambda x: (F.translate(x, " \t\n\x0b\x0c\r", "") == "") | bound(line_key(x), lambda k: (k["n"] > limits.max_line_words) | ~F.array_contains(F.col(bad), k["h"]))
+    judged = marked.select("row", "text", bad, *base_figures(F.col("text")), removed_words(F.col(bad)).alias("n_removed_words")).where(~base_failed(limits) & ~depleted(limits))
+    keep_line = lambda x: (F.translate(x, " \t\n\x0b\x0c\r", "") == "") | bound(line_key(x), lambda k: ~F.array_contains(F.col(bad), k["h"]))
     left = F.when(F.col("n_removed_words") == 0, F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), keep_line), "\n"))
     cleaned = judged.select("row", left.alias("text"))
     return cleaned.select(*[replaced(docs, c, text, n_chars) for c in docs.columns])

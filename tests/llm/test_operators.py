@@ -428,6 +428,16 @@ def test_boilerplate_lines(spark, empty):
     assert quality.clean(docs).columns == docs.columns and quality.judge(empty).count() == 0
 
 
+def test_boilerplate_lines_of_any_length(spark):
+    limits = quality.Limits(min_docs=5, share=0.1)
+    notice = prose(400, 45)
+    own = [f"{prose(401 + i, 40)}\n{notice}" for i in range(30)] + [f"{notice}\nalone {i} {'x' * i}" for i in range(3)] + [prose(1, 50)] * 12
+    docs = spark.createDataFrame([(i, t, "en", "h", 0) for i, t in enumerate(own)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r.doc_id: r for r in quality.judge(docs, limits=limits).collect()}
+    assert all(found[i].kept and found[i].n_removed_words == 45 for i in range(30)) and not any(found[i].kept for i in range(30, 33)) and all(found[i].kept for i in range(33, 45))
+    assert {r.text for r in quality.clean(docs, limits=limits).where("doc_id < 33").collect()} == {prose(401 + i, 40) for i in range(30)}
+
+
 # ---- 9: substring deduplication
 
 
