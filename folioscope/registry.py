@@ -201,7 +201,7 @@ on_corpus(
     lambda c: mining.tfidf(c, 1500, 2, 0.9, STOP).select("doc_id", "term", F.round("weight", 6).alias("weight")),
     _ngram_sql(1, 1) + ", tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY 1, 2), n AS (SELECT count(DISTINCT doc_id) AS n FROM corpus), s AS (SELECT term, count(*) AS df, sum(tf) AS a FROM tf GROUP BY 1), v AS (SELECT term, ln(CAST(1 + n AS DOUBLE) / CAST(1 + df AS DOUBLE)) + 1 AS idf FROM s, n WHERE df >= 2 AND df <= n * CAST(0.9 AS DOUBLE) ORDER BY a DESC, term LIMIT 1500), w AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN v USING (term)), l AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM w GROUP BY 1) SELECT doc_id, term, round(w / l, 6) AS weight FROM w JOIN l USING (doc_id)",
 )
-on_corpus("tfidf_projection", lambda c: mining.project_2d(mining.tfidf(c, 200, 2, 0.9, STOP)))
+on_corpus("tfidf_projection", lambda c: mining.project_2d(mining.tfidf(c, 1500, 2, 0.9, STOP)))
 
 # ---- rules and coding ------------------------------------------------------------------------------------------
 

@@ -243,3 +243,10 @@ def test_batch_lookup_takes_the_whole_queue(spark):
         patch.setattr(registry.model, "catalog", lambda spark, d: c)
         out = registry.queries()["batch_lookup_nullsafe"](spark, "").collect()
     assert {(r.seed, r.model): r.batch_id for r in out} == {k: v[1] for k, v in want.items() if k in signatures} and len(out) == len(signatures)
+
+
+def test_projection_uses_as_many_terms_as_tfidf(spark, tmp_path):
+    word = lambda k: "w" + "".join(chr(97 + int(x)) for x in str(k))
+    texts = [" ".join(word(k) for k in range(210)) + f" {word(9000 + i)}" for i in range(4)] + [" ".join(word(k) for k in range(300, 310))] * 2
+    spark.createDataFrame([(i, t, "pt", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in registry.queries()["tfidf_projection"](spark, str(tmp_path)).collect()} == set(range(6))
