@@ -1,41 +1,55 @@
-"""Byte-level BPE with Spark expressions: encoding by folded ranked merges, decoding by joined byte strings.
+"""Byte-level BPE: encoding by folded ranked merges with Spark expressions, decoding by joined byte strings.
 
 The rank file becomes a literal rank map: for each pair of tokens whose bytes together are a token, the rank of that
 token (which is its id). It is laid out as a displaced table, so a pair costs three array reads: the left id gives an
-offset, the right id the slot, and the slot tells whose it is. A word is the array of its bytes' ids; a higher-order
-fold merges, as often as there are bytes, the leftmost pair of lowest rank, and looks up the two new neighbours only.
-A decoded text is the joined byte strings of its ids.
+offset, the right id the slot, and the slot tells whose it is. A word is the array of its bytes' ids, each packed with
+the rank of the pair that starts there; a higher-order fold merges the leftmost pair of lowest rank, as often as there
+are bytes, and looks up the two new neighbours only.
 
-Distinct frequent words are merged once: the HOT most frequent words of about SAMPLE documents (chosen by a hash of the
-text) are encoded and decoded, and the result, bounded by HOT, is a scalar that the words of all documents are looked up
-in. All other words are folded where they stand. The scalar is a cache: it saves work only, and ids are the same
-whatever it holds.
+Every distinct word is merged once, in one of two places:
+
+* the HOT most frequent words of about SAMPLE documents (chosen by a hash of the text) are merged first; the result,
+  bounded by HOT, is a scalar that the words of all documents are looked up in;
+* a document's other words stay in its line of ids as marks. They are exploded, made distinct over all documents by
+  partial aggregation, folded once each and joined back by word, then by document. The exchange that deals the lines
+  out is read by both sides. A word is joined as often as documents hold it, not as often as it stands in them.
+
+HOT, SAMPLE and SLOTS change where a word is merged, never its ids. A word of more than LONG_WORD bytes takes the same
+merges from a heap, in a Python worker, as the fold's cost grows with the square of a word.
 
 Texts are split by the vocabulary's pattern, with ``\\s`` and its kin in their Unicode sense. The JVM's letter and number
 classes are those of its Unicode version; a letter assigned later would split differently.
 
 Defined results: a null text is empty: no ids, the digests of nothing; rows with one id are encoded each; extra columns
-pass through ``encode``; an empty table gives no rows. A word of n bytes costs O(n^2) cheap steps in the worst case.
+pass through ``encode``; an empty table gives no rows. A text's ids and its distinct words must fit into a row.
 """
 
 from __future__ import annotations
 
 import base64
-import struct
+import hashlib
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.llm.common import fresh, only, text_or_empty, written
 
 #: Most frequent words that are encoded once for all documents.
-HOT = 200_000
+HOT = 250_000
 #: Documents, about, whose words are counted to choose them.
 SAMPLE = 20_000
 #: Places of the cache; of words that fall into one, the most frequent stays.
-SLOTS = 1 << 19
+SLOTS = 1 << 20
+#: Bytes beyond which a word is merged by a heap.
+LONG_WORD = 256
+#: Lines of ids hold a character for each id: the id plus SHIFT, past the surrogates. Characters below are free for marks.
+SHIFT, SURROGATES, N_SURROGATES = 0x80, 0xD800, 0x800
+MARK = ","
 NONE = 2**31 - 1
 
 
@@ -44,6 +58,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def char(i: int) -> str:
+    """The character that stands for an id."""
+    return chr(i + SHIFT if i + SHIFT < SURROGATES else i + SHIFT + N_SURROGATES)
+
+
+def ids_of(line: str) -> np.ndarray:
+    points = np.frombuffer(line.encode("utf-32-le"), "<u4")
+    return np.where(points < SURROGATES, points - SHIFT, points - SHIFT - N_SURROGATES).astype("<u4")
+
+
 def merge_all(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
     """The fold in plain Python, for words known on the driver."""
     ids = list(ids)
@@ -59,6 +83,35 @@ def merge_all(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
     return ids
 
 
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same merges in n log n steps: pairs wait in a heap by rank and place; those of merged tokens are stale."""
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the token that starts at i
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    live = [True] * n
+
+    def push(i: int) -> None:
+        if i >= 0 and end[i] < n and (r := ranks.get(word[i : end[end[i]]])) is not None:
+            heapq.heappush(heap, (r, i, end[end[i]]))
+
+    while heap:
+        _, i, to = heapq.heappop(heap)
+        if not live[i] or end[i] >= n or end[end[i]] != to:
+            continue
+        live[end[i]] = False
+        end[i] = to
+        if to < n:
+            before[to] = i
+        push(i)
+        push(before[i])
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : end[i]]])
+        i = end[i]
+    return out
+
+
 @dataclass
 class RankMap:
     """The literals that stand in the plan, as comma-separated text that Spark folds into constant arrays."""
@@ -67,8 +120,8 @@ class RankMap:
     offset: str
     owner: str
     merged: str
-    ids_hex: str
-    bytes_hex: str
+    chars: str
+    tokens: list[bytes]  # the bytes of each id
     whole: list[tuple[bytes, int]]  # tokens that merging alone doesn't reach, but the encoder takes as they are
 
     @classmethod
@@ -101,20 +154,17 @@ class RankMap:
             text(offset.tolist()),
             text(owner.tolist()),
             text(merged.tolist()),
-            text(struct.pack("<I", i).hex() for i in range(size)),
-            text(token.get(i, b"").hex() for i in range(size)),
+            text(char(i) for i in range(size)),
+            [token.get(i, b"") for i in range(size)],
             [(t, r) for t, r in ranks.items() if len(t) > 1 and merge_all([ranks[bytes([b])] for b in t], pairs) != [r]],
         )
 
     def numbers(self, name: str) -> Column:
         return F.split(F.lit(getattr(self, name)), ",").cast("array<int>")
 
-    def strings(self, name: str) -> Column:
-        return F.split(F.lit(getattr(self, name)), ",")
-
     def scalar(self, spark: SparkSession) -> Column:
         """The literals as one struct: evaluated once, into a one-row table that plans refer to without spelling it out."""
-        row = [self.numbers(x).alias(x) for x in ("byte_ids", "offset", "owner", "merged")] + [self.strings(x).alias(x) for x in ("ids_hex", "bytes_hex")]
+        row = [self.numbers(x).alias(x) for x in ("byte_ids", "offset", "owner", "merged")] + [F.split(F.lit(self.chars), ",").alias("chars")]
         return written(spark.range(1).select(F.struct(*row).alias("tables"))).scalar()
 
 
@@ -132,37 +182,34 @@ def encode_word(word: Column, tables: Column, whole: list[tuple[bytes, int]]) ->
 
 
 def _fold(word: Column, tables: Column) -> Column:
-    none = F.lit(NONE)
+    """State: array<long>, for each token the rank of the pair that starts there * 2**32 + its id."""
+    none, low, no_item = F.lit(NONE), F.lit(0xFFFFFFFF).cast("long"), F.array().cast("array<bigint>")
 
-    def rank(a: Column, b: Column) -> Column:
-        slot = F.get(tables["offset"], a) + b
-        return F.when(F.get(tables["owner"], slot) == a, F.get(tables["merged"], slot)).otherwise(none)
+    def item(a: Column, b: Column) -> Column:
+        """Token a before token b, which may be null."""
+        at = F.get(tables["offset"], a) + b
+        rank = F.when(F.get(tables["owner"], at) == a, F.get(tables["merged"], at)).otherwise(none)
+        return F.shiftleft(rank.cast("long"), 32).bitwiseOR(a.cast("long"))
 
+    token = lambda x: x.bitwiseAND(low).cast("int")
     chars = F.filter(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: c != "")
     start = F.transform(chars, lambda c: F.get(tables["byte_ids"], F.ascii(c)))
 
-    def ranked(ids: Column) -> Column:
-        return F.struct(ids.alias("ids"), F.transform(ids, lambda a, i: F.coalesce(rank(a, F.get(ids, i + 1)), none)).alias("ranks"))
-
     def merge(state: Column, _: Column) -> Column:
-        ids, own = state["ids"], state["ranks"]
-
         def joined(best: Column, p: Column) -> Column:
-            left = F.when(p > 1, F.array(F.coalesce(rank(F.get(ids, p - 2), best), none))).otherwise(F.array().cast("array<int>"))
-            right = F.array(F.coalesce(rank(best, F.get(ids, p + 1)), none))
-            new_ids = F.concat(F.slice(ids, 1, p - 1), F.array(best), F.slice(ids, p + 2, F.size(ids)))
-            new_ranks = F.concat(F.slice(own, 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(own, p + 2, F.size(ids)))
-            return F.struct(new_ids.alias("ids"), new_ranks.alias("ranks"))
+            left = F.when(p > 1, F.array(item(token(F.get(state, p - 2)), best))).otherwise(no_item)
+            return F.concat(F.slice(state, 1, F.greatest(p - 2, F.lit(0))), left, F.array(item(best, token(F.get(state, p + 1)))), F.slice(state, p + 2, F.size(state)))
 
-        return let(F.array_min(own), lambda best: F.when(best == none, state).otherwise(let(F.array_position(own, best).cast("int"), lambda p: joined(best, p))))
+        found = lambda m: let(F.shiftright(m, 32).cast("int"), lambda best: let(F.array_position(state, m).cast("int"), lambda p: joined(best, p)))
+        return let(F.array_min(state), lambda m: F.when(m >= F.lit(NONE << 32), state).otherwise(found(m)))
 
-    return let(start, lambda s: F.aggregate(F.slice(s, 2, F.size(s)), ranked(s), merge, lambda state: state["ids"]))
+    first = lambda s: F.transform(s, lambda a, i: item(a, F.get(s, i + 1)))
+    return let(start, lambda s: F.aggregate(F.slice(s, 2, F.size(s)), first(s), merge, lambda state: F.transform(state, token)))
 
 
-def coded(word: Column, tables: Column, whole: list[tuple[bytes, int]]) -> Column:
-    """struct<ids, bytes>: a word's ids as little-endian 32-bit numbers, and the decoded ids, both in hex."""
-    text = lambda ids, name: F.array_join(F.transform(ids, lambda i: F.get(tables[name], i)), "")
-    return let(encode_word(word, tables, whole), lambda ids: F.struct(text(ids, "ids_hex").alias("ids"), text(ids, "bytes_hex").alias("bytes")))
+def line_of(word: Column, tables: Column, whole: list[tuple[bytes, int]]) -> Column:
+    """A word's ids as a string of one character each."""
+    return F.array_join(F.transform(encode_word(word, tables, whole), lambda i: F.get(tables["chars"], i)), "")
 
 
 def pieces(text: Column, pattern: str) -> Column:
@@ -170,13 +217,13 @@ def pieces(text: Column, pattern: str) -> Column:
 
 
 def hot_words(docs: DataFrame, tables: Column, ranks: RankMap, pattern: str, hot: int) -> Column:
-    """A scalar: an array with a frequent word and its code, or null, at each hash of a word. docs: text."""
+    """A scalar: an array with a frequent word and its line of ids, or null, at each hash of a word. docs: text."""
     every_nth = max(1, docs.count() // SAMPLE)
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every_nth)) == 0)
-    words = sample.select(F.explode(pieces(F.col("text"), pattern)).alias("word"))
+    words = sample.select(F.explode(pieces(F.col("text"), pattern)).alias("word")).where(F.octet_length("word") <= LONG_WORD)
     top = written(words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(hot))
     placed = top.groupBy(slot(F.col("word")).alias("k")).agg(F.max_by("word", F.struct("count", "word")).alias("word"))
-    code = let(F.col("tables"), lambda t: coded(F.col("word"), t, ranks.whole))
+    code = let(F.col("tables"), lambda t: line_of(F.col("word"), t, ranks.whole))
     codes = placed.withColumn("tables", tables).select("k", F.struct("word", code.alias("code")).alias("entry"))
     every = docs.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("k"))
     table = written(every.join(codes, "k", "left").select(F.struct("k", "entry").alias("x")))
@@ -187,40 +234,108 @@ def slot(word: Column) -> Column:
     return F.pmod(F.hash(word), F.lit(SLOTS))
 
 
-def with_codes(docs: DataFrame, text: str, ranks: RankMap, pattern: str, hot: int = HOT) -> tuple[DataFrame, str]:
-    """docs and a column with the array of its words' codes; and that column's name."""
-    name = fresh(docs.columns, "codes")
+def folded(words: DataFrame, tables: Column, ranks: RankMap) -> DataFrame:
+    """words (word, each once) and their lines of ids."""
+    size = F.octet_length("word")
+    short = words.where(size <= LONG_WORD).withColumn("tables", tables)
+    short = short.select("word", let(F.col("tables"), lambda t: line_of(F.col("word"), t, ranks.whole)).alias("code"))
+    by_bytes = {t: i for i, t in enumerate(ranks.tokens) if t}
+
+    def run(batches):
+        for batch in batches:
+            for word in batch.column(0).to_pylist():
+                raw = word.encode()
+                ids = [by_bytes[raw]] if raw in by_bytes else merge_long(raw, by_bytes)
+                yield pa.RecordBatch.from_arrays([pa.array([word], pa.string()), pa.array(["".join(map(char, ids))], pa.string())], names=["word", "code"])
+
+    return short.unionByName(words.where(size > LONG_WORD).mapInArrow(run, "word string, code string"))
+
+
+def lines(docs: DataFrame, ranks: RankMap, pattern: str, hot: int) -> DataFrame:
+    """held, an array of the row's id as text and its line of ids with marks; and codes, the words that the marks name.
+
+    docs: doc_id, text. A mark is the word in hex between two commas, so every second part of a line is one.
+    """
     tables = ranks.scalar(docs.sparkSession)
-    known = hot_words(docs.select(F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull()), tables, ranks, pattern, hot)
-    # a scalar may not stand inside a higher-order function, a column may; the optimizer puts both together
-    held = [fresh([*docs.columns, name], x) for x in ("known", "tables")]
+    known = hot_words(docs.select("text").where(F.col("text").isNotNull()), tables, ranks, pattern, hot)
+    mark = lambda w: F.concat(F.lit(MARK), F.hex(F.encode(w, "UTF-8")), F.lit(MARK))
+
+    def line(cache: Column) -> Column:
+        of = lambda w: let(F.get(cache, slot(w)), lambda e: F.when(e["word"] == w, e["code"]).otherwise(mark(w)))
+        return F.array_join(F.transform(pieces(text_or_empty("text"), pattern), of), "")
+
+    # the two keys tell rows apart; id and line are one column, so that both readers ask the exchange for the same
+    key = [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit("second"), "text", "doc_id").alias("k2")]
+    made = docs.withColumn("known", known).select(*key, F.array(F.col("doc_id").cast("string"), let(F.col("known"), line)).alias("held"))
+    dealt = made.repartition("k1", "k2")
+    marks = F.filter(F.split(F.get("held", F.lit(1)), MARK), lambda _, i: i % 2 == 1)
+    asked = dealt.select("k1", "k2", F.explode(F.array_distinct(marks)).alias("hex"))
+    words = asked.select("hex").distinct().select(F.decode(F.unhex("hex"), "UTF-8").alias("word"))
+    codes = folded(words, tables, ranks).select(F.hex(F.encode("word", "UTF-8")).alias("hex"), "code")
+    found = asked.join(codes, "hex").groupBy("k1", "k2").agg(F.collect_set(F.struct("hex", "code")).alias("codes"))
+    return dealt.join(found, ["k1", "k2"], "left").select("held", "codes")
 
-    def codes(cache: Column, t: Column) -> Column:
-        of = lambda w: F.when(F.get(cache, slot(w))["word"] == w, F.get(cache, slot(w))["code"]).otherwise(coded(w, t, ranks.whole))
-        return F.transform(pieces(text_or_empty(text), pattern), of)
 
-    found = let(F.col(held[1]), lambda t: let(F.col(held[0]), lambda cache: codes(cache, t)))
-    return docs.withColumns({held[0]: known, held[1]: tables}).withColumn(name, found).drop(*held), name
+def whole_line(line: str, codes: list[dict] | None) -> str:
+    if not codes:
+        return line
+    of = {c["hex"]: c["code"] for c in codes}
+    parts = line.split(MARK)
+    parts[1::2] = [of[x] for x in parts[1::2]]
+    return "".join(parts)
 
 
-def digests(codes: Column) -> list[Column]:
-    ids, raw = F.unhex(F.array_join(codes["ids"], "")), F.unhex(F.array_join(codes["bytes"], ""))
-    return [(F.octet_length(ids) / 4).cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(raw, 256).alias("decoded_sha256")]
+def decoded(ids: np.ndarray, tokens: list[bytes]) -> bytes:
+    """Decoding: the joined bytes of the ids."""
+    return b"".join(map(tokens.__getitem__, ids.tolist()))
+
+
+def mapped(docs: DataFrame, ranks: RankMap, pattern: str, hot: int, of, kinds: list[T.StructField]) -> DataFrame:
+    """doc_id and the values of(ids) of each row of docs (doc_id, text)."""
+    schema = T.StructType([T.StructField("doc_id", T.StringType()), *kinds])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                held, codes = part.column(0).to_pylist(), part.column(1).to_pylist()
+                values = [of(ids_of(whole_line(h[1], c))) for h, c in zip(held, codes, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.string()), *[pa.array(list(v)) for v in zip(*values, strict=True)]], names=schema.fieldNames())
+
+    out = lines(docs, ranks, pattern, hot).mapInArrow(run, schema)
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def report(docs: DataFrame, ranks: RankMap, pattern: str, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256, a row for each document."""
-    own, codes = with_codes(only(docs, doc_id=doc_id, text=text), "text", ranks, pattern, hot)
-    return own.select("doc_id", *digests(F.col(codes)))
+    tokens = ranks.tokens
 
+    def digests(ids: np.ndarray) -> tuple:
+        return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded(ids, tokens)).hexdigest()
 
-def encode(docs: DataFrame, ranks: RankMap, pattern: str, text: str = "text", hot: int = HOT) -> DataFrame:
-    """docs with the ids (little-endian 32-bit, binary) in a new column token_ids."""
-    own, codes = with_codes(docs, text, ranks, pattern, hot)
-    return own.withColumn(fresh(docs.columns, "token_ids"), F.unhex(F.array_join(F.col(codes)["ids"], ""))).drop(codes)
+    kinds = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return mapped(only(docs, doc_id=doc_id, text=text), ranks, pattern, hot, digests, kinds)
 
 
-def decode(ids: Column, ranks: RankMap) -> Column:
-    """The bytes of an array<int> of ids."""
-    pieces_ = ranks.strings("bytes_hex")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces_, i)), ""))
+def encode(docs: DataFrame, ranks: RankMap, pattern: str, text: str = "text", hot: int = HOT) -> DataFrame:
+    """docs with the ids (little-endian 32-bit, binary) in a new column token_ids; each distinct text is encoded once."""
+    key, name = fresh(docs.columns, "text_key"), fresh(docs.columns, "token_ids")
+    keyed = docs.withColumn(key, F.sha2(text_or_empty(f"`{text}`"), 256))
+    texts = keyed.select(F.col(key).alias("doc_id"), F.col(f"`{text}`").alias("text")).dropDuplicates(["doc_id"])
+    ids = mapped(texts, ranks, pattern, hot, lambda ids: (ids.tobytes(),), [T.StructField("ids", T.BinaryType())])
+    return keyed.join(ids.select(F.col("doc_id").alias(key), F.col("ids").alias(name)), key, "left").drop(key)
+
+
+def decode(docs: DataFrame, ranks: RankMap, ids: str = "token_ids") -> DataFrame:
+    """docs with the decoded bytes of a column of ids (little-endian 32-bit, binary; null gives none) in a new column decoded."""
+    tokens, name = ranks.tokens, fresh(docs.columns, "decoded")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                raw = [None if x is None else decoded(np.frombuffer(x, "<u4"), tokens) for x in part.column(part.schema.get_field_index(ids)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], names=schema.fieldNames())
+
+    return docs.mapInArrow(run, schema)

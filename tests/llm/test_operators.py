@@ -87,12 +87,33 @@ def test_bpe_cache_changes_nothing(docs, rank_map):
     assert a == b
 
 
-def test_bpe_ids_and_decode(docs, rank_map):
-    out = bpe.encode(docs.where("doc_id in (6, 8)"), rank_map, public_tokenizers.PATTERN, hot=10)
-    for r in out.collect():
-        ids = list(np.frombuffer(bytes(r.token_ids), "<u4"))
-        back = out.sparkSession.createDataFrame([([int(i) for i in ids],)], "ids array<int>").select(bpe.decode(F.col("ids"), rank_map).alias("b")).first().b
-        assert bytes(back).decode() == r.text
+def test_bpe_ids_and_decode(docs, texts, rank_map):
+    out = bpe.decode(bpe.encode(docs.unionAll(docs), rank_map, public_tokenizers.PATTERN, hot=10), rank_map)
+    found = [(r.doc_id, r.row, bytes(r.decoded).decode()) for r in out.collect()]
+    assert sorted(found) == sorted([(i, "r", t or "") for i, t in enumerate(texts)] * 2)
+
+
+def test_bpe_repeated_ids_and_rows(spark, rank_map, ranks):
+    import tiktoken
+
+    tool = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows_ = [(1, "zwrkq, vvpli zwrkq"), (1, "another qqzzvv"), (1, "zwrkq, vvpli zwrkq"), (None, "nulls qqzzvv"), (None, None), (2, "a,b,,c , 中文,字")]
+    found = bpe.report(spark.createDataFrame(rows_, "doc_id long, text string"), rank_map, public_tokenizers.PATTERN, hot=2).collect()
+    want = [(i, hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()) for i, t in rows_ for ids in [tool.encode_ordinary(t or "")]]
+    assert sorted(((r.doc_id, r.ids_sha256) for r in found), key=str) == sorted(want, key=str)
+
+
+def test_bpe_very_long_words(spark, rank_map, ranks):
+    """A word of a megabyte, and words around the length from which the heap takes over."""
+    import tiktoken
+
+    tool = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(8)
+    words = ["".join(chr(r.randint(0x4E00, 0x4FFF)) for _ in range(n)) for n in (84, 85, 86, 87, 350_000)] + ["".join(r.choice("abcde") for _ in range(n)) for n in (255, 256, 257, 600)]
+    found = {x.doc_id: x.ids_sha256 for x in bpe.report(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string"), rank_map, public_tokenizers.PATTERN, hot=20).collect()}
+    for i, t in enumerate(words):
+        ids = tool.encode_ordinary(t)
+        assert found[i] == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
 
 
 def test_bpe_empty_table(empty, rank_map):
