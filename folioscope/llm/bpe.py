@@ -2,20 +2,23 @@
 
 The rank file becomes a literal rank map: for each pair of tokens whose bytes together are a token, the rank of that
 token (which is its id). It is laid out as a displaced table, so a pair costs three array reads: the left id gives an
-offset, the right id the slot, and the slot tells whose it is. A word is the array of its bytes' ids, each packed with
-the rank of the pair that starts there; a higher-order fold merges the leftmost pair of lowest rank, as often as there
-are bytes, and looks up the two new neighbours only.
+offset, the right id the slot, and the slot tells whose it is. A token is written as one character whose code point
+follows its id, so the state of a word is two strings, the tokens and the ranks of the pairs that start at each, and a
+merge overlays a character or two. A higher-order fold over the word's bytes merges the leftmost pair of lowest rank at
+every step and looks up the two new neighbours only.
 
 Every distinct word is merged once, in one of two places:
 
-* the HOT most frequent words of about SAMPLE documents (chosen by a hash of the text) are merged first; the result,
-  bounded by HOT, is a scalar that the words of all documents are looked up in;
-* a document's other words stay in its line of ids as marks. They are exploded, made distinct over all documents by
-  partial aggregation, folded once each and joined back by word, then by document. The exchange that deals the lines
-  out is read by both sides. A word is joined as often as documents hold it, not as often as it stands in them.
+* the HOT most frequent words of about SAMPLE documents (chosen by a hash of the text) are numbered by frequency and
+  merged first; a scalar, bounded by HOT, tells a word's number;
+* a text becomes a line: a character for each numbered word, and other words as they are, between marks. These are
+  exploded, made distinct over all documents by partial aggregation, folded once each and joined back by word, then by
+  document. The exchange that deals the lines out is read by both sides. A word is joined as often as documents hold
+  it, not as often as it stands in them.
 
 HOT, SAMPLE and SLOTS change where a word is merged, never its ids. A word of more than LONG_WORD bytes takes the same
-merges from a heap, in a Python worker, as the fold's cost grows with the square of a word.
+merges from a heap, in a Python worker, as the fold's cost grows with the square of a word. Workers put the ids of a
+line together and decode them by joining the bytes of each.
 
 Texts are split by the vocabulary's pattern, with ``\\s`` and its kin in their Unicode sense. The JVM's letter and number
 classes are those of its Unicode version; a letter assigned later would split differently.
@@ -29,27 +32,32 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import fresh, only, text_or_empty, written
+from folioscope.llm.common import filesystem, fresh, only, shared_dir, text_or_empty, written
 
 #: Most frequent words that are encoded once for all documents.
-HOT = 250_000
+HOT = 400_000
 #: Documents, about, whose words are counted to choose them.
 SAMPLE = 20_000
 #: Places of the cache; of words that fall into one, the most frequent stays.
-SLOTS = 1 << 20
+SLOTS = 1 << 21
 #: Bytes beyond which a word is merged by a heap.
 LONG_WORD = 256
-#: Lines of ids hold a character for each id: the id plus SHIFT, past the surrogates. Characters below are free for marks.
-SHIFT, SURROGATES, N_SURROGATES = 0x80, 0xD800, 0x800
-MARK = ","
+#: A number is written as the character with that code point, past MARK and the surrogates.
+MARK, ESCAPE, SURROGATES, N_SURROGATES = "\x00", "\x01", 0xD800, 0x800
+MOST = 0x110000 - N_SURROGATES - 2
+#: Texts that a worker puts together at once.
+BATCH = 200
+NO_PAIR = "\U0010ffff"
 NONE = 2**31 - 1
 
 
@@ -59,13 +67,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def char(i: int) -> str:
-    """The character that stands for an id."""
-    return chr(i + SHIFT if i + SHIFT < SURROGATES else i + SHIFT + N_SURROGATES)
+    """The character that stands for a number below MOST."""
+    return chr(i + 1 if i + 1 < SURROGATES else i + 1 + N_SURROGATES)
 
 
-def ids_of(line: str) -> np.ndarray:
-    points = np.frombuffer(line.encode("utf-32-le"), "<u4")
-    return np.where(points < SURROGATES, points - SHIFT, points - SHIFT - N_SURROGATES).astype("<u4")
+def numbers_of(line: str) -> np.ndarray:
+    points = np.frombuffer(line.encode("utf-32-le"), "<u4").astype(np.int64)
+    return points - 1 - N_SURROGATES * (points >= SURROGATES)
 
 
 def merge_all(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
@@ -114,13 +122,12 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 @dataclass
 class RankMap:
-    """The literals that stand in the plan, as comma-separated text that Spark folds into constant arrays."""
+    """The literals that stand in the plan, as joined text that Spark folds into constant arrays; places are code points."""
 
-    byte_ids: str
+    byte_chars: str
     offset: str
     owner: str
     merged: str
-    chars: str
     tokens: list[bytes]  # the bytes of each id
     whole: list[tuple[bytes, int]]  # tokens that merging alone doesn't reach, but the encoder takes as they are
 
@@ -130,41 +137,45 @@ class RankMap:
 
     @classmethod
     def of(cls, ranks: dict[bytes, int]) -> "RankMap":
-        size = max(ranks.values()) + 1
         pairs = {(ranks[t[:k]], ranks[t[k:]]): r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        point = {r: ord(char(r)) for r in ranks.values()}
+        size = max(point.values()) + 1
         rows: dict[int, list[int]] = {}
         for left, right in pairs:
             rows.setdefault(left, []).append(right)
         slots = 1 << max(10, (2 * len(pairs)).bit_length())
         taken, offset = np.zeros(slots + size, bool), np.zeros(size, np.int64)
-        owner, merged = np.full(slots + size, -1, np.int64), np.zeros(slots + size, np.int64)
+        owner, merged = np.full(slots + size, -1, np.int64), [""] * (slots + size)
         rng = np.random.default_rng(0)
         for left in sorted(rows, key=lambda x: (-len(rows[x]), x)):
-            own = np.array(rows[left])
+            own = np.array([point[r] for r in rows[left]])
             while True:
                 at = int(rng.integers(0, slots))
                 if not taken[at + own].any():
                     break
-            taken[at + own], offset[left], owner[at + own] = True, at, left
-            merged[at + own] = [pairs[left, r] for r in rows[left]]
+            taken[at + own], offset[point[left]], owner[at + own] = True, at, point[left]
+            for r in rows[left]:
+                merged[at + point[r]] = char(pairs[left, r])
         token = {r: t for t, r in ranks.items()}
         text = lambda x: ",".join(map(str, x))
         return cls(
-            text(ranks[bytes([i])] for i in range(256)),
+            MARK.join(char(ranks[bytes([i])]) for i in range(256)),
             text(offset.tolist()),
             text(owner.tolist()),
-            text(merged.tolist()),
-            text(char(i) for i in range(size)),
-            [token.get(i, b"") for i in range(size)],
+            MARK.join(merged),
+            [token.get(i, b"") for i in range(max(ranks.values()) + 1)],
             [(t, r) for t, r in ranks.items() if len(t) > 1 and merge_all([ranks[bytes([b])] for b in t], pairs) != [r]],
         )
 
     def numbers(self, name: str) -> Column:
         return F.split(F.lit(getattr(self, name)), ",").cast("array<int>")
 
+    def strings(self, name: str) -> Column:
+        return F.split(F.lit(getattr(self, name)), MARK)
+
     def scalar(self, spark: SparkSession) -> Column:
         """The literals as one struct: evaluated once, into a one-row table that plans refer to without spelling it out."""
-        row = [self.numbers(x).alias(x) for x in ("byte_ids", "offset", "owner", "merged")] + [F.split(F.lit(self.chars), ",").alias("chars")]
+        row = [self.numbers(x).alias(x) for x in ("offset", "owner")] + [self.strings(x).alias(x) for x in ("byte_chars", "merged")]
         return written(spark.range(1).select(F.struct(*row).alias("tables"))).scalar()
 
 
@@ -173,72 +184,90 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def encode_word(word: Column, tables: Column, whole: list[tuple[bytes, int]]) -> Column:
-    """array<int>: the ids of one word. tables: RankMap.scalar(), or a variable bound to it."""
-    folded = _fold(word, tables)
-    for token, rank_ in whole:
-        folded = F.when(F.encode(word, "UTF-8") == F.unhex(F.lit(token.hex())), F.array(F.lit(rank_))).otherwise(folded)
-    return folded
+def word_line(word: Column, tables: Column, whole: list[tuple[bytes, int]]) -> Column:
+    """The ids of one word, a character each. tables: RankMap.scalar(), or a variable bound to it."""
+    line = _fold(word, tables)
+    for token, rank in whole:
+        line = F.when(F.encode(word, "UTF-8") == F.unhex(F.lit(token.hex())), F.lit(char(rank))).otherwise(line)
+    return line
 
 
 def _fold(word: Column, tables: Column) -> Column:
-    """State: array<long>, for each token the rank of the pair that starts there * 2**32 + its id."""
-    none, low, no_item = F.lit(NONE), F.lit(0xFFFFFFFF).cast("long"), F.array().cast("array<bigint>")
+    none = F.lit(NO_PAIR)
 
-    def item(a: Column, b: Column) -> Column:
-        """Token a before token b, which may be null."""
-        at = F.get(tables["offset"], a) + b
-        rank = F.when(F.get(tables["owner"], at) == a, F.get(tables["merged"], at)).otherwise(none)
-        return F.shiftleft(rank.cast("long"), 32).bitwiseOR(a.cast("long"))
+    def pair(a: Column, b: Column) -> Column:
+        """The rank of tokens a and b, which may be no token, as a character."""
+        at = F.get(tables["offset"], F.ascii(a)) + F.ascii(b)
+        return F.when(F.get(tables["owner"], at) == F.ascii(a), F.get(tables["merged"], at)).otherwise(none)
 
-    token = lambda x: x.bitwiseAND(low).cast("int")
     chars = F.filter(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: c != "")
-    start = F.transform(chars, lambda c: F.get(tables["byte_ids"], F.ascii(c)))
-
-    def merge(state: Column, _: Column) -> Column:
-        def joined(best: Column, p: Column) -> Column:
-            left = F.when(p > 1, F.array(item(token(F.get(state, p - 2)), best))).otherwise(no_item)
-            return F.concat(F.slice(state, 1, F.greatest(p - 2, F.lit(0))), left, F.array(item(best, token(F.get(state, p + 1)))), F.slice(state, p + 2, F.size(state)))
+    start = F.transform(chars, lambda c: F.get(tables["byte_chars"], F.ascii(c)))
+    state = lambda tokens, ranks: F.struct(tokens.alias("tokens"), ranks.alias("ranks"))
 
-        found = lambda m: let(F.shiftright(m, 32).cast("int"), lambda best: let(F.array_position(state, m).cast("int"), lambda p: joined(best, p)))
-        return let(F.array_min(state), lambda m: F.when(m >= F.lit(NONE << 32), state).otherwise(found(m)))
+    def merge(now: Column, _: Column) -> Column:
+        tokens, ranks = now["tokens"], now["ranks"]
 
-    first = lambda s: F.transform(s, lambda a, i: item(a, F.get(s, i + 1)))
-    return let(start, lambda s: F.aggregate(F.slice(s, 2, F.size(s)), first(s), merge, lambda state: F.transform(state, token)))
+        def joined(best: Column, p: Column) -> Column:
+            # the rank of a pair is its token's id, so the character found among the ranks is the new token
+            after = pair(best, F.substring(tokens, p + 2, F.lit(1)))
+            before = pair(F.substring(tokens, p - 1, F.lit(1)), best)
+            new = F.when(p > 1, F.overlay(ranks, F.concat(before, after), p - 1, F.lit(3))).otherwise(F.overlay(ranks, after, p, F.lit(2)))
+            return state(F.overlay(tokens, best, p, F.lit(2)), new)
 
+        found = lambda best: F.when(best == none, now).otherwise(let(F.instr(ranks, best), lambda p: joined(best, p)))
+        return let(F.array_min(F.split(ranks, "")), found)
 
-def line_of(word: Column, tables: Column, whole: list[tuple[bytes, int]]) -> Column:
-    """A word's ids as a string of one character each."""
-    return F.array_join(F.transform(encode_word(word, tables, whole), lambda i: F.get(tables["chars"], i)), "")
+    first = lambda s: F.transform(s, lambda a, i: F.coalesce(pair(a, F.get(s, i + 1)), none))
+    return let(start, lambda s: F.aggregate(F.slice(s, 2, F.size(s)), state(F.array_join(s, ""), F.array_join(first(s), "")), merge, lambda now: now["tokens"]))
 
 
 def pieces(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
 
 
-def hot_words(docs: DataFrame, tables: Column, ranks: RankMap, pattern: str, hot: int) -> Column:
-    """A scalar: an array with a frequent word and its line of ids, or null, at each hash of a word. docs: text."""
-    every_nth = max(1, docs.count() // SAMPLE)
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every_nth)) == 0)
-    words = sample.select(F.explode(pieces(F.col("text"), pattern)).alias("word")).where(F.octet_length("word") <= LONG_WORD)
-    top = written(words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(hot))
-    placed = top.groupBy(slot(F.col("word")).alias("k")).agg(F.max_by("word", F.struct("count", "word")).alias("word"))
-    code = let(F.col("tables"), lambda t: line_of(F.col("word"), t, ranks.whole))
-    codes = placed.withColumn("tables", tables).select("k", F.struct("word", code.alias("code")).alias("entry"))
-    every = docs.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("k"))
-    table = written(every.join(codes, "k", "left").select(F.struct("k", "entry").alias("x")))
-    return table.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["entry"])).scalar()
-
-
 def slot(word: Column) -> Column:
     return F.pmod(F.hash(word), F.lit(SLOTS))
 
 
+class HotWords:
+    """The most frequent words, numbered by frequency: how plans find a number, and in which folder workers find the ids."""
+
+    def __init__(self, docs: DataFrame, tables: Column, ranks: RankMap, pattern: str, hot: int):
+        """docs: text."""
+        spark = docs.sparkSession
+        every_nth = max(1, docs.count() // SAMPLE)
+        sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every_nth)) == 0)
+        words = sample.select(F.explode(pieces(F.col("text"), pattern)).alias("word")).where(F.octet_length("word") <= LONG_WORD)
+        top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(hot)
+        listed = written(top.agg(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("count"), "word"))), lambda x: x["word"]).alias("words")))
+        numbered = listed.select(F.posexplode("words").alias("number", "word"))
+        self.path = shared_dir(spark)
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        coded = numbered.repartition(parts, "number").withColumn("tables", tables)
+        coded.select("number", let(F.col("tables"), lambda t: word_line(F.col("word"), t, ranks.whole)).alias("code")).write.parquet(self.path)
+        places = numbered.groupBy(slot(F.col("word")).alias("k")).agg(F.min("number").alias("number"))
+        every = spark.range(SLOTS).select(F.col("id").cast("int").alias("k")).join(places, "k", "left")
+        place = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "number"))), lambda x: x["number"]).alias("place"))
+        chars = F.split(F.lit(MARK.join(map(char, range(hot)))), MARK)
+        self.known = written(place.crossJoin(listed).select(F.struct("place", "words", chars.alias("chars")).alias("known"))).scalar()
+
+
+def hot_lines(folder: str) -> list[str]:
+    """The lines of ids of all numbered words, on a worker."""
+    import pyarrow.parquet as pq
+
+    store, path = filesystem(folder)
+    files = [f.path for f in store.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")]
+    tables = [pq.read_table(store.open_input_file(f)) for f in files]
+    pairs = [p for t in tables for p in zip(t.column("number").to_pylist(), t.column("code").to_pylist(), strict=True)]
+    return [code for _, code in sorted(pairs)]
+
+
 def folded(words: DataFrame, tables: Column, ranks: RankMap) -> DataFrame:
     """words (word, each once) and their lines of ids."""
     size = F.octet_length("word")
     short = words.where(size <= LONG_WORD).withColumn("tables", tables)
-    short = short.select("word", let(F.col("tables"), lambda t: line_of(F.col("word"), t, ranks.whole)).alias("code"))
+    short = short.select("word", let(F.col("tables"), lambda t: word_line(F.col("word"), t, ranks.whole)).alias("code"))
     by_bytes = {t: i for i, t in enumerate(ranks.tokens) if t}
 
     def run(batches):
@@ -251,38 +280,81 @@ def folded(words: DataFrame, tables: Column, ranks: RankMap) -> DataFrame:
     return short.unionByName(words.where(size > LONG_WORD).mapInArrow(run, "word string, code string"))
 
 
-def lines(docs: DataFrame, ranks: RankMap, pattern: str, hot: int) -> DataFrame:
-    """held, an array of the row's id as text and its line of ids with marks; and codes, the words that the marks name.
+def escaped(word: Column) -> Column:
+    return F.replace(F.replace(word, F.lit(ESCAPE), F.lit(ESCAPE + "b")), F.lit(MARK), F.lit(ESCAPE + "a"))
 
-    docs: doc_id, text. A mark is the word in hex between two commas, so every second part of a line is one.
-    """
-    tables = ranks.scalar(docs.sparkSession)
-    known = hot_words(docs.select("text").where(F.col("text").isNotNull()), tables, ranks, pattern, hot)
-    mark = lambda w: F.concat(F.lit(MARK), F.hex(F.encode(w, "UTF-8")), F.lit(MARK))
 
-    def line(cache: Column) -> Column:
-        of = lambda w: let(F.get(cache, slot(w)), lambda e: F.when(e["word"] == w, e["code"]).otherwise(mark(w)))
-        return F.array_join(F.transform(pieces(text_or_empty("text"), pattern), of), "")
+def unescaped(word: Column) -> Column:
+    return F.replace(F.replace(word, F.lit(ESCAPE + "a"), F.lit(MARK)), F.lit(ESCAPE + "b"), F.lit(ESCAPE))
 
-    # the two keys tell rows apart; id and line are one column, so that both readers ask the exchange for the same
-    key = [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit("second"), "text", "doc_id").alias("k2")]
-    made = docs.withColumn("known", known).select(*key, F.array(F.col("doc_id").cast("string"), let(F.col("known"), line)).alias("held"))
-    dealt = made.repartition("k1", "k2")
-    marks = F.filter(F.split(F.get("held", F.lit(1)), MARK), lambda _, i: i % 2 == 1)
-    asked = dealt.select("k1", "k2", F.explode(F.array_distinct(marks)).alias("hex"))
-    words = asked.select("hex").distinct().select(F.decode(F.unhex("hex"), "UTF-8").alias("word"))
-    codes = folded(words, tables, ranks).select(F.hex(F.encode("word", "UTF-8")).alias("hex"), "code")
-    found = asked.join(codes, "hex").groupBy("k1", "k2").agg(F.collect_set(F.struct("hex", "code")).alias("codes"))
-    return dealt.join(found, ["k1", "k2"], "left").select("held", "codes")
 
+def lines(docs: DataFrame, ranks: RankMap, pattern: str, tables: Column, hot: HotWords) -> DataFrame:
+    """held, an array of the row's id as text and its line; and codes, the other words' ids, MARK and the word each.
 
-def whole_line(line: str, codes: list[dict] | None) -> str:
-    if not codes:
-        return line
-    of = {c["hex"]: c["code"] for c in codes}
-    parts = line.split(MARK)
-    parts[1::2] = [of[x] for x in parts[1::2]]
-    return "".join(parts)
+    docs: doc_id, text. Other words stand between two marks, so every second part of a line is one.
+    """
+
+    def line(known: Column) -> Column:
+        other = lambda w: F.concat(F.lit(MARK), escaped(w), F.lit(MARK))
+        of = lambda w: let(F.get(known["place"], slot(w)), lambda n: F.when(F.get(known["words"], n) == w, F.get(known["chars"], n)).otherwise(other(w)))
+        return F.array_join(F.transform(pieces(text_or_empty("text"), pattern), of), "")
+
+    # rows that share a key share the words found, which does no harm; id and line are one column, so that both readers
+    # ask the exchange for the same
+    made = docs.withColumn("known", hot.known).select(F.xxhash64("doc_id", "text").alias("key"), F.array(F.col("doc_id").cast("string"), let(F.col("known"), line)).alias("held"))
+    dealt = made.repartition("key")
+    marked = F.filter(F.split(F.get("held", F.lit(1)), MARK), lambda _, i: i % 2 == 1)
+    asked = dealt.select("key", F.explode(F.array_distinct(marked)).alias("word"))
+    words = asked.select("word").distinct().select(unescaped(F.col("word")).alias("word"))
+    codes = folded(words, tables, ranks).select(escaped(F.col("word")).alias("word"), "code")
+    found = asked.join(codes, "word").groupBy("key").agg(F.collect_set(F.concat("code", F.lit(MARK), "word")).alias("codes"))
+    return dealt.join(found, "key", "left").select("held", "codes")
+
+
+class Joiner:
+    """Puts the ids of lines together, many at once."""
+
+    def __init__(self, hot: list[str]):
+        own = [numbers_of(x) for x in hot]
+        self.n, self.size = len(hot), np.array([len(x) for x in own], np.int64)
+        self.flat = np.concatenate(own) if own else np.zeros(0, np.int64)
+
+    def ids(self, held: list[list], codes: list[list[str] | None]) -> Iterator[np.ndarray]:
+        if self.n + sum(map(len, filter(None, codes))) < MOST:
+            yield from self._together([h[1] for h in held], codes)
+        elif len(held) > 1:
+            for h, found in zip(held, codes, strict=True):
+                yield from self.ids([h], [found])
+        else:  # more distinct words than there are characters: part by part
+            of = {word: numbers_of(code).astype("<u4") for code, _, word in (x.partition(MARK) for x in codes[0])}
+            yield np.concatenate([of[x] if k % 2 else next(self._together([x], [None])) for k, x in enumerate(held[0][1].split(MARK))])
+
+    def _together(self, texts: list[str], codes: list[list[str] | None]) -> Iterator[np.ndarray]:
+        of: dict[str, str] = {}
+        others: list[str] = []
+        whole = []
+        for line, found in zip(texts, codes, strict=True):
+            if found:
+                for x in found:
+                    code, _, word = x.partition(MARK)
+                    if word not in of:
+                        of[word] = char(self.n + len(others))
+                        others.append(code)
+                parts = line.split(MARK)
+                parts[1::2] = [of[x] for x in parts[1::2]]
+                line = "".join(parts)
+            whole.append(line)
+        flat = np.concatenate([self.flat, numbers_of("".join(others))])
+        size = np.concatenate([self.size, np.array([len(x) for x in others], np.int64)])
+        start = np.cumsum(size) - size
+        number = numbers_of("".join(whole))
+        took = size[number]
+        ends = np.cumsum(took)
+        out = flat[np.repeat(start[number] - (ends - took), took) + np.arange(ends[-1] if len(ends) else 0)].astype("<u4")
+        cut, at = np.concatenate([[0], ends]), 0
+        for line in whole:
+            yield out[cut[at] : cut[at + len(line)]]
+            at += len(line)
 
 
 def decoded(ids: np.ndarray, tokens: list[bytes]) -> bytes:
@@ -293,16 +365,21 @@ def decoded(ids: np.ndarray, tokens: list[bytes]) -> bytes:
 def mapped(docs: DataFrame, ranks: RankMap, pattern: str, hot: int, of, kinds: list[T.StructField]) -> DataFrame:
     """doc_id and the values of(ids) of each row of docs (doc_id, text)."""
     schema = T.StructType([T.StructField("doc_id", T.StringType()), *kinds])
+    tables = ranks.scalar(docs.sparkSession)
+    known = HotWords(docs.select("text").where(F.col("text").isNotNull()), tables, ranks, pattern, min(hot, MOST // 2))
+    folder = known.path
 
     def run(batches):
+        joiner = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            joiner = joiner or Joiner(hot_lines(folder))
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
                 held, codes = part.column(0).to_pylist(), part.column(1).to_pylist()
-                values = [of(ids_of(whole_line(h[1], c))) for h, c in zip(held, codes, strict=True)]
+                values = [of(ids) for ids in joiner.ids(held, codes)]
                 yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.string()), *[pa.array(list(v)) for v in zip(*values, strict=True)]], names=schema.fieldNames())
 
-    out = lines(docs, ranks, pattern, hot).mapInArrow(run, schema)
+    out = lines(docs, ranks, pattern, tables, known).mapInArrow(run, schema)
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
