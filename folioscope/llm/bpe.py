@@ -16,9 +16,9 @@ Every distinct word is merged once, in one of two places:
   document. The exchange that deals the lines out is read by both sides. A word is joined as often as documents hold
   it, not as often as it stands in them.
 
-HOT, SAMPLE and SLOTS change where a word is merged, never its ids. A word of more than LONG_WORD bytes takes the same
-merges from a heap, in a Python worker, as the fold's cost grows with the square of a word. Workers put the ids of a
-line together and decode them by joining the bytes of each.
+HOT, SAMPLE and SLOTS change where a word is merged, never its ids. Workers put the ids of a line together and decode
+them by joining the bytes of each. A word of more than LONG_WORD bytes stays in its line, and the worker takes the same
+merges from a heap, as the fold's cost grows with the square of a word.
 
 Texts are split by the vocabulary's pattern, with ``\\s`` and its kin in their Unicode sense. The JVM's letter and number
 classes are those of its Unicode version; a letter assigned later would split differently.
@@ -45,11 +45,11 @@ from pyspark.sql import types as T
 from folioscope.llm.common import filesystem, fresh, only, shared_dir, text_or_empty, written
 
 #: Most frequent words that are encoded once for all documents.
-HOT = 400_000
+HOT = 300_000
 #: Documents, about, whose words are counted to choose them.
 SAMPLE = 20_000
 #: Places of the cache; of words that fall into one, the most frequent stays.
-SLOTS = 1 << 21
+SLOTS = 1 << 20
 #: Bytes beyond which a word is merged by a heap.
 LONG_WORD = 256
 #: A number is written as the character with that code point, past MARK and the surrogates.
@@ -184,24 +184,29 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def lets(values: list[Column], body, *bound: Column) -> Column:
+    """body(*values) with each value computed once."""
+    return body(*bound) if not values else let(values[0], lambda x: lets(values[1:], body, *bound, x))
+
+
 def word_line(word: Column, tables: Column, whole: list[tuple[bytes, int]]) -> Column:
     """The ids of one word, a character each. tables: RankMap.scalar(), or a variable bound to it."""
-    line = _fold(word, tables)
+    line = lets([tables[x] for x in ("byte_chars", "offset", "owner", "merged")], lambda *own: _fold(word, *own))
     for token, rank in whole:
         line = F.when(F.encode(word, "UTF-8") == F.unhex(F.lit(token.hex())), F.lit(char(rank))).otherwise(line)
     return line
 
 
-def _fold(word: Column, tables: Column) -> Column:
+def _fold(word: Column, byte_chars: Column, offset: Column, owner: Column, merged: Column) -> Column:
     none = F.lit(NO_PAIR)
 
     def pair(a: Column, b: Column) -> Column:
         """The rank of tokens a and b, which may be no token, as a character."""
-        at = F.get(tables["offset"], F.ascii(a)) + F.ascii(b)
-        return F.when(F.get(tables["owner"], at) == F.ascii(a), F.get(tables["merged"], at)).otherwise(none)
+        at = F.get(offset, F.ascii(a)) + F.ascii(b)
+        return F.when(F.get(owner, at) == F.ascii(a), F.get(merged, at)).otherwise(none)
 
     chars = F.filter(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: c != "")
-    start = F.transform(chars, lambda c: F.get(tables["byte_chars"], F.ascii(c)))
+    start = F.transform(chars, lambda c: F.get(byte_chars, F.ascii(c)))
     state = lambda tokens, ranks: F.struct(tokens.alias("tokens"), ranks.alias("ranks"))
 
     def merge(now: Column, _: Column) -> Column:
@@ -226,7 +231,7 @@ def pieces(text: Column, pattern: str) -> Column:
 
 
 def slot(word: Column) -> Column:
-    return F.pmod(F.hash(word), F.lit(SLOTS))
+    return F.hash(word).bitwiseAND(F.lit(SLOTS - 1))
 
 
 class HotWords:
@@ -263,23 +268,6 @@ def hot_lines(folder: str) -> list[str]:
     return [code for _, code in sorted(pairs)]
 
 
-def folded(words: DataFrame, tables: Column, ranks: RankMap) -> DataFrame:
-    """words (word, each once) and their lines of ids."""
-    size = F.octet_length("word")
-    short = words.where(size <= LONG_WORD).withColumn("tables", tables)
-    short = short.select("word", let(F.col("tables"), lambda t: word_line(F.col("word"), t, ranks.whole)).alias("code"))
-    by_bytes = {t: i for i, t in enumerate(ranks.tokens) if t}
-
-    def run(batches):
-        for batch in batches:
-            for word in batch.column(0).to_pylist():
-                raw = word.encode()
-                ids = [by_bytes[raw]] if raw in by_bytes else merge_long(raw, by_bytes)
-                yield pa.RecordBatch.from_arrays([pa.array([word], pa.string()), pa.array(["".join(map(char, ids))], pa.string())], names=["word", "code"])
-
-    return short.unionByName(words.where(size > LONG_WORD).mapInArrow(run, "word string, code string"))
-
-
 def escaped(word: Column) -> Column:
     return F.replace(F.replace(word, F.lit(ESCAPE), F.lit(ESCAPE + "b")), F.lit(MARK), F.lit(ESCAPE + "a"))
 
@@ -294,54 +282,68 @@ def lines(docs: DataFrame, ranks: RankMap, pattern: str, tables: Column, hot: Ho
     docs: doc_id, text. Other words stand between two marks, so every second part of a line is one.
     """
 
-    def line(known: Column) -> Column:
+    def line(place: Column, words: Column, chars: Column) -> Column:
+        number = lambda w: F.get(place, slot(w))
         other = lambda w: F.concat(F.lit(MARK), escaped(w), F.lit(MARK))
-        of = lambda w: let(F.get(known["place"], slot(w)), lambda n: F.when(F.get(known["words"], n) == w, F.get(known["chars"], n)).otherwise(other(w)))
+        of = lambda w: F.when(F.get(words, number(w)) == w, F.get(chars, number(w))).otherwise(other(w))
         return F.array_join(F.transform(pieces(text_or_empty("text"), pattern), of), "")
 
+    known = let(F.col("known"), lambda k: lets([k[x] for x in ("place", "words", "chars")], line))  # named once, else each row gets a copy
     # rows that share a key share the words found, which does no harm; id and line are one column, so that both readers
     # ask the exchange for the same
-    made = docs.withColumn("known", hot.known).select(F.xxhash64("doc_id", "text").alias("key"), F.array(F.col("doc_id").cast("string"), let(F.col("known"), line)).alias("held"))
+    made = docs.withColumn("known", hot.known).select(F.xxhash64("doc_id", "text").alias("key"), F.array(F.col("doc_id").cast("string"), known).alias("held"))
     dealt = made.repartition("key")
-    marked = F.filter(F.split(F.get("held", F.lit(1)), MARK), lambda _, i: i % 2 == 1)
-    asked = dealt.select("key", F.explode(F.array_distinct(marked)).alias("word"))
-    words = asked.select("word").distinct().select(unescaped(F.col("word")).alias("word"))
-    codes = folded(words, tables, ranks).select(escaped(F.col("word")).alias("word"), "code")
-    found = asked.join(codes, "word").groupBy("key").agg(F.collect_set(F.concat("code", F.lit(MARK), "word")).alias("codes"))
-    return dealt.join(found, "key", "left").select("held", "codes")
+    marked = F.filter(F.split(F.get("held", F.lit(1)), MARK), lambda w, i: (i % 2 == 1) & (F.octet_length(w) <= LONG_WORD))
+    asked = dealt.select("key", F.explode(F.array_distinct(marked)).alias("word")).repartition("word")
+    # the first key is asked for so that this reads the same exchange as the join
+    words = asked.groupBy("word").agg(F.min("key").alias("first"))
+    codes = words.withColumn("tables", tables).select("word", "first", let(F.col("tables"), lambda t: word_line(unescaped(F.col("word")), t, ranks.whole)).alias("code"))
+    found = asked.join(codes, "word").where("key >= first").select("key", F.concat("code", F.lit(MARK), "word").alias("code")).repartition("key")
+    return dealt.join(found.groupBy("key").agg(F.collect_set("code").alias("codes")), "key", "left").select("held", "codes")
 
 
 class Joiner:
     """Puts the ids of lines together, many at once."""
 
-    def __init__(self, hot: list[str]):
-        own = [numbers_of(x) for x in hot]
-        self.n, self.size = len(hot), np.array([len(x) for x in own], np.int64)
-        self.flat = np.concatenate(own) if own else np.zeros(0, np.int64)
+    def __init__(self, hot: list[str], tokens: list[bytes]):
+        self.n, self.size = len(hot), np.array([len(x) for x in hot], np.int64)
+        self.flat, self.tokens, self.ranks = numbers_of("".join(hot)), tokens, None
+
+    def long_word(self, word: str) -> str:
+        self.ranks = self.ranks or {t: i for i, t in enumerate(self.tokens) if t}
+        raw = word.replace(ESCAPE + "a", MARK).replace(ESCAPE + "b", ESCAPE).encode()
+        return "".join(map(char, [self.ranks[raw]] if raw in self.ranks else merge_long(raw, self.ranks)))
+
+    def codes(self, line: str, found: list[str] | None) -> dict[str, str]:
+        """The lines of ids of the marked words in a line: those that the join found, and long ones."""
+        of = {word: code for code, _, word in (x.partition(MARK) for x in found or ())}
+        for x in line.split(MARK)[1::2]:
+            if x not in of:
+                of[x] = self.long_word(x)
+        return of
 
     def ids(self, held: list[list], codes: list[list[str] | None]) -> Iterator[np.ndarray]:
-        if self.n + sum(map(len, filter(None, codes))) < MOST:
-            yield from self._together([h[1] for h in held], codes)
-        elif len(held) > 1:
-            for h, found in zip(held, codes, strict=True):
-                yield from self.ids([h], [found])
+        texts = [line for _, line in held]
+        words = [self.codes(line, found) if MARK in line else {} for line, found in zip(texts, codes, strict=True)]
+        if self.n + sum(map(len, words)) < MOST:
+            yield from self._together(texts, words)
         else:  # more distinct words than there are characters: part by part
-            of = {word: numbers_of(code).astype("<u4") for code, _, word in (x.partition(MARK) for x in codes[0])}
-            yield np.concatenate([of[x] if k % 2 else next(self._together([x], [None])) for k, x in enumerate(held[0][1].split(MARK))])
+            for line, of in zip(texts, words, strict=True):
+                parts = [numbers_of(of[x]).astype("<u4") if k % 2 else next(self._together([x], [{}])) for k, x in enumerate(line.split(MARK))]
+                yield np.concatenate(parts)
 
-    def _together(self, texts: list[str], codes: list[list[str] | None]) -> Iterator[np.ndarray]:
-        of: dict[str, str] = {}
+    def _together(self, texts: list[str], words: list[dict[str, str]]) -> Iterator[np.ndarray]:
+        own: dict[str, str] = {}
         others: list[str] = []
         whole = []
-        for line, found in zip(texts, codes, strict=True):
-            if found:
-                for x in found:
-                    code, _, word = x.partition(MARK)
-                    if word not in of:
-                        of[word] = char(self.n + len(others))
+        for line, of in zip(texts, words, strict=True):
+            if of:
+                for word, code in of.items():
+                    if word not in own:
+                        own[word] = char(self.n + len(others))
                         others.append(code)
                 parts = line.split(MARK)
-                parts[1::2] = [of[x] for x in parts[1::2]]
+                parts[1::2] = [own[x] for x in parts[1::2]]
                 line = "".join(parts)
             whole.append(line)
         flat = np.concatenate([self.flat, numbers_of("".join(others))])
@@ -357,6 +359,17 @@ class Joiner:
             at += len(line)
 
 
+_joiners: dict[str, Joiner] = {}
+
+
+def joiner(folder: str, tokens: list[bytes]) -> Joiner:
+    """One for each folder, kept while the worker process lives; the one before goes."""
+    if folder not in _joiners:
+        _joiners.clear()
+        _joiners[folder] = Joiner(hot_lines(folder), tokens)
+    return _joiners[folder]
+
+
 def decoded(ids: np.ndarray, tokens: list[bytes]) -> bytes:
     """Decoding: the joined bytes of the ids."""
     return b"".join(map(tokens.__getitem__, ids.tolist()))
@@ -367,16 +380,15 @@ def mapped(docs: DataFrame, ranks: RankMap, pattern: str, hot: int, of, kinds: l
     schema = T.StructType([T.StructField("doc_id", T.StringType()), *kinds])
     tables = ranks.scalar(docs.sparkSession)
     known = HotWords(docs.select("text").where(F.col("text").isNotNull()), tables, ranks, pattern, min(hot, MOST // 2))
-    folder = known.path
+    folder, tokens = known.path, ranks.tokens
 
     def run(batches):
-        joiner = None
         for batch in batches:
-            joiner = joiner or Joiner(hot_lines(folder))
+            tool = joiner(folder, tokens)
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
                 held, codes = part.column(0).to_pylist(), part.column(1).to_pylist()
-                values = [of(ids) for ids in joiner.ids(held, codes)]
+                values = [of(ids) for ids in tool.ids(held, codes)]
                 yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.string()), *[pa.array(list(v)) for v in zip(*values, strict=True)]], names=schema.fieldNames())
 
     out = lines(docs, ranks, pattern, tables, known).mapInArrow(run, schema)
