@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 from folioscope.llm.common import filesystem, fresh, only, shared_dir, text_or_empty, written
 
 #: Most frequent words that are encoded once for all documents.
-HOT = 300_000
+HOT = 350_000
 #: Documents, about, whose words are counted to choose them.
 SAMPLE = 20_000
 #: Places of the cache; of words that fall into one, the most frequent stays.
@@ -55,6 +55,8 @@ LONG_WORD = 256
 #: A number is written as the character with that code point, past MARK and the surrogates.
 MARK, ESCAPE, SURROGATES, N_SURROGATES = "\x00", "\x01", 0xD800, 0x800
 MOST = 0x110000 - N_SURROGATES - 2
+#: Bits of the key that words are joined back by.
+KEY_BITS = 40
 #: Texts that a worker puts together at once.
 BATCH = 200
 NO_PAIR = "\U0010ffff"
@@ -289,9 +291,9 @@ def lines(docs: DataFrame, ranks: RankMap, pattern: str, tables: Column, hot: Ho
         return F.array_join(F.transform(pieces(text_or_empty("text"), pattern), of), "")
 
     known = let(F.col("known"), lambda k: lets([k[x] for x in ("place", "words", "chars")], line))  # named once, else each row gets a copy
-    # rows that share a key share the words found, which does no harm; id and line are one column, so that both readers
-    # ask the exchange for the same
-    made = docs.withColumn("known", hot.known).select(F.xxhash64("doc_id", "text").alias("key"), F.array(F.col("doc_id").cast("string"), known).alias("held"))
+    # rows that share a key share the words found, which does no harm, so a short key will do; id and line are one column,
+    # so that both readers ask the exchange for the same
+    made = docs.withColumn("known", hot.known).select(F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << KEY_BITS) - 1)).alias("key"), F.array(F.col("doc_id").cast("string"), known).alias("held"))
     dealt = made.repartition("key")
     marked = F.filter(F.split(F.get("held", F.lit(1)), MARK), lambda w, i: (i % 2 == 1) & (F.octet_length(w) <= LONG_WORD))
     asked = dealt.select("key", F.explode(F.array_distinct(marked)).alias("word")).repartition("word")
