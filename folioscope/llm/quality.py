@@ -21,8 +21,12 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import SPACE_CLASS, fresh, only, text_or_empty, written
 
-SYMBOLS = "#*$%&|<>"
+SYMBOL_CLASS = r"[#*$%&|<>]"
+NO_SPACE = r"[^\x20\x09-\x0D]"
 WINDOW = 8
+#: Places of windows that fit beside a hash in one long.
+PLACE_BITS = 24
+PLACES = 1 << PLACE_BITS
 
 
 @dataclass(frozen=True)
@@ -38,22 +42,52 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE_CLASS + "+"), lambda w: w != "")
 
 
+def window_hashes(w: Column) -> Column:
+    """A hash for each run of WINDOW words: each word is hashed once, runs of two, four and eight are joined of halves."""
+
+    def doubled(size: int):
+        starts = lambda r: F.slice(r, 1, F.greatest(F.size(r) - size, F.lit(0)))
+        return lambda r: F.transform(starts(r), lambda x, i: F.xxhash64(x, F.get(r, i + size)))
+
+    runs, size = F.transform(w, lambda x: F.xxhash64(x)), 1
+    while size < WINDOW:
+        runs, size = bound(runs, doubled(size)), 2 * size
+    return runs
+
+
 def repeat_words(w: Column) -> Column:
     """Words inside 8-word windows that occur twice or more.
 
-    Windows are compared by a 64-bit hash. Texts without a repeat, nearly all, end after one array_distinct; for
-    the others (hash, position) pairs are sorted and each pair is compared with its neighbours, so no step is
-    quadratic in the text.
+    Windows are compared by a 64-bit hash. One long holds the upper bits of a hash and the window's place in the rest;
+    these are sorted, and each is compared with its neighbours. Where neighbours agree in the upper bits only, or there
+    are more windows than places, (hash, place) pairs are sorted instead. No step is quadratic in the text.
     """
-    hashes = F.when(F.size(w) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+    place, zero = F.lit(PLACES - 1).cast("long"), F.lit(0).cast("long")
 
-    def covered(h: Column) -> Column:
+    def spans(starts: Column) -> Column:
+        return F.aggregate(F.transform(starts, lambda x, k: F.least(F.coalesce(F.get(starts, k + 1) - x, F.lit(WINDOW)), F.lit(WINDOW)).cast("long")), zero, lambda a, x: a + x)
+
+    def by_pairs(h: Column) -> Column:
         pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        one = lambda p: F.array_sort(F.transform(F.filter(F.transform(p, lambda x, k: F.struct(x["i"].alias("i"), ((F.get(p, k - 1)["h"] == x["h"]) | (F.get(p, k + 1)["h"] == x["h"])).alias("twice"))), lambda x: x["twice"]), lambda x: x["i"]))
-        spans = lambda s: F.aggregate(F.transform(s, lambda x, k: F.least(F.coalesce(F.get(s, k + 1) - x, F.lit(WINDOW)), F.lit(WINDOW))), F.lit(0).cast("long"), lambda a, x: a + x)
-        return bound(bound(pairs, one), spans)
+        one = lambda p: F.transform(F.filter(p, lambda x, k: F.coalesce(F.get(p, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(p, k + 1)["h"] == x["h"], F.lit(False))), lambda x: x["i"])
+        return F.sort_array(bound(pairs, one))
 
-    return bound(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
+    def by_longs(h: Column) -> Column:
+        alike = lambda x, y: F.coalesce(F.shiftrightunsigned(x.bitwiseXOR(y), PLACE_BITS) == 0, F.lit(False))
+        at = lambda x: x.bitwiseAND(place).cast("int")
+        packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(-PLACES)).bitwiseOR(i.cast("long"))))
+        twice = bound(packed, lambda p: F.filter(p, lambda x, k: alike(x, F.get(p, k + 1)) | alike(x, F.get(p, k - 1))))
+
+        def exact(t: Column) -> Column:
+            clash = F.exists(F.transform(t, lambda x, k: alike(x, F.get(t, k + 1)) & (F.get(h, at(x)) != F.get(h, at(F.get(t, k + 1))))), lambda x: x)
+            return F.when(clash, by_pairs(h)).otherwise(F.sort_array(F.transform(t, at)))
+
+        return bound(twice, exact)
+
+    def covered(h: Column) -> Column:
+        return bound(F.when(F.size(h) < PLACES, by_longs(h)).otherwise(by_pairs(h)), spans)
+
+    return F.when(F.size(w) <= WINDOW, zero).otherwise(bound(window_hashes(w), covered))
 
 
 def bound(value: Column, body) -> Column:
@@ -61,19 +95,27 @@ def bound(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def has_word(line: Column) -> Column:
+    return line.rlike(NO_SPACE)
+
+
 def lines_with_words(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda x: F.translate(x, " \t\n\x0b\x0c\r", "") != "")
+    return F.filter(F.split(text, "\n"), has_word)
+
+
+def figures(text: Column) -> Column:
+    """Struct of the base figures of a text that isn't null; its words are split once."""
 
+    def of(w: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.regexp_count(text, F.lit(SYMBOL_CLASS)).cast("long").alias("n_symbols"),
+            bound(lines_with_words(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            repeat_words(w).cast("long").alias("n_repeat_words"),
+        )
 
-def base_figures(text: Column) -> list[Column]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a text that isn't null."""
-    return [
-        F.size(words(text)).cast("long").alias("n_words"),
-        F.char_length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        bound(lines_with_words(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        bound(words(text), repeat_words).cast("long").alias("n_repeat_words"),
-    ]
+    return bound(words(text), of)
 
 
 def normalised(line: Column) -> Column:
@@ -82,7 +124,7 @@ def normalised(line: Column) -> Column:
 
 def line_key(line: Column) -> Column:
     """Struct of the normalised line's hash and its number of words."""
-    return bound(normalised(line), lambda n: F.struct(F.xxhash64(n).alias("h"), (F.char_length(n) - F.char_length(F.translate(n, " ", "")) + 1).alias("n")))
+    return bound(normalised(line), lambda n: F.struct(F.xxhash64(n).alias("h"), (F.octet_length(n) - F.octet_length(F.replace(n, F.lit(" "), F.lit(""))) + 1).alias("n")))
 
 
 def line_keys(text: Column) -> Column:
@@ -91,7 +133,7 @@ def line_keys(text: Column) -> Column:
 
 def boilerplate(docs: DataFrame, limits: Limits) -> DataFrame:
     """host, h of every boilerplate line; docs has host and text. Partial sums run before each shuffle."""
-    held = docs.select("host", F.xxhash64("text").alias("t"), F.explode(F.array_distinct(F.transform(line_keys(F.col("text")), lambda k: k["h"]))).alias("h"))
+    held = docs.select("host", F.xxhash64("text").alias("t"), F.explode(F.array_distinct(F.transform(lines_with_words(F.col("text")), lambda x: F.xxhash64(normalised(x))))).alias("h"))
     counted = held.groupBy("host", "h", "t").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > limits.min_docs)
     hosts = docs.select("host", F.xxhash64("text").alias("t")).groupBy("host", "t").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("all"))
     return counted.join(hosts, counted["host"].eqNullSafe(hosts["host"])).where(F.col("n") > F.col("all") * limits.share).select(counted["host"], "h")
@@ -133,8 +175,8 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     """doc_id, base figures, base_failed, n_removed_words and kept, a row for each row of docs."""
     own = only(docs, doc_id=doc_id, text=text, host=host).withColumn("text", text_or_empty("text"))
     marked, bad = with_boilerplate(own, limits)
-    figures = marked.select("doc_id", *base_figures(F.col("text")), removed_words(F.col(bad)).cast("long").alias("n_removed_words"))
-    judged = figures.withColumn("base_failed", base_failed(limits))
+    found = marked.select("doc_id", figures(F.col("text")).alias("f"), removed_words(F.col(bad)).cast("long").alias("n_removed_words"))
+    judged = found.select("doc_id", "f.*", "n_removed_words").withColumn("base_failed", base_failed(limits))
     return judged.withColumn("kept", ~F.col("base_failed") & ~depleted(limits))
 
 
@@ -142,8 +184,9 @@ def clean(docs: DataFrame, text: str = "text", host: str = "source", limits: Lim
     """The kept documents without their boilerplate lines; all columns stay, n_chars follows the text."""
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.col(f"`{host}`").alias("host"))
     marked, bad = with_boilerplate(inner, limits)
-    judged = marked.select("row", "text", bad, *base_figures(F.col("text")), removed_words(F.col(bad)).alias("n_removed_words")).where(~base_failed(limits) & ~depleted(limits))
-    keep_line = lambda x: (F.translate(x, " \t\n\x0b\x0c\r", "") == "") | bound(line_key(x), lambda k: ~F.array_contains(F.col(bad), k["h"]))
+    found = marked.select("row", "text", bad, figures(F.col("text")).alias("f"), removed_words(F.col(bad)).alias("n_removed_words"))
+    judged = found.select("row", "text", bad, "f.*", "n_removed_words").where(~base_failed(limits) & ~depleted(limits))
+    keep_line = lambda x: ~has_word(x) | bound(line_key(x), lambda k: ~F.array_contains(F.col(bad), k["h"]))
     left = F.when(F.col("n_removed_words") == 0, F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), keep_line), "\n"))
     cleaned = judged.select("row", left.alias("text"))
     return cleaned.select(*[replaced(docs, c, text, n_chars) for c in docs.columns])
