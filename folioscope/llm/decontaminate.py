@@ -6,8 +6,10 @@ end may lie from here. Positions with a shift above 0 end no pattern and are ski
 longer suffix selects the *bucket* of patterns, and a direct comparison of the words' bytes confirms each occurrence.
 The shift table is read for all positions of a batch of texts at once, in numpy.
 
-Items are searched in blocks of at most BLOCK_BYTES of text, so what reaches each executor has a fixed bound however
-many items there are; each block is a pass over the documents and their spans are merged per document.
+Items are searched in blocks of about BLOCK_BYTES of text. A benchmark of one block is sent to the executors; a larger
+one is written to the shared folder by block, and each task reads the one it needs, so neither the driver nor a worker
+ever holds more than a block (or the longest item, if that is longer). Each block is a pass over the documents, and
+their spans are merged per document.
 
 Defined results: a null text, of a document or an item, has no words; a null item id is left out of the list of
 items but its windows still hit; each row of the documents is searched on its own, however many blocks there are (with
@@ -16,15 +18,17 @@ more than one, rows get a key in a table in the shared folder first); items with
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import only, written
+from folioscope.llm.common import filesystem, only, shared_dir, written
 from folioscope.llm.hashing import ALNUM, U64, Words, mixed, utf8, LOWER, windows, word_chunks
 
 WINDOW = 10
@@ -123,13 +127,12 @@ SPAN = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructF
 ARROW_SPAN = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))
 
 
-def _scan(docs: DataFrame, items: list, keep_text: bool) -> DataFrame:
-    """One pass: docs (row struct of what stays, text) against one block of (item id as text, text)."""
-    sent = docs.sparkSession.sparkContext.broadcast(([x[0] for x in items], [x[1] for x in items]))
-    schema = T.StructType([*docs.schema.fields[: None if keep_text else -1], T.StructField("n_words", T.LongType()), T.StructField("spans", SPAN), T.StructField("items", T.ArrayType(T.StringType()))])
+def _scan(docs: DataFrame, items) -> DataFrame:
+    """One pass: docs (row struct, text) against the block of items that items() gives on the executor."""
+    schema = T.StructType([*docs.schema.fields[:-1], T.StructField("n_words", T.LongType()), T.StructField("spans", SPAN), T.StructField("items", T.ArrayType(T.StringType()))])
 
     def run(batches):
-        names, texts = sent.value
+        names, texts = items()
         own = tables(texts)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
@@ -137,7 +140,7 @@ def _scan(docs: DataFrame, items: list, keep_text: bool) -> DataFrame:
                 found = list(search(part.column(part.num_columns - 1), own))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *part.columns[: None if keep_text else -1],
+                        *part.columns[:-1],
                         pa.array([x[0] for x in found], pa.int64()),
                         pa.array([[{"first": a, "after": b} for a, b in x[1]] for x in found], ARROW_SPAN),
                         pa.array([sorted({names[i] for i in x[2] if names[i] is not None}) for x in found], pa.list_(pa.string())),
@@ -148,14 +151,31 @@ def _scan(docs: DataFrame, items: list, keep_text: bool) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> list[list]:
-    """The items, in lists of bounded text. Each list is one pass over the documents."""
+def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> list:
+    """For each block of the items a function that gives, on an executor, their ids as text and their texts."""
     rows = only(benchmark, item=item_id, text=text).where(F.col("text").isNotNull()).select(F.col("item").cast("string").alias("item"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     if n == 1:
-        return [rows.collect()]
-    return [rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect() for k in range(n)]
+        own = rows.collect()
+        sent = benchmark.sparkSession.sparkContext.broadcast(([x[0] for x in own], [x[1] for x in own]))
+        return [lambda: sent.value]
+    folder = shared_dir(benchmark.sparkSession)
+    rows.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(n)).cast("int")).write.partitionBy("block").parquet(folder)
+
+    def reader(k: int):
+        def read():
+            import pyarrow.parquet as pq
+
+            store, path = filesystem(folder)
+            place = f"{path}/block={k}"
+            files = [f.path for f in store.get_file_info(fs.FileSelector(place, allow_not_found=True)) if f.path.endswith(".parquet")]
+            read = [pq.read_table(store.open_input_file(f), columns=["item", "text"]) for f in sorted(files)]
+            return [x for t in read for x in t.column("item").to_pylist()], [x for t in read for x in t.column("text").to_pylist()]
+
+        return read
+
+    return [reader(k) for k in range(n)]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
@@ -164,14 +184,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
     blocks = item_blocks(benchmark, item_id, item_text, block_bytes)
     if len(blocks) == 1:
-        return _scan(inner, blocks[0], False)
+        return _scan(inner, blocks[0])
     keyed = written(inner.select("row", F.monotonically_increasing_id().alias("key"), "text"))
-    parts = [_scan(keyed, b, False) for b in blocks]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    grouped = every.groupBy("key").agg(F.first("row").alias("row"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return grouped.select("row", "n_words", F.sort_array("spans").alias("spans"), "items")
+    every = functools.reduce(DataFrame.unionByName, [_scan(keyed.select("key", "text"), b) for b in blocks])
+    spans, items = F.sort_array(F.flatten(F.collect_list("spans"))), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items"))))
+    grouped = every.groupBy("key").agg(F.first("n_words").alias("n_words"), spans.alias("spans"), items.alias("items"))
+    return keyed.select("row", "key").join(grouped, "key").select("row", "n_words", "spans", "items")
 
 
 def hit_words(spans: Column) -> Column:

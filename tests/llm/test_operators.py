@@ -116,6 +116,13 @@ def test_bpe_very_long_words(spark, rank_map, ranks):
         assert found[i] == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
 
 
+def test_bpe_shared_keys_change_nothing(docs, rank_map, monkeypatch):
+    few = docs.where("doc_id < 10")
+    a = sorted(map(tuple, bpe.report(few, rank_map, public_tokenizers.PATTERN, hot=3).collect()))
+    monkeypatch.setattr(bpe, "KEY_BITS", 1)
+    assert a == sorted(map(tuple, bpe.report(few, rank_map, public_tokenizers.PATTERN, hot=3).collect()))
+
+
 def test_bpe_empty_table(empty, rank_map):
     assert bpe.report(empty, rank_map, public_tokenizers.PATTERN, hot=10).count() == 0
 
@@ -428,6 +435,19 @@ def plain_quality(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(rep), len(w) < 20 or 100 * len(rep) > 30 * len(w)
 
 
+def test_repeat_words_where_hashes_share_bits(spark, texts, monkeypatch):
+    many = [*texts, " ".join("abc"[i * i % 3] for i in range(400))]
+    docs = spark.createDataFrame(list(enumerate(many)), "doc_id long, text string").withColumn("text", F.coalesce("text", F.lit("")))
+    count = lambda: [r.n for r in docs.select("doc_id", quality.figures(F.col("text"))["n_repeat_words"].alias("n")).orderBy("doc_id").collect()]
+    want = count()
+    assert want[5] == 0 and want[-1] > 390
+    monkeypatch.setattr(quality, "PLACE_BITS", 60)
+    monkeypatch.setattr(quality, "PLACES", 1 << 60)
+    assert count() == want
+    monkeypatch.setattr(quality, "PLACES", 3)
+    assert count() == want
+
+
 def test_quality_matches_brute_force(spark, texts):
     own = [*texts, "spam " * 100, "a b c d e f g h i\n" * 3 + "x # $", prose(3, 40) + "\n" + prose(3, 40) + "\n" + prose(8, 200)]
     found = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows(own), SCHEMA)).collect()}
