@@ -124,12 +124,12 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 @dataclass
 class RankMap:
-    """The literals that stand in the plan, as joined text that Spark folds into constant arrays; places are code points."""
+    """The rank map as arrays, whose places are code points of tokens; plans take it as a literal."""
 
-    byte_chars: str
-    offset: str
-    owner: str
-    merged: str
+    byte_chars: list[str]
+    offset: np.ndarray
+    owner: np.ndarray
+    merged: list[str]
     tokens: list[bytes]  # the bytes of each id
     whole: list[tuple[bytes, int]]  # tokens that merging alone doesn't reach, but the encoder takes as they are
 
@@ -159,26 +159,21 @@ class RankMap:
             for r in rows[left]:
                 merged[at + point[r]] = char(pairs[left, r])
         token = {r: t for t, r in ranks.items()}
-        text = lambda x: ",".join(map(str, x))
         return cls(
-            MARK.join(char(ranks[bytes([i])]) for i in range(256)),
-            text(offset.tolist()),
-            text(owner.tolist()),
-            MARK.join(merged),
+            [char(ranks[bytes([i])]) for i in range(256)],
+            offset,
+            owner,
+            merged,
             [token.get(i, b"") for i in range(max(ranks.values()) + 1)],
             [(t, r) for t, r in ranks.items() if len(t) > 1 and merge_all([ranks[bytes([b])] for b in t], pairs) != [r]],
         )
 
-    def numbers(self, name: str) -> Column:
-        return F.split(F.lit(getattr(self, name)), ",").cast("array<int>")
-
-    def strings(self, name: str) -> Column:
-        return F.split(F.lit(getattr(self, name)), MARK)
-
     def scalar(self, spark: SparkSession) -> Column:
-        """The literals as one struct: evaluated once, into a one-row table that plans refer to without spelling it out."""
-        row = [self.numbers(x).alias(x) for x in ("offset", "owner")] + [self.strings(x).alias(x) for x in ("byte_chars", "merged")]
-        return written(spark.range(1).select(F.struct(*row).alias("tables"))).scalar()
+        """The arrays as one struct: a one-row table that plans refer to, so that their text doesn't spell it out."""
+        numbers = {x: pa.array([getattr(self, x)], pa.list_(pa.int32())) for x in ("offset", "owner")}
+        texts = {x: pa.array([getattr(self, x)], pa.list_(pa.string())) for x in ("byte_chars", "merged")}
+        row = spark.createDataFrame(pa.table(numbers | texts))
+        return written(row.select(F.struct(*row.columns).alias("tables"))).scalar()
 
 
 def let(value: Column, body) -> Column:
@@ -255,8 +250,9 @@ class HotWords:
         places = numbered.groupBy(slot(F.col("word")).alias("k")).agg(F.min("number").alias("number"))
         every = spark.range(SLOTS).select(F.col("id").cast("int").alias("k")).join(places, "k", "left")
         place = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "number"))), lambda x: x["number"]).alias("place"))
-        chars = F.split(F.lit(MARK.join(map(char, range(hot)))), MARK)
-        self.known = written(place.crossJoin(listed).select(F.struct("place", "words", chars.alias("chars")).alias("known"))).scalar()
+        point = lambda n: n + 1 + F.when(n + 1 < SURROGATES, 0).otherwise(N_SURROGATES)
+        chars = F.transform("words", lambda _, n: F.decode(F.unhex(F.lpad(F.hex(point(n)), 8, "0")), "UTF-32"))
+        self.known = written(place.crossJoin(listed).select(F.struct("place", "words", chars.alias("chars")).alias("known"))).scalar()  # one row each
 
 
 def hot_lines(folder: str) -> list[str]:
