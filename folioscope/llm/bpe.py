@@ -45,11 +45,11 @@ from pyspark.sql import types as T
 from folioscope.llm.common import filesystem, fresh, only, shared_dir, text_or_empty, written
 
 #: Most frequent words that are encoded once for all documents.
-HOT = 350_000
+HOT = 500_000
 #: Documents, about, whose words are counted to choose them.
 SAMPLE = 20_000
 #: Places of the cache; of words that fall into one, the most frequent stays.
-SLOTS = 1 << 20
+SLOTS = 1 << 21
 #: Bytes beyond which a word is merged by a heap.
 LONG_WORD = 256
 #: A number is written as the character with that code point, past MARK and the surrogates.
