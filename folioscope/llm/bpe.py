@@ -255,15 +255,16 @@ class HotWords:
         self.known = written(place.crossJoin(listed).select(F.struct("place", "words", chars.alias("chars")).alias("known"))).scalar()  # one row each
 
 
-def hot_lines(folder: str) -> list[str]:
-    """The lines of ids of all numbered words, on a worker."""
+def hot_lines(folder: str) -> tuple[str, np.ndarray]:
+    """The lines of ids of all numbered words, joined, and their lengths, on a worker; no word is an object of its own."""
+    import pyarrow.compute as pc
     import pyarrow.parquet as pq
 
     store, path = filesystem(folder)
     files = [f.path for f in store.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")]
-    tables = [pq.read_table(store.open_input_file(f)) for f in files]
-    pairs = [p for t in tables for p in zip(t.column("number").to_pylist(), t.column("code").to_pylist(), strict=True)]
-    return [code for _, code in sorted(pairs)]
+    lines = pa.concat_tables([pq.read_table(store.open_input_file(f)) for f in files]).sort_by("number").column("code")
+    whole = pc.binary_join(pa.ListArray.from_arrays([0, len(lines)], lines.combine_chunks()), "")
+    return whole[0].as_py(), pc.utf8_length(lines).to_numpy().astype(np.int64)
 
 
 def escaped(word: Column) -> Column:
@@ -303,9 +304,10 @@ def lines(docs: DataFrame, ranks: RankMap, pattern: str, tables: Column, hot: Ho
 class Joiner:
     """Puts the ids of lines together, many at once."""
 
-    def __init__(self, hot: list[str], tokens: list[bytes]):
-        self.n, self.size = len(hot), np.array([len(x) for x in hot], np.int64)
-        self.flat, self.tokens, self.ranks = numbers_of("".join(hot)), tokens, None
+    def __init__(self, hot: tuple[str, np.ndarray], tokens: list[bytes]):
+        line, self.size = hot
+        self.n, self.flat = len(self.size), numbers_of(line).astype("<u4")
+        self.tokens, self.ranks = tokens, None
 
     def long_word(self, word: str) -> str:
         self.ranks = self.ranks or {t: i for i, t in enumerate(self.tokens) if t}
@@ -344,13 +346,13 @@ class Joiner:
                 parts[1::2] = [own[x] for x in parts[1::2]]
                 line = "".join(parts)
             whole.append(line)
-        flat = np.concatenate([self.flat, numbers_of("".join(others))])
+        flat = np.concatenate([self.flat, numbers_of("".join(others)).astype("<u4")])
         size = np.concatenate([self.size, np.array([len(x) for x in others], np.int64)])
         start = np.cumsum(size) - size
         number = numbers_of("".join(whole))
         took = size[number]
         ends = np.cumsum(took)
-        out = flat[np.repeat(start[number] - (ends - took), took) + np.arange(ends[-1] if len(ends) else 0)].astype("<u4")
+        out = flat[np.repeat(start[number] - (ends - took), took) + np.arange(ends[-1] if len(ends) else 0)]
         cut, at = np.concatenate([[0], ends]), 0
         for line in whole:
             yield out[cut[at] : cut[at + len(line)]]
