@@ -42,6 +42,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes."""
+    n = len(data)
+    up, down = _power_tables(n + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(n + 1, U64)
+        np.cumsum((data.astype(U64) + U64(1)) * up[:n], out=sums[1:])
+        return mixed((sums[end] - sums[start]) * down[start])
+
+
 class Words:
     """The words of a run of texts: 64-bit hashes, byte spans and, for each text, its first word's index."""
 
@@ -60,15 +70,7 @@ class Words:
         self.end = np.flatnonzero(inside & ~after) + 1
         self.offsets = offsets
         self.first = np.searchsorted(self.start, offsets)
-        self.hash_spans(data, self.start, self.end)
-
-    def hash_spans(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        n = len(data)
-        up, down = _power_tables(n + 1)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(n + 1, U64)
-            np.cumsum((data.astype(U64) + U64(1)) * up[:n], out=sums[1:])
-            self.hash = mixed((sums[end] - sums[start]) * down[start])
+        self.hash = span_hashes(data, self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.first) - 1

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm.common import filesystem, only, shared_dir, text_or_empty
+from folioscope.llm.hashing import CHUNK, U64, span_hashes, utf8
 
 MAGIC = b"FOLIOSST"
 FOOTER = struct.Struct("<QQQQQQII8s")
@@ -180,34 +181,113 @@ class Reader:
         return found
 
 
+#: Bytes that are white space or a mark alone; what else is white space has more bytes (see _odd).
+SPACES = np.zeros(256, bool)
+SPACES[[0, *range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_CUT = np.zeros(256, bool)
+_CUT[[0x0A, 0x20]] = True
+_STOP, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[[0x2C, 0x2E]] = True
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+
+
+def _odd(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts have white space but single spaces and line feeds."""
+    space = SPACES[data]
+    bad = space & ~_CUT[data]
+    double = space[1:] & space[:-1]
+    inner = offsets[1:-1]
+    inner = inner[(inner > 0) & (inner < len(data))]
+    double[inner - 1] = False  # a text's end and the start of the next one
+    bad[1:] |= double
+    wide = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    if len(wide):
+        a, b, c = data[wide].astype(np.int64), *(data[np.minimum(wide + k, len(data) - 1)].astype(np.int64) for k in (1, 2))
+        code = np.where(a == 0xC2, (a & 31) << 6 | b & 63, (a & 15) << 12 | (b & 63) << 6 | c & 63)
+        bad[wide] |= np.isin(code, [x for x in range(0x80, 0x3001) if chr(x).isspace()])
+    out = np.zeros(len(offsets) - 1, bool)
+    out[np.searchsorted(offsets, np.flatnonzero(bad), "right") - 1] = True
+    return out
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each span, one after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Memory:
+    """Chunks (bytes) with their ids, found by hash and compared by bytes; all in flat arrays.
+
+    When there are more than limit of them, those used longest ago go, half of all at least.
+    """
+
+    def __init__(self, limit: int, kind: np.dtype):
+        self.limit, self.clock = limit, 0
+        self.hash, self.used = np.zeros(0, U64), np.zeros(0, np.int64)
+        self.text, self.at, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.id_at, self.id_size = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def find(self, hashed: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, bool]:
+        """The place of each chunk, or -1; and whether one met another chunk of its hash. Entries are sorted by hash."""
+        if not len(self.hash):
+            return np.full(len(hashed), -1), False
+        place = np.minimum(np.searchsorted(self.hash, hashed), len(self.hash) - 1)
+        hit = self.hash[place] == hashed
+        own = place[hit]
+        clash = (self.size[own] != size[hit]).any() or (self.text[spread(self.at[own], size[hit])] != data[spread(start[hit], size[hit])]).any()
+        self.clock += 1
+        self.used[own] = self.clock
+        return np.where(hit, place, -1), bool(clash)
+
+    def add(self, hashed: np.ndarray, chunks: list[bytes], raws: list[bytes]) -> None:
+        if len(self.hash) + len(chunks) > self.limit:
+            self.keep(np.flatnonzero(self.used > np.median(self.used)) if len(self.used) else np.zeros(0, np.int64))
+        size, id_size = (np.array([len(x) for x in y], np.int64) for y in (chunks, raws))
+        id_size //= self.ids.itemsize
+        order = np.argsort(hashed, kind="stable")
+        into = np.searchsorted(self.hash, hashed[order])
+        both = [
+            ("at", len(self.text) + np.cumsum(size) - size), ("size", size), ("id_at", len(self.ids) + np.cumsum(id_size) - id_size), ("id_size", id_size),
+            ("used", np.full(len(size), self.clock)), ("hash", hashed),
+        ]
+        for name, new in both:
+            setattr(self, name, np.insert(getattr(self, name), into, new[order]))
+        self.text = np.concatenate([self.text, np.frombuffer(b"".join(chunks), np.uint8)])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(raws), self.ids.dtype)])
+
+    def keep(self, which: np.ndarray) -> None:
+        self.text, self.ids = self.text[spread(self.at[which], self.size[which])], self.ids[spread(self.id_at[which], self.id_size[which])]
+        for name in ("hash", "used", "size", "id_size"):
+            setattr(self, name, getattr(self, name)[which])
+        self.at, self.id_at = np.cumsum(self.size) - self.size, np.cumsum(self.id_size) - self.id_size
+
+
 class Encoder:
     """Whole texts by the tokenizers library, which sees each distinct chunk once.
 
     The tokenizer splits before every white space that follows something else, so a text may be cut there and its
-    chunks encoded apart; so may a comma or full stop at the end of a chunk that follows a letter. The memory of
-    chunks is dropped when it has ENTRIES of them.
+    chunks encoded apart; so may a comma or full stop at the end of a chunk that follows a letter. The chunks of many
+    texts are hashed at once, each is compared by its bytes with the first one of its hash, and the distinct ones are
+    looked up in a memory of ENTRIES chunks. Texts with other white space than single spaces and line feeds are cut by a
+    pattern.
     """
 
-    ENTRIES = 600_000
+    ENTRIES = 1_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # what the library has just been asked for
+        self.memory = Memory(self.ENTRIES, np.dtype(f"<u{self.width}"))
         vocabulary = self.library.get_vocab()
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each token: one a character of its name
         for name, i in vocabulary.items():
             self.sizes[i] = len(name)
-        self.double = re.compile(r"\s\s|\x00")
         self.chunk = re.compile(r"\s*\S+|\s+")
 
-    def chunks(self, text: str) -> list[str]:
-        if self.double.search(text):
-            return self.chunk.findall(text)
-        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-
     def raw(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
 
@@ -240,17 +320,54 @@ class Encoder:
                 self.known[c] = raw[at:cut]
                 at = cut
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.chunks(t) for t in texts]
-        every = set().union(*cut)
-        missing = every.difference(self.known)
-        if missing:
-            if len(self.known) + len(missing) > self.ENTRIES:
-                self.known.clear()
-                missing = every
-            self.learn(missing)
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        data, offsets = utf8(texts)
+        out: list[bytes] = []
+        row, rows = 0, len(offsets) - 1
+        while row < rows:
+            to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1)
+            out += self._encode(data[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row])
+            row = to
+        return out
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        plain = lambda k: b"".join(self.ask(self.chunk.findall(data[offsets[k] : offsets[k + 1]].tobytes().decode())))
+        if not len(data):
+            return [b""] * (len(offsets) - 1)
+        cuts = _CUT[data]
+        cuts[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+        cuts[1:] |= _STOP[data[1:]] & _LETTER[data[:-1]] & np.append(cuts[2:], True)  # a last comma or full stop
+        start = np.flatnonzero(cuts)
+        size = np.diff(start, append=len(data))
+        hashed, first, which = np.unique(span_hashes(data, start, start + size), return_index=True, return_inverse=True)
+        like = first[which]  # for each chunk the first one with its hash
+        clash = (size != size[like]).any() or (data != data[spread(start[like], size)]).any()
+        memory = self.memory
+        place, other = (None, True) if clash else memory.find(hashed, data, start[first], size[first])
+        if other:  # two chunks of one hash
+            return [plain(k) for k in range(len(offsets) - 1)]
+        new, old = np.flatnonzero(place < 0), np.flatnonzero(place >= 0)
+        chunks = [data[a : a + n].tobytes() for a, n in zip(start[first[new]].tolist(), size[first[new]].tolist(), strict=True)]
+        # a chunk of a text that is cut by a pattern may be part of a word only; its ids are not asked for
+        raws = self.ask([c.decode() for c in chunks])
+        at, n = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        at[old], n[old] = memory.id_at[place[old]], memory.id_size[place[old]]
+        n[new] = [len(x) // self.width for x in raws]
+        at[new] = len(memory.ids) + np.cumsum(n[new]) - n[new]
+        flat = np.concatenate([memory.ids, np.frombuffer(b"".join(raws), memory.ids.dtype)])
+        if len(new):
+            memory.add(hashed[new], chunks, raws)
+        took = n[which]
+        ids = flat[spread(at[which], took)]
+        bounds = np.concatenate([[0], np.cumsum(took)])[np.searchsorted(start, offsets)].tolist()
+        odd = _odd(data, offsets)
+        return [plain(k) if odd[k] else ids[bounds[k] : bounds[k + 1]].tobytes() for k in range(len(bounds) - 1)]
+
+    def ask(self, chunks: list[str]) -> list[bytes]:
+        self.known = {}
+        self.learn(set(chunks))
+        found, self.known = [self.known[c] for c in chunks], {}
+        return found
 
 
 _encoders: dict[str, Encoder] = {}
@@ -280,13 +397,13 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, to: str, doc_id: str = "
         fs.create_dir(folder, recursive=True)
         path, writer, stream, first = f"{folder}/{uuid.uuid4().hex}.sst", None, None, None
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 64):
-                part = ids[at : at + 64]
-                if part and writer is None:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                ids = part.column(0).to_pylist()
+                if writer is None:
                     stream = fs.open_output_stream(path)
-                    writer, first = Writer(stream, tool.width), part[0]
-                for i, raw in zip(part, tool.encode(texts.slice(at, 64).to_pylist()), strict=True):
+                    writer, first = Writer(stream, tool.width), ids[0]
+                for i, raw in zip(ids, tool.encode(part.column(1)), strict=True):
                     writer.add(key_of(i), raw + end)
         if writer is not None:
             writer.close()

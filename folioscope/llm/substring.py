@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm.common import fresh
-from folioscope.llm.hashing import ALNUM, U64, Words, mixed, word_chunks
+from folioscope.llm.hashing import ALNUM, U64, Words, span_hashes, mixed, word_chunks
 
 MIN_WORDS = 25
 LEAST_UNIT = 3
@@ -81,9 +81,7 @@ def units(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
         return np.zeros(1, np.int64), none, none, none, np.zeros(0, U64), none
     own, opens = words.hash, words.first
     if start is not words.start:
-        again = Words.__new__(Words)
-        again.hash_spans(words.data, start, end)
-        own, opens = again.hash, np.searchsorted(start, words.offsets)
+        own, opens = span_hashes(words.data, start, end), np.searchsorted(start, words.offsets)
     ends = np.concatenate([[0], np.cumsum(stops)])
     new = np.ones(n, bool)
     new[1:] = ends[start[1:]] > ends[end[:-1]]

@@ -158,15 +158,26 @@ def test_sstable_lookup():
 
 def test_sstable_encoder_is_the_library():
     tool = sstable.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    tool.ENTRIES = 300
+    tool.memory.limit = 300
     r = random.Random(3)
     parts = ["a", "b ", " ", "\n", "  ", "\t", "\x1c", "\x85", "\xa0", "é", ",", ".", "'s", "1", "²", "\x00", "<|endoftext|>", "ß", "中", "x,", "y.", "!!"]
     docs = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(1500)]
-    got = [x for i in range(0, len(docs), 50) for x in tool.encode(docs[i : i + 50])]
+    docs += [" ".join(r.choice(WORDS) + str(r.randint(0, 30)) for _ in range(30)) for _ in range(300)]
+    got = [x for i in range(0, len(docs), 50) for x in tool.encode(pa.array(docs[i : i + 50], pa.string()))]
+    assert len(tool.memory.hash) <= 400
     for d, g, w in zip(docs, got, tool.library.encode_batch(docs, add_special_tokens=False), strict=True):
         assert np.frombuffer(g, "<u2").tolist() == w.ids, d
 
 
+def test_sstable_encoder_where_hashes_agree(monkeypatch):
+    weak = lambda data, start, end: (end - start).astype(np.uint64) % np.uint64(4)
+    monkeypatch.setattr(sstable, "span_hashes", weak)
+    tool = sstable.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for docs in (["a few words", "other words here"], ["", "one"], ["two"], ["x" * 7, "y" * 7]):
+        got = tool.encode(pa.array(docs, pa.string()))
+        assert [np.frombuffer(g, "<u2").tolist() for g in got] == [w.ids for w in tool.library.encode_batch(docs, add_special_tokens=False)]
+
+
 def test_sstable_ties_and_empty(spark, empty):
     two = spark.createDataFrame([(None, "a"), (3, "b c"), (3, "d"), (3, "d")], "doc_id long, text string")
     out = sorted((r.start, r.doc_id if r.doc_id is not None else -1) for r in sstable.write_and_read(two, public_tokenizers.path("byte_bpe_50k.json"), 2).collect())
