@@ -321,7 +321,9 @@ def test_near_duplicates_ties_and_empty(spark, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
-def test_components_of_chains(spark):
+@pytest.mark.parametrize("small", [components.SMALL, 0])
+def test_components_of_chains(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (200, 200)]
     found = {r.node: r.component for r in components.connected(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(found[i] == 0 for i in range(41)) and {found[i] for i in (100, 101, 102)} == {100} and 200 not in found
