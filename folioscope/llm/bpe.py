@@ -9,7 +9,7 @@ every step and looks up the two new neighbours only.
 
 Every distinct word is merged once, in one of two places:
 
-* the HOT most frequent words of about SAMPLE documents (chosen by a hash of the text) are numbered by frequency and
+* the HOT words that most of about SAMPLE documents (chosen by a hash of the text) hold are numbered by frequency and
   merged first; a scalar, bounded by HOT, tells a word's number;
 * a text becomes a line: a character for each numbered word, and other words as they are, between marks. These are
   exploded, made distinct over all documents by partial aggregation, folded once each and joined back by word, then by
@@ -44,12 +44,12 @@ from pyspark.sql import types as T
 
 from folioscope.llm.common import filesystem, fresh, only, shared_dir, text_or_empty, written
 
-#: Most frequent words that are encoded once for all documents.
-HOT = 500_000
+#: Words that are numbered and encoded before all others.
+HOT = 350_000
 #: Documents, about, whose words are counted to choose them.
-SAMPLE = 20_000
+SAMPLE = 60_000
 #: Places of the cache; of words that fall into one, the most frequent stays.
-SLOTS = 1 << 21
+SLOTS = 1 << 20
 #: Bytes beyond which a word is merged by a heap.
 LONG_WORD = 256
 #: A number is written as the character with that code point, past MARK and the surrogates.
@@ -239,7 +239,7 @@ class HotWords:
         spark = docs.sparkSession
         every_nth = max(1, docs.count() // SAMPLE)
         sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every_nth)) == 0)
-        words = sample.select(F.explode(pieces(F.col("text"), pattern)).alias("word")).where(F.octet_length("word") <= LONG_WORD)
+        words = sample.select(F.explode(F.array_distinct(pieces(F.col("text"), pattern))).alias("word")).where(F.octet_length("word") <= LONG_WORD)
         top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(hot)
         listed = written(top.agg(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("count"), "word"))), lambda x: x["word"]).alias("words")))
         numbered = listed.select(F.posexplode("words").alias("number", "word"))
