@@ -10,15 +10,15 @@ every step and looks up the two new neighbours only.
 Every distinct word is merged once, in one of two places:
 
 * the HOT words that most of about SAMPLE documents (chosen by a hash of the text) hold are numbered by frequency and
-  merged first; a scalar, bounded by HOT, tells a word's number;
-* a text becomes a line: a character for each numbered word, and other words as they are, between marks. These are
+  merged first; their table, bounded by HOT, lies in the shared folder, where workers read it;
+* a text becomes a line: a character for each numbered word and a mark for any other, and these words after it. They are
   exploded, made distinct over all documents by partial aggregation, folded once each and joined back by word, then by
   document. The exchange that deals the lines out is read by both sides. A word is joined as often as documents hold
   it, not as often as it stands in them.
 
-HOT, SAMPLE and SLOTS change where a word is merged, never its ids. Workers put the ids of a line together and decode
-them by joining the bytes of each. A word of more than LONG_WORD bytes stays in its line, and the worker takes the same
-merges from a heap, as the fold's cost grows with the square of a word.
+HOT and SAMPLE change where a word is merged, never its ids: workers find a word's number by a hash and compare its bytes.
+Workers put the ids of a line together and decode
+them by joining the bytes of each. A word of more than LONG_WORD bytes isn't joined; the worker takes the same merges from a heap, as the fold's cost grows with the square of a word.
 
 Texts are split by the vocabulary's pattern, with ``\\s`` and its kin in their Unicode sense. The JVM's letter and number
 classes are those of its Unicode version; a letter assigned later would split differently.
@@ -43,17 +43,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm.common import filesystem, fresh, only, shared_dir, text_or_empty, written
+from folioscope.llm.hashing import CHUNK, span_hashes, spread, utf8
 
 #: Words that are numbered and encoded before all others.
-HOT = 350_000
+HOT = 500_000
 #: Documents, about, whose words are counted to choose them.
 SAMPLE = 60_000
-#: Places of the cache; of words that fall into one, the most frequent stays.
-SLOTS = 1 << 20
 #: Bytes beyond which a word is merged by a heap.
 LONG_WORD = 256
 #: A number is written as the character with that code point, past MARK and the surrogates.
-MARK, ESCAPE, SURROGATES, N_SURROGATES = "\x00", "\x01", 0xD800, 0x800
+MARK, SURROGATES, N_SURROGATES = "\x00", 0xD800, 0x800
 MOST = 0x110000 - N_SURROGATES - 2
 #: Bits of the key that words are joined back by.
 KEY_BITS = 40
@@ -73,6 +72,11 @@ def char(i: int) -> str:
     return chr(i + 1 if i + 1 < SURROGATES else i + 1 + N_SURROGATES)
 
 
+def line_of(numbers: np.ndarray) -> str:
+    """A character for each number, MARK for those below 0."""
+    return (numbers + 1 + N_SURROGATES * (numbers + 1 >= SURROGATES)).astype("<u4").tobytes().decode("utf-32-le")
+
+
 def numbers_of(line: str) -> np.ndarray:
     points = np.frombuffer(line.encode("utf-32-le"), "<u4").astype(np.int64)
     return points - 1 - N_SURROGATES * (points >= SURROGATES)
@@ -227,147 +231,169 @@ def pieces(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
 
 
-def slot(word: Column) -> Column:
-    return F.hash(word).bitwiseAND(F.lit(SLOTS - 1))
+def hot_words(docs: DataFrame, tables: Column, ranks: RankMap, pattern: str, hot: int) -> str:
+    """A folder of the shared store with the most frequent words (number, word, code). docs: text."""
+    spark = docs.sparkSession
+    every_nth = max(1, docs.count() // SAMPLE)
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every_nth)) == 0)
+    words = sample.select(F.explode(F.array_distinct(pieces(F.col("text"), pattern))).alias("word")).where(F.octet_length("word") <= LONG_WORD)
+    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(hot)
+    listed = written(top.agg(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("count"), "word"))), lambda x: x["word"]).alias("words")))
+    dealt = listed.select(F.posexplode("words").alias("number", "word")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "number")
+    folder = shared_dir(spark)
+    dealt.withColumn("tables", tables).select("number", "word", let(F.col("tables"), lambda t: word_line(F.col("word"), t, ranks.whole)).alias("code")).write.parquet(folder)
+    return folder
 
 
 class HotWords:
-    """The most frequent words, numbered by frequency: how plans find a number, and in which folder workers find the ids."""
-
-    def __init__(self, docs: DataFrame, tables: Column, ranks: RankMap, pattern: str, hot: int):
-        """docs: text."""
-        spark = docs.sparkSession
-        every_nth = max(1, docs.count() // SAMPLE)
-        sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every_nth)) == 0)
-        words = sample.select(F.explode(F.array_distinct(pieces(F.col("text"), pattern))).alias("word")).where(F.octet_length("word") <= LONG_WORD)
-        top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(hot)
-        listed = written(top.agg(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("count"), "word"))), lambda x: x["word"]).alias("words")))
-        numbered = listed.select(F.posexplode("words").alias("number", "word"))
-        self.path = shared_dir(spark)
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        coded = numbered.repartition(parts, "number").withColumn("tables", tables)
-        coded.select("number", let(F.col("tables"), lambda t: word_line(F.col("word"), t, ranks.whole)).alias("code")).write.parquet(self.path)
-        places = numbered.groupBy(slot(F.col("word")).alias("k")).agg(F.min("number").alias("number"))
-        every = spark.range(SLOTS).select(F.col("id").cast("int").alias("k")).join(places, "k", "left")
-        place = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "number"))), lambda x: x["number"]).alias("place"))
-        point = lambda n: n + 1 + F.when(n + 1 < SURROGATES, 0).otherwise(N_SURROGATES)
-        chars = F.transform("words", lambda _, n: F.decode(F.unhex(F.lpad(F.hex(point(n)), 8, "0")), "UTF-32"))
-        self.known = written(place.crossJoin(listed).select(F.struct("place", "words", chars.alias("chars")).alias("known"))).scalar()  # one row each
-
-
-def hot_lines(folder: str) -> tuple[str, np.ndarray]:
-    """The lines of ids of all numbered words, joined, and their lengths, on a worker; no word is an object of its own."""
-    import pyarrow.compute as pc
-    import pyarrow.parquet as pq
-
-    store, path = filesystem(folder)
-    files = [f.path for f in store.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")]
-    lines = pa.concat_tables([pq.read_table(store.open_input_file(f)) for f in files]).sort_by("number").column("code")
-    whole = pc.binary_join(pa.ListArray.from_arrays([0, len(lines)], lines.combine_chunks()), "")
-    return whole[0].as_py(), pc.utf8_length(lines).to_numpy().astype(np.int64)
-
-
-def escaped(word: Column) -> Column:
-    return F.replace(F.replace(word, F.lit(ESCAPE), F.lit(ESCAPE + "b")), F.lit(MARK), F.lit(ESCAPE + "a"))
-
-
-def unescaped(word: Column) -> Column:
-    return F.replace(F.replace(word, F.lit(ESCAPE + "a"), F.lit(MARK)), F.lit(ESCAPE + "b"), F.lit(ESCAPE))
-
-
-def lines(docs: DataFrame, ranks: RankMap, pattern: str, tables: Column, hot: HotWords) -> DataFrame:
-    """held, an array of the row's id as text and its line; and codes, the other words' ids, MARK and the word each.
-
-    docs: doc_id, text. Other words stand between two marks, so every second part of a line is one.
-    """
-
-    def line(place: Column, words: Column, chars: Column) -> Column:
-        number = lambda w: F.get(place, slot(w))
-        other = lambda w: F.concat(F.lit(MARK), escaped(w), F.lit(MARK))
-        of = lambda w: F.when(F.get(words, number(w)) == w, F.get(chars, number(w))).otherwise(other(w))
-        return F.array_join(F.transform(pieces(text_or_empty("text"), pattern), of), "")
-
-    known = let(F.col("known"), lambda k: lets([k[x] for x in ("place", "words", "chars")], line))  # named once, else each row gets a copy
-    # rows that share a key share the words found, which does no harm, so a short key will do; id and line are one column,
-    # so that both readers ask the exchange for the same
-    made = docs.withColumn("known", hot.known).select(F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << KEY_BITS) - 1)).alias("key"), F.array(F.col("doc_id").cast("string"), known).alias("held"))
-    dealt = made.repartition("key")
-    marked = F.filter(F.split(F.get("held", F.lit(1)), MARK), lambda w, i: (i % 2 == 1) & (F.octet_length(w) <= LONG_WORD))
-    asked = dealt.select("key", F.explode(F.array_distinct(marked)).alias("word")).repartition("word")
-    # the first key is asked for so that this reads the same exchange as the join
-    words = asked.groupBy("word").agg(F.min("key").alias("first"))
-    codes = words.withColumn("tables", tables).select("word", "first", let(F.col("tables"), lambda t: word_line(unescaped(F.col("word")), t, ranks.whole)).alias("code"))
-    found = asked.join(codes, "word").where("key >= first").select("key", F.concat("code", F.lit(MARK), "word").alias("code")).repartition("key")
-    return dealt.join(found.groupBy("key").agg(F.collect_set("code").alias("codes")), "key", "left").select("held", "codes")
-
-
-class Joiner:
-    """Puts the ids of lines together, many at once."""
-
-    def __init__(self, hot: tuple[str, np.ndarray], tokens: list[bytes]):
-        line, self.size = hot
-        self.n, self.flat = len(self.size), numbers_of(line).astype("<u4")
+    """The table of frequent words in a worker, in flat arrays; and how lines of ids are put together with it."""
+
+    def __init__(self, folder: str, tokens: list[bytes]):
+        import pyarrow.compute as pc
+        import pyarrow.parquet as pq
+
+        store, path = filesystem(folder)
+        files = [f.path for f in store.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")]
+        table = pa.concat_tables([pq.read_table(store.open_input_file(f)) for f in files]).sort_by("number")
+        self.n, code = table.num_rows, table.column("code")
+        whole = pc.binary_join(pa.ListArray.from_arrays([0, self.n], code.combine_chunks()), "")
+        self.flat, self.size = numbers_of(whole[0].as_py()).astype("<u4"), pc.utf8_length(code).to_numpy().astype(np.int64)
+        self.data, offsets = utf8(table.column("word"))
+        hashed = span_hashes(self.data, offsets[:-1], offsets[1:])
+        self.number = np.argsort(hashed, kind="stable")
+        self.hash, self.start, self.bytes = hashed[self.number], offsets[:-1], np.diff(offsets)
         self.tokens, self.ranks = tokens, None
 
+    def find(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The number of each word, or -1: of words that aren't in the table, and of any that shares a hash with another."""
+        start, size = offsets[:-1], np.diff(offsets)
+        hashed, first, which = np.unique(span_hashes(data, start, offsets[1:]), return_index=True, return_inverse=True)
+        found = np.full(len(hashed), -1)
+        if self.n:
+            place = np.minimum(np.searchsorted(self.hash, hashed), self.n - 1)
+            hit = np.flatnonzero((self.hash[place] == hashed) & (self.bytes[self.number[place]] == size[first]))
+            own = self.number[place[hit]]
+            found[hit] = np.where(_alike(self.data, self.start[own], data, start[first[hit]], size[first[hit]]), own, -1)
+        like = first[which]
+        out = np.where(size == size[like], found[which], -1)
+        known = np.flatnonzero(out >= 0)
+        out[known[~_alike(data, start[known], data, start[like[known]], size[known])]] = -1
+        return out
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """find() for many words, CHUNK bytes at a time."""
+        data, offsets = utf8(words)
+        out, at = [np.zeros(0, np.int64)], 0
+        while at < len(words):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
+            out.append(self.find(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]))
+            at = to
+        return np.concatenate(out)
+
+    def held(self, ids: list[str | None], words: pa.ListArray) -> list[list]:
+        """For each text its id, its line and its other words in order. words: the pieces of each text."""
+        flat, ends = words.flatten(), np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())]).tolist()
+        numbers = self.numbers(flat)
+        whole, others = line_of(numbers), np.flatnonzero(numbers < 0)
+        texts, cuts = flat.take(pa.array(others)).to_pylist(), np.searchsorted(others, ends).tolist()
+        return [[i, whole[ends[k] : ends[k + 1]], *texts[cuts[k] : cuts[k + 1]]] for k, i in enumerate(ids)]
+
     def long_word(self, word: str) -> str:
         self.ranks = self.ranks or {t: i for i, t in enumerate(self.tokens) if t}
-        raw = word.replace(ESCAPE + "a", MARK).replace(ESCAPE + "b", ESCAPE).encode()
+        raw = word.encode()
         return "".join(map(char, [self.ranks[raw]] if raw in self.ranks else merge_long(raw, self.ranks)))
 
-    def codes(self, line: str, found: list[str] | None) -> dict[str, str]:
-        """The lines of ids of the marked words in a line: those that the join found, and long ones."""
+    def codes(self, words: list[str], found: list[str] | None) -> dict[str, str]:
+        """The lines of ids of a text's other words: those that the join found, and long ones."""
         of = {word: code for code, _, word in (x.partition(MARK) for x in found or ())}
-        for x in line.split(MARK)[1::2]:
+        for x in words:
             if x not in of:
                 of[x] = self.long_word(x)
         return of
 
     def ids(self, held: list[list], codes: list[list[str] | None]) -> Iterator[np.ndarray]:
-        texts = [line for _, line in held]
-        words = [self.codes(line, found) if MARK in line else {} for line, found in zip(texts, codes, strict=True)]
+        """The ids of each text of held(); codes: code, MARK and word for its other words."""
+        words = [self.codes(h[2:], found) if len(h) > 2 else {} for h, found in zip(held, codes, strict=True)]
         if self.n + sum(map(len, words)) < MOST:
-            yield from self._together(texts, words)
+            yield from self._together(held, words)
         else:  # more distinct words than there are characters: part by part
-            for line, of in zip(texts, words, strict=True):
-                parts = [numbers_of(of[x]).astype("<u4") if k % 2 else next(self._together([x], [{}])) for k, x in enumerate(line.split(MARK))]
-                yield np.concatenate(parts)
+            for (_, line, *others), of in zip(held, words, strict=True):
+                parts = [next(self._together([[None, x]], [{}])) for x in line.split(MARK)]
+                between = [numbers_of(of[x]).astype("<u4") for x in others]
+                yield np.concatenate([x for pair in zip(parts, [*between, np.zeros(0, "<u4")], strict=True) for x in pair])
 
-    def _together(self, texts: list[str], words: list[dict[str, str]]) -> Iterator[np.ndarray]:
+    def _together(self, held: list[list], words: list[dict[str, str]]) -> Iterator[np.ndarray]:
         own: dict[str, str] = {}
-        others: list[str] = []
+        codes: list[str] = []
         whole = []
-        for line, of in zip(texts, words, strict=True):
-            if of:
+        for (_, line, *others), of in zip(held, words, strict=True):
+            if others:
                 for word, code in of.items():
                     if word not in own:
-                        own[word] = char(self.n + len(others))
-                        others.append(code)
-                parts = line.split(MARK)
-                parts[1::2] = [own[x] for x in parts[1::2]]
+                        own[word] = char(self.n + len(codes))
+                        codes.append(code)
+                parts = [""] * (2 * len(others) + 1)
+                parts[::2], parts[1::2] = line.split(MARK), [own[x] for x in others]
                 line = "".join(parts)
             whole.append(line)
-        flat = np.concatenate([self.flat, numbers_of("".join(others)).astype("<u4")])
-        size = np.concatenate([self.size, np.array([len(x) for x in others], np.int64)])
+        flat = np.concatenate([self.flat, numbers_of("".join(codes)).astype("<u4")])
+        size = np.concatenate([self.size, np.array([len(x) for x in codes], np.int64)])
         start = np.cumsum(size) - size
         number = numbers_of("".join(whole))
-        took = size[number]
-        ends = np.cumsum(took)
-        out = flat[np.repeat(start[number] - (ends - took), took) + np.arange(ends[-1] if len(ends) else 0)]
-        cut, at = np.concatenate([[0], ends]), 0
+        out = flat[spread(start[number], size[number])]
+        cut, at = np.concatenate([[0], np.cumsum(size[number])]), 0
         for line in whole:
             yield out[cut[at] : cut[at + len(line)]]
             at += len(line)
 
 
-_joiners: dict[str, Joiner] = {}
+def _alike(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether two spans of one size hold the same bytes, for each pair of spans."""
+    other = a[spread(a_start, size)] != b[spread(b_start, size)]
+    out = np.ones(len(size), bool)
+    out[np.repeat(np.arange(len(size)), size)[other]] = False
+    return out
+
+
+_hot: dict[str, HotWords] = {}
 
 
-def joiner(folder: str, tokens: list[bytes]) -> Joiner:
+def hot_table(folder: str, tokens: list[bytes]) -> HotWords:
     """One for each folder, kept while the worker process lives; the one before goes."""
-    if folder not in _joiners:
-        _joiners.clear()
-        _joiners[folder] = Joiner(hot_lines(folder), tokens)
-    return _joiners[folder]
+    if folder not in _hot:
+        _hot.clear()
+        _hot[folder] = HotWords(folder, tokens)
+    return _hot[folder]
+
+
+def lines(docs: DataFrame, ranks: RankMap, pattern: str, tables: Column, folder: str) -> DataFrame:
+    """held, an array of the row's id as text, its line and its other words; and codes, the ids of these words.
+
+    docs: doc_id, text.
+    """
+    tokens = ranks.tokens
+
+    def run(batches):
+        tool = hot_table(folder, tokens)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                words = part.column(2)
+                words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tool.held(part.column(1).to_pylist(), words), pa.list_(pa.string()))], names=["key", "held"])
+
+    # rows that share a key share the words found, which does no harm, so a short key will do; id, line and words are one
+    # column, so that both readers ask the exchange for the same
+    key = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << KEY_BITS) - 1)).alias("key")
+    cut = docs.select(key, F.col("doc_id").cast("string").alias("doc_id"), pieces(text_or_empty("text"), pattern).alias("words"))
+    dealt = cut.mapInArrow(run, "key long, held array<string>").repartition("key")
+    others = F.filter(F.slice("held", 3, F.size("held")), lambda w: F.octet_length(w) <= LONG_WORD)
+    asked = dealt.select("key", F.explode(F.array_distinct(others)).alias("word")).repartition("word")
+    # the first key is asked for so that this reads the same exchange as the join
+    words = asked.groupBy("word").agg(F.min("key").alias("first"))
+    codes = words.withColumn("tables", tables).select("word", "first", let(F.col("tables"), lambda t: word_line(F.col("word"), t, ranks.whole)).alias("code"))
+    found = asked.join(codes, "word").where("key >= first").select("key", F.concat("code", F.lit(MARK), "word").alias("code")).repartition("key")
+    return dealt.join(found.groupBy("key").agg(F.collect_set("code").alias("codes")), "key", "left").select("held", "codes")
 
 
 def decoded(ids: np.ndarray, tokens: list[bytes]) -> bytes:
@@ -379,19 +405,19 @@ def mapped(docs: DataFrame, ranks: RankMap, pattern: str, hot: int, of, kinds: l
     """doc_id and the values of(ids) of each row of docs (doc_id, text)."""
     schema = T.StructType([T.StructField("doc_id", T.StringType()), *kinds])
     tables = ranks.scalar(docs.sparkSession)
-    known = HotWords(docs.select("text").where(F.col("text").isNotNull()), tables, ranks, pattern, min(hot, MOST // 2))
-    folder, tokens = known.path, ranks.tokens
+    folder = hot_words(docs.select("text").where(F.col("text").isNotNull()), tables, ranks, pattern, min(hot, MOST // 2))
+    tokens = ranks.tokens
 
     def run(batches):
+        tool = hot_table(folder, tokens)
         for batch in batches:
-            tool = joiner(folder, tokens)
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
                 held, codes = part.column(0).to_pylist(), part.column(1).to_pylist()
                 values = [of(ids) for ids in tool.ids(held, codes)]
                 yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.string()), *[pa.array(list(v)) for v in zip(*values, strict=True)]], names=schema.fieldNames())
 
-    out = lines(docs, ranks, pattern, tables, known).mapInArrow(run, schema)
+    out = lines(docs, ranks, pattern, tables, folder).mapInArrow(run, schema)
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 

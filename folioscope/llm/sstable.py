@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm.common import filesystem, only, shared_dir, text_or_empty
-from folioscope.llm.hashing import CHUNK, U64, span_hashes, utf8
+from folioscope.llm.hashing import CHUNK, U64, span_hashes, spread, utf8
 
 MAGIC = b"FOLIOSST"
 FOOTER = struct.Struct("<QQQQQQII8s")
@@ -210,12 +210,6 @@ def _odd(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The places start, start + 1, ... of each span, one after the other."""
-    ends = np.cumsum(size)
-    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-
-
 class Memory:
     """Chunks (bytes) with their ids, found by hash and compared by bytes; all in flat arrays.
 

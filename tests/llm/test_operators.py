@@ -123,6 +123,24 @@ def test_bpe_shared_keys_change_nothing(docs, rank_map, monkeypatch):
     assert a == sorted(map(tuple, bpe.report(few, rank_map, public_tokenizers.PATTERN, hot=3).collect()))
 
 
+def test_hot_words_are_found_by_bytes(tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"number": [1, 0, 2], "word": ["ab", "xy", "ba"], "code": [bpe.char(5), bpe.char(7) + bpe.char(8), bpe.char(9)]}), tmp_path / "a.parquet")
+    for weak in (False, True):
+        if weak:  # all words of a length share a hash
+            monkeypatch.setattr(bpe, "span_hashes", lambda data, start, end: (end - start).astype(np.uint64))
+        tool = bpe.HotWords(f"file://{tmp_path}", [])
+        held = tool.held(["k", None], pa.array([["xy", "no", "ab", "xy"], []], pa.list_(pa.string())))
+        assert held[1] == [None, ""] and (weak or held[0] == ["k", bpe.char(0) + bpe.MARK + bpe.char(1) + bpe.char(0), "no"])
+        codes = [[bpe.char(i) + bpe.MARK + w for i, w in enumerate(("no", "ab", "xy", "ba"))], None]
+        assert weak or [x.tolist() for x in tool.ids(held, codes)] == [[7, 8, 0, 5, 7, 8], []]
+        assert [x for x, c in zip(held[0][1], "abcd") if x != bpe.MARK].count(bpe.char(0)) in (0, 1, 2) and held[0][1].count(bpe.MARK) == len(held[0]) - 2
+        monkeypatch.setattr(bpe, "MOST", 1)
+        assert weak or [x.tolist() for x in tool.ids(held, codes)] == [[7, 8, 0, 5, 7, 8], []]
+        monkeypatch.undo()
+
+
 def test_bpe_empty_table(empty, rank_map):
     assert bpe.report(empty, rank_map, public_tokenizers.PATTERN, hot=10).count() == 0
 
