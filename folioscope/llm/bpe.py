@@ -386,9 +386,11 @@ def lines(docs: DataFrame, ranks: RankMap, pattern: str, tables: Column, folder:
     # column, so that both readers ask the exchange for the same
     key = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << KEY_BITS) - 1)).alias("key")
     cut = docs.select(key, F.col("doc_id").cast("string").alias("doc_id"), pieces(text_or_empty("text"), pattern).alias("words"))
-    dealt = cut.mapInArrow(run, "key long, held array<string>").repartition("key")
+    kinds = T.StructType([T.StructField("key", T.LongType(), False), T.StructField("held", T.ArrayType(T.StringType()))])
+    dealt = cut.mapInArrow(run, kinds).repartition("key")
     others = F.filter(F.slice("held", 3, F.size("held")), lambda w: F.octet_length(w) <= LONG_WORD)
-    asked = dealt.select("key", F.explode(F.array_distinct(others)).alias("word")).repartition("word")
+    # a plain explode, or a key that may be null, would put a filter below the exchange on this side only
+    asked = dealt.select("key", F.explode_outer(F.array_distinct(others)).alias("word")).where("word IS NOT NULL").repartition("word")
     # the first key is asked for so that this reads the same exchange as the join
     words = asked.groupBy("word").agg(F.min("key").alias("first"))
     codes = words.withColumn("tables", tables).select("word", "first", let(F.col("tables"), lambda t: word_line(F.col("word"), t, ranks.whole)).alias("code"))
