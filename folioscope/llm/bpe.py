@@ -46,7 +46,7 @@ from folioscope.llm.common import filesystem, fresh, only, shared_dir, text_or_e
 from folioscope.llm.hashing import CHUNK, span_hashes, spread, utf8
 
 #: Words that are numbered and encoded before all others.
-HOT = 500_000
+HOT = 350_000
 #: Documents, about, whose words are counted to choose them.
 SAMPLE = 60_000
 #: Bytes beyond which a word is merged by a heap.
@@ -257,12 +257,15 @@ class HotWords:
         table = pa.concat_tables([pq.read_table(store.open_input_file(f)) for f in files]).sort_by("number")
         self.n, code = table.num_rows, table.column("code")
         whole = pc.binary_join(pa.ListArray.from_arrays([0, self.n], code.combine_chunks()), "")
-        self.flat, self.size = numbers_of(whole[0].as_py()).astype("<u4"), pc.utf8_length(code).to_numpy().astype(np.int64)
+        self.flat, self.size = numbers_of(whole[0].as_py()).astype("<u4"), pc.utf8_length(code).to_numpy().astype(np.int32)
         self.data, offsets = utf8(table.column("word"))
         hashed = span_hashes(self.data, offsets[:-1], offsets[1:])
-        self.number = np.argsort(hashed, kind="stable")
-        self.hash, self.start, self.bytes = hashed[self.number], offsets[:-1], np.diff(offsets)
+        self.number = np.argsort(hashed, kind="stable").astype(np.int32)
+        self.hash, self.start, self.bytes = hashed[self.number], offsets[:-1].astype(np.int32), np.diff(offsets).astype(np.int32)
         self.tokens, self.ranks = tokens, None
+        self.data = self.data.copy()
+        del table, code, whole, files
+        pa.default_memory_pool().release_unused()
 
     def find(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The number of each word, or -1: of words that aren't in the table, and of any that shares a hash with another."""
@@ -281,11 +284,11 @@ class HotWords:
         return out
 
     def numbers(self, words: pa.Array) -> np.ndarray:
-        """find() for many words, CHUNK bytes at a time."""
+        """find() for many words, some bytes at a time: a byte takes about 60 while it is hashed."""
         data, offsets = utf8(words)
         out, at = [np.zeros(0, np.int64)], 0
         while at < len(words):
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK // 4, "right")) - 1)
             out.append(self.find(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]))
             at = to
         return np.concatenate(out)
@@ -376,8 +379,8 @@ def lines(docs: DataFrame, ranks: RankMap, pattern: str, tables: Column, folder:
     def run(batches):
         tool = hot_table(folder, tokens)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
                 words = part.column(2)
                 words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tool.held(part.column(1).to_pylist(), words), pa.list_(pa.string()))], names=["key", "held"])
