@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm.common import filesystem, fresh, only, shared_dir, text_or_empty, written
-from folioscope.llm.hashing import CHUNK, span_hashes, spread, utf8
+from folioscope.llm.hashing import CHUNK, lean, span_hashes, spread, utf8
 
 #: Words that are numbered and encoded before all others.
 HOT = 350_000
@@ -358,17 +358,6 @@ def _alike(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarra
     return out
 
 
-_hot: dict[str, HotWords] = {}
-
-
-def hot_table(folder: str, tokens: list[bytes]) -> HotWords:
-    """One for each folder, kept while the worker process lives; the one before goes."""
-    if folder not in _hot:
-        _hot.clear()
-        _hot[folder] = HotWords(folder, tokens)
-    return _hot[folder]
-
-
 def lines(docs: DataFrame, ranks: RankMap, pattern: str, tables: Column, folder: str) -> DataFrame:
     """held, an array of the row's id as text, its line and its other words; and codes, the ids of these words.
 
@@ -377,7 +366,7 @@ def lines(docs: DataFrame, ranks: RankMap, pattern: str, tables: Column, folder:
     tokens = ranks.tokens
 
     def run(batches):
-        tool = hot_table(folder, tokens)
+        tool = HotWords(folder, tokens)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
@@ -390,7 +379,7 @@ def lines(docs: DataFrame, ranks: RankMap, pattern: str, tables: Column, folder:
     key = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << KEY_BITS) - 1)).alias("key")
     cut = docs.select(key, F.col("doc_id").cast("string").alias("doc_id"), pieces(text_or_empty("text"), pattern).alias("words"))
     kinds = T.StructType([T.StructField("key", T.LongType(), False), T.StructField("held", T.ArrayType(T.StringType()))])
-    dealt = cut.mapInArrow(run, kinds).repartition("key")
+    dealt = cut.mapInArrow(lean(run), kinds).repartition("key")
     others = F.filter(F.slice("held", 3, F.size("held")), lambda w: F.octet_length(w) <= LONG_WORD)
     # a plain explode, or a key that may be null, would put a filter below the exchange on this side only
     asked = dealt.select("key", F.explode_outer(F.array_distinct(others)).alias("word")).where("word IS NOT NULL").repartition("word")
@@ -414,7 +403,7 @@ def mapped(docs: DataFrame, ranks: RankMap, pattern: str, hot: int, of, kinds: l
     tokens = ranks.tokens
 
     def run(batches):
-        tool = hot_table(folder, tokens)
+        tool = HotWords(folder, tokens)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
@@ -422,7 +411,7 @@ def mapped(docs: DataFrame, ranks: RankMap, pattern: str, hot: int, of, kinds: l
                 values = [of(ids) for ids in tool.ids(held, codes)]
                 yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.string()), *[pa.array(list(v)) for v in zip(*values, strict=True)]], names=schema.fieldNames())
 
-    out = lines(docs, ranks, pattern, tables, folder).mapInArrow(run, schema)
+    out = lines(docs, ranks, pattern, tables, folder).mapInArrow(lean(run), schema)
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
@@ -458,4 +447,4 @@ def decode(docs: DataFrame, ranks: RankMap, ids: str = "token_ids") -> DataFrame
                 raw = [None if x is None else decoded(np.frombuffer(x, "<u4"), tokens) for x in part.column(part.schema.get_field_index(ids)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], names=schema.fieldNames())
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm.common import filesystem, only, shared_dir, written
-from folioscope.llm.hashing import ALNUM, U64, Words, mixed, utf8, LOWER, windows, word_chunks
+from folioscope.llm.hashing import ALNUM, lean, LOWER, mixed, U64, utf8, windows, word_chunks, Words
 
 WINDOW = 10
 #: Text of the items that are searched in one pass.
@@ -148,7 +148,7 @@ def _scan(docs: DataFrame, items) -> DataFrame:
                     names=schema.fieldNames(),
                 )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> list:

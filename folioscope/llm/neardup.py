@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import only, text_or_empty, written
 from folioscope.llm.components import connected
-from folioscope.llm.hashing import SPACED, U64, Words, mixed, windows, word_chunks
+from folioscope.llm.hashing import lean, mixed, SPACED, U64, windows, word_chunks, Words
 
 SHINGLE = 5
 SLOTS, BANDS = 128, 32
@@ -132,7 +132,7 @@ def with_features(docs: DataFrame) -> DataFrame:
                     names=["id", "tie", "n_shingles", "set_a", "set_b", "bands", "short"],
                 )
 
-    return docs.mapInArrow(run, "id long, tie long, n_shingles long, set_a long, set_b long, bands array<long>, short binary")
+    return docs.mapInArrow(lean(run), "id long, tie long, n_shingles long, set_a long, set_b long, bands array<long>, short binary")
 
 
 def agreeing(pairs: DataFrame, representatives: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def agreeing(pairs: DataFrame, representatives: DataFrame) -> DataFrame:
             keep = pa.array((a == b).sum(axis=1) >= MIN_AGREE) if len(a) else pa.array([], pa.bool_())
             yield batch.select(["u", "u_tie", "v", "v_tie"]).filter(keep)
 
-    return pairs.mapInArrow(run, "u long, u_tie long, v long, v_tie long")
+    return pairs.mapInArrow(lean(run), "u long, u_tie long, v long, v_tie long")
 
 
 #: Documents (16 bytes each) up to which a list of them is broadcast; beyond it Spark joins by shuffle.
@@ -183,7 +183,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("u", "u_tie", "v", "v_tie", "u_text", "v_text").mapInArrow(run, "u long, v long")
+    return pairs.select("u", "u_tie", "v", "v_tie", "u_text", "v_text").mapInArrow(lean(run), "u long, v long")
 
 
 def full_set(text: str) -> np.ndarray:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm.common import filesystem, only, shared_dir, text_or_empty
-from folioscope.llm.hashing import CHUNK, U64, span_hashes, spread, utf8
+from folioscope.llm.hashing import CHUNK, lean, span_hashes, spread, U64, utf8
 
 MAGIC = b"FOLIOSST"
 FOOTER = struct.Struct("<QQQQQQII8s")
@@ -404,7 +404,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, to: str, doc_id: str = "
             stream.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([first], pa.int64()), pa.array([writer.docs], pa.int64()), pa.array([writer.tokens], pa.int64())], names=["path", "first", "docs", "tokens"])
 
-    shards = dealt.mapInArrow(run, "path string, first long, docs long, tokens long").select(F.spark_partition_id().alias("part"), "*").collect()
+    shards = dealt.mapInArrow(lean(run), "path string, first long, docs long, tokens long").select(F.spark_partition_id().alias("part"), "*").collect()
     start, out = 0, []
     for s in sorted(shards, key=lambda s: s["part"]):
         out.append({"path": s["path"], "first": s["first"], "docs": s["docs"], "tokens": s["tokens"], "start": start})
@@ -436,7 +436,7 @@ def read(spark: SparkSession, manifest: list[dict], to: str) -> DataFrame:
     def _batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4, names=schema.fieldNames())
 
-    return shards.mapInArrow(run, schema)
+    return shards.mapInArrow(lean(run), schema)
 
 
 def write_and_read(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

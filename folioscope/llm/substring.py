@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm.common import fresh
-from folioscope.llm.hashing import ALNUM, U64, Words, span_hashes, mixed, word_chunks
+from folioscope.llm.hashing import ALNUM, U64, Words, lean, mixed, span_hashes, word_chunks
 
 MIN_WORDS = 25
 LEAST_UNIT = 3
@@ -119,7 +119,7 @@ def unit_rows(docs: DataFrame) -> DataFrame:
                         places.append((4 * keep + (after - begin)[a:b][keep]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["id", "tie", "hashes", "places"])
 
-    return docs.mapInArrow(run, "id long, tie long, hashes array<long>, places array<int>")
+    return docs.mapInArrow(lean(run), "id long, tie long, hashes array<long>, places array<int>")
 
 
 def later_occurrences(docs: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
                     spans.append(found)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(spans, kind)], names=["row", "text", "spans"])
 
-    done = joined.mapInArrow(run, schema)
+    done = joined.mapInArrow(lean(run), schema)
     return done.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in names], F.col("spans").alias(spans_name))
 
 
