@@ -19,7 +19,7 @@ TOKEN = r"(?U)\b[^\W\d_]\w+\b"
 def _decompositions(form: str) -> tuple[str, str]:
     """Lower-case letters that decompose into one base character and marks, and their bases: a rule, not a list."""
     pairs = []
-    for code in (*range(0xA0, 0x250), *range(0x370, 0x400), *range(0x1E00, 0x2000)):
+    for code in (*range(0xA0, 0x250), *range(0x370, 0x400), *range(0x1E00, 0x2000), *range(0x2070, 0x20A0), *range(0x2100, 0x2190), *range(0xFF00, 0xFFF0)):
         c = chr(code)
         base = "".join(x for x in unicodedata.normalize(form, c) if not unicodedata.combining(x))
         if len(base) == 1 and base != c and c == c.lower():
@@ -30,6 +30,19 @@ def _decompositions(form: str) -> tuple[str, str]:
 _CANONICAL, _COMPATIBLE = _decompositions("NFD"), _decompositions("NFKD")
 
 
+def _several() -> dict[str, str]:
+    """Characters that fold to several: fractions, Roman numerals, ligatures and their kin, by rule."""
+    found = {}
+    for c in map(chr, (*range(0xA0, 0x250), *range(0x2000, 0x2190), *range(0x2460, 0x2500), *range(0x3200, 0x3400), *range(0xFB00, 0xFB07))):
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).casefold()
+        if len(base) > 1 and c == c.lower():
+            found[c] = base
+    return found
+
+
+_SEVERAL = _several()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, also where body uses it inside another higher-order function."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -42,7 +55,10 @@ def collapse(text: Column) -> Column:
 def fold(text: Column) -> Column:
     """Case and accents removed, compatibility forms unified: the fold of the rule engines."""
     plain = F.translate(F.lower(text), _COMPATIBLE[0] + "ſς", _COMPATIBLE[1] + "sσ")
-    return F.replace(F.regexp_replace(plain, r"\p{Mn}", ""), F.lit("ß"), F.lit("ss"))
+    plain = F.regexp_replace(plain, r"\p{Mn}", "")
+    table = F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])
+    each = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return let(plain, lambda t: F.when(t.rlike("[" + "".join(_SEVERAL) + "]"), each(t)).otherwise(t))
 
 
 def fold_collapsed(text: Column) -> Column:

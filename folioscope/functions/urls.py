@@ -8,11 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioscope.functions.dictionaries import CANDIDATE_WORDS, IGNORED_PREFIXES, SECTION_KEYWORDS
-from folioscope.functions.text import fold, has_keyword
+from folioscope.functions.text import fold, has_keyword, let
 
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
-#: Endings of files that are never sweep targets.
-BINARY_ENDINGS = ("pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "odt", "ods", "odp", "zip", "rar", "jpg", "jpeg", "png")
+# Endings of files that are never sweep targets.
+BINARY_ENDINGS = ("pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "odt", "ods", "odp", "zip", "rar", "7z", "tar", "gz")
 
 
 def part(url: Column, n: int) -> Column:
@@ -91,20 +91,40 @@ def is_file(url: Column, endings: Sequence[str] = BINARY_ENDINGS) -> Column:
 
 
 def resolve(base: Column, href: Column) -> Column:
-    """An href against its page's URL, for absolute, scheme-relative, rooted, query and plain relative references."""
+    """An href against its page's URL, for absolute, scheme-relative, rooted, query and plain relative references; dot
+    segments are taken out."""
     scheme, host = part(base, 1), part(base, 2)
     folder = F.regexp_replace(path(base), "[^/]*$", "")
     root = F.concat(scheme, F.lit("://"), host)
-    return (
+    made = (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), href)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
         .when(href.startswith("/"), F.concat(root, href))
         .when(href.startswith("?"), F.concat(root, path(base), href))
         .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), href))
     )
+    return let(made, lambda url: F.when(path(url).rlike(r"/\.\.?(/|$)"), without_dots(url)).otherwise(url))
+
+
+def without_dots(url: Column) -> Column:
+    """The URL without . and .. segments; .. at the root goes."""
+    parts = F.split(path(url), "/")
+    step = lambda kept, x: F.when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(x == ".", kept).otherwise(F.concat(kept, F.array(x)))
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), step)
+    joined = lambda k: F.concat(F.lit("/"), F.array_join(k, "/"), F.when((F.size(k) > 0) & F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
+    rest = F.regexp_extract(url, r"^[^:]+://[^/?#]*[^?#]*(.*)$", 1)
+    return F.concat(part(url, 1), F.lit("://"), part(url, 2), let(kept, joined), rest)
+
+
+def decoded(attribute: Column) -> Column:
+    """An attribute's value with the character references that URLs hold decoded."""
+    for name, char in (("&#38;", "&"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        attribute = F.replace(attribute, F.lit(name), F.lit(char))
+    return attribute
 
 
 def links(html: Column) -> Column:
-    """array<struct<href, anchor>> of a page's anchors, by regular expression."""
-    found = F.regexp_extract_all(html, F.lit(r'(?is)<a\b[^>]*?\bhref\s*=\s*"[^"]*"[^>]*>.*?</a>'), F.lit(0))
-    return F.transform(found, lambda a: F.struct(F.regexp_extract(a, r'(?is)\bhref\s*=\s*"([^"]*)"', 1).alias("href"), F.trim(F.regexp_replace(a, "(?s)<[^>]*>", "")).alias("anchor")))
+    """array<struct<href, anchor>> of a page's anchors, by regular expression: href in double, single or no quotes."""
+    found = F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*?\bhref\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)[^>]*>.*?</a>"), F.lit(0))
+    value = lambda a: F.concat(*[F.regexp_extract(a, r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", k) for k in (1, 2, 3)])
+    return F.transform(found, lambda a: F.struct(decoded(value(a)).alias("href"), F.trim(F.regexp_replace(a, "(?s)<[^>]*>", "")).alias("anchor")))

@@ -9,7 +9,7 @@ from folioscope.functions.dictionaries import YEARS
 from folioscope.functions.urls import path
 
 _ANY = r"(?<!\d)(20\d\d)(?!\d)"
-#: Classes of elements that hold a date.
+# Classes of elements that hold a date.
 DATE_CLASSES = ("date", "published", "entry-date", "post-date", "article-date", "created", "modified", "updated", "datetime", "data-publicacao")
 
 
@@ -56,9 +56,11 @@ def pdf_date(raw: Column, years: tuple[int, int] = YEARS) -> Column:
 def html_dates(html: Column, years: tuple[int, int] = YEARS) -> Column:
     """Years in time elements and in elements of date-like classes (Y6), by regular expression."""
     text = F.coalesce(html, F.lit(""))
-    attributes = F.transform(F.regexp_extract_all(text, F.lit(r'(?is)<time\b[^>]*?\bdatetime\s*=\s*"(\d{4})'), F.lit(1)), lambda y: y.cast("int"))
+    attributes = F.transform(F.regexp_extract_all(text, F.lit(r'(?is)<time\b[^>]*?\bdatetime\s*=\s*["\']?(\d{4})'), F.lit(1)), lambda y: y.cast("int"))
     elements = F.regexp_extract_all(text, F.lit(r"(?is)<time\b[^>]*>(.*?)</time>"), F.lit(1))
-    classed = F.regexp_extract_all(text, F.lit(r'(?is)<(\w+)\b[^>]*?\bclass\s*=\s*"[^"]*(?:' + "|".join(DATE_CLASSES) + r')[^"]*"[^>]*>(.*?)</\1>'), F.lit(2))
+    words = "|".join(DATE_CLASSES)
+    value = "(?:" + "|".join(f"{q}[^{q}]*(?:{words})[^{q}]*{q}" for q in ('"', "'")) + rf"|[^\s\"'>]*(?:{words})[^\s\"'>]*)"
+    classed = F.regexp_extract_all(text, F.lit(r"(?is)<(\w+)\b[^>]*?\bclass\s*=\s*" + value + r"[^>]*>(.*?)</\1>"), F.lit(2))
     inner = F.array_join(F.transform(F.concat(elements, classed), lambda e: F.regexp_replace(e, "(?s)<[^>]*>", "")), "\n")
     return F.array_sort(F.array_union(F.filter(attributes, lambda y: y.between(*years)), inside(inner, years)))
 

@@ -125,6 +125,21 @@ def find_batch(batches: DataFrame, signature: dict, keys: Sequence[str] = SIGNAT
     return batches.where(clause).orderBy(F.when(F.col("status") == "aberto", 0).otherwise(1), F.desc("id")).limit(1)
 
 
+def open_batch(batches: DataFrame, signature: dict, keys: Sequence[str] = SIGNATURE) -> DataFrame:
+    """The batches with that of this signature open: reopened if it was closed, new (with the next id) if there is none."""
+    if missing := [k for k in keys if k not in signature]:
+        raise ValueError(f"signature without {', '.join(missing)}")
+    if extra := [k for k in signature if k not in keys]:
+        raise ValueError(f"signature with unknown {', '.join(extra)}")
+    own = find_batch(batches, signature, keys).select(F.col("id").alias("_own"))
+    status = F.when(F.col("_own").isNotNull(), "aberto").otherwise(F.col("status"))
+    kept = batches.join(F.broadcast(own), batches["id"] == F.col("_own"), "left").withColumn("status", status).drop("_own")  # one row
+    last = batches.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
+    values = {"id": F.col("_last") + 1, "status": F.lit("aberto")} | {k: F.lit(signature[k]) for k in keys}
+    new = last.join(F.broadcast(own), F.lit(True), "left_anti").select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in batches.schema.fields])
+    return kept.select(*batches.columns).unionByName(new)
+
+
 def match_batches(signatures: DataFrame, batches: DataFrame, keys: Sequence[str]) -> DataFrame:
     """K10 for many signatures at once: the best batch of each signature, then a null-safe join."""
     best = batches.groupBy(*keys).agg(F.max_by("id", F.struct((F.col("status") == "aberto").cast("int"), "id")).alias("batch_id"))
@@ -148,8 +163,9 @@ def inputs(documents: DataFrame, call: str = "call_id") -> DataFrame:
     return rows.select(call, F.array_join(F.transform("parts", section), "\n\n").alias("input"), F.transform("parts", lambda p: p["doc_id"].cast("string")).alias("documents"))
 
 
-def code_calls(prepared: DataFrame, client: Callable[[str], str], attempts: int = 3) -> DataFrame:
-    """The injected client's raw answer for each input; failures use up the same budget and leave null."""
+def code_calls(prepared: DataFrame, client: Callable[[str], str], attempts: int = 3, accept: Callable[[str], bool] | None = None) -> DataFrame:
+    """The injected client's raw answer for each input; failures, and answers that accept refuses, use up the same budget and
+    leave null."""
     import pandas as pd
 
     names = prepared.columns
@@ -161,8 +177,10 @@ def code_calls(prepared: DataFrame, client: Callable[[str], str], attempts: int
                 answer = None
                 for _ in range(attempts):
                     try:
-                        answer = client(text)
-                        break
+                        given = client(text)
+                        if accept is None or accept(given):
+                            answer = given
+                            break
                     except Exception:  # noqa: BLE001  the client is foreign code
                         continue
                 raw.append(answer)

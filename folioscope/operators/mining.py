@@ -8,15 +8,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions.dictionaries import CONNECTIVES
 from folioscope.functions.text import clean, collapse, fold_light, ngrams, occurrences, python_fold, tokens, without_words
 from folioscope.operators.catalog import top_per_group
 
 
 def _terms(text: Column, ngram: tuple[int, int], stopwords: Sequence[str], connectives: Sequence[str]) -> Column:
-    return F.filter(ngrams(without_words(tokens(clean(text, connectives)), stopwords), *ngram), lambda t: ~t.rlike(r"\p{Nd}"))
+    # a term has a digit if one of its tokens has: each token is looked at once, and such ones become a mark
+    marked = F.transform(without_words(tokens(clean(text, connectives)), stopwords), lambda t: F.when(t.rlike(r"\p{Nd}"), F.lit("\0")).otherwise(t))
+    return F.filter(ngrams(marked, *ngram), lambda t: ~F.contains(t, F.lit("\0")))
 
 
-def term_frequency(corpus: DataFrame, ngram: tuple[int, int] = (1, 1), min_freq: int = 2, stopwords: Sequence[str] = (), connectives: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
+def term_frequency(corpus: DataFrame, ngram: tuple[int, int] = (1, 1), min_freq: int = 2, stopwords: Sequence[str] = (), connectives: Sequence[str] = CONNECTIVES, by: Sequence[str] = ()) -> DataFrame:
     """How often each term occurs; n-grams run over the tokens left after stopwords; terms with digits are out."""
     rows = corpus.select(*by, F.explode(_terms(F.col("text"), ngram, stopwords, connectives)).alias("term"))
     return rows.groupBy(*by, "term").agg(F.count("*").alias("freq")).where(F.col("freq") >= min_freq)
@@ -119,7 +122,7 @@ def sample(corpus: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return corpus.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
 
 
-def tfidf(corpus: DataFrame, max_features: int = 1500, min_df: int = 2, max_df: float = 0.9, stopwords: Sequence[str] = (), connectives: Sequence[str] = ()) -> DataFrame:
+def tfidf(corpus: DataFrame, max_features: int = 1500, min_df: int = 2, max_df: float = 0.9, stopwords: Sequence[str] = (), connectives: Sequence[str] = CONNECTIVES) -> DataFrame:
     """doc_id, term, weight = tf * (ln((1 + n) / (1 + df)) + 1), of unit length by document.
 
     Relational: document frequencies are counts over (document, term) rows, the vocabulary is a bounded top list.

@@ -75,13 +75,14 @@ def update_by_key(existing: DataFrame, changes: DataFrame, keys: Sequence[str])
 
 
 #: K6: allowed transitions of a sweep's status.
-TRANSITIONS = {"iniciar": ("pendente", "em_execucao"), "concluir": ("em_execucao", "concluida"), "falhar": ("em_execucao", "falhou")}
+TRANSITIONS = {"iniciar": ("pendente", "rodando"), "concluir": ("rodando", "concluida"), "falhar": ("rodando", "falhou")}
 
 
 def transition(rows: DataFrame, action: str, force: bool = False) -> DataFrame:
-    """K6: compare-and-set of the status; moved tells which rows were in the state that the action starts from."""
+    """K6: compare-and-set of the status; moved tells which rows were in the state that the action starts from. force
+    starts a row from any state; it means nothing to the other actions."""
     before, after = TRANSITIONS[action]
-    may = F.lit(True) if force else F.col("status") == before
+    may = F.lit(True) if force and action == "iniciar" else F.col("status") == before
     return rows.withColumns({"moved": may, "status": F.when(may, after).otherwise(F.col("status"))})
 
 
@@ -168,7 +169,8 @@ def discover(seeds: DataFrame, pages: DataFrame, max_depth: int = 3, page_cap: i
     """Breadth-first discovery over stored pages (url, html) from seeds (url): found links with class and depth.
 
     One join a level between the frontier and the pages; only links of the page's own site are followed. page_cap is the
-    politeness limit of pages visited.
+    politeness limit of pages visited of each site over all levels. Every level is checkpointed where the cluster names a
+    folder for it, so that levels don't compute those before them again.
     """
     spark = pages.sparkSession
     known = pages.select(urls.canonical(F.col("url")).alias("page"), "html").where(F.col("page").isNotNull()).dropDuplicates(["page"])
@@ -176,7 +178,11 @@ def discover(seeds: DataFrame, pages: DataFrame, max_depth: int = 3, page_cap: i
     visited, found = spark.createDataFrame([], "page string"), spark.createDataFrame([], "page string, url string, class string, depth int")
     for depth in range(max_depth + 1):
         if page_cap is not None:
-            frontier = frontier.orderBy("page").limit(page_cap)
+            # the site's pages so far plus the place in this level; a site's frontier is bounded by its links
+            seen = visited.groupBy(urls.scope_host(F.col("page")).alias("_site")).agg(F.count("*").alias("_seen"))
+            place = F.row_number().over(Window.partitionBy("_site").orderBy("page"))
+            ranked = frontier.withColumn("_site", urls.scope_host(F.col("page"))).withColumn("_place", place).join(seen, "_site", "left")
+            frontier = ranked.where(F.col("_place") + F.coalesce("_seen", F.lit(0)) <= page_cap).select("page")
         level = frontier.join(known, "page").select("page", F.explode(urls.links(F.col("html"))).alias("a"))
         level = level.where(urls.followable(F.col("a.href"))).select("page", F.col("a.anchor").alias("anchor"), urls.canonical(urls.resolve(F.col("page"), F.col("a.href"))).alias("url"))
         level = level.where(F.col("url").isNotNull() & (urls.scope_host(F.col("url")) == urls.scope_host(F.col("page"))))
@@ -184,9 +190,22 @@ def discover(seeds: DataFrame, pages: DataFrame, max_depth: int = 3, page_cap: i
         found = found.unionByName(level.where(F.col("class").isNotNull()).select("page", "url", "class", "depth"))
         visited = visited.unionByName(frontier)
         frontier = level.where(F.col("class") == "secao").select(F.col("url").alias("page")).distinct().join(visited, "page", "left_anti")
+        if depth < max_depth:
+            found, visited, frontier = cut(found), cut(visited), cut(frontier)
     return found.groupBy("url", "class").agg(F.min("depth").alias("depth"), F.min("page").alias("page"))
 
 
+def cut(rows: DataFrame) -> DataFrame:
+    """The rows without their lineage, kept in the checkpoint folder; unchanged where the session has none."""
+    context = rows.sparkSession.sparkContext
+    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        return rows
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return rows.checkpoint()
+
+
 def log_entries(rows: DataFrame, key: str, log: str) -> DataFrame:
     """P10: the entries of a JSON object (name, value) or list (position, value); bad JSON has none."""
     as_map = F.from_json(F.col(log), "map<string,string>")

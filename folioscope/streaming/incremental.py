@@ -24,7 +24,9 @@ def versioned_upsert(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int
 
     def stage(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        first = batch.dropDuplicates(list(keys))
+        rest = [c for c in batch.columns if c not in keys]
+        # the smallest row of a key, so that a repeated batch picks the same one
+        first = batch.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*[F.col(c) if c in keys else F.col("_r").getField(c).alias(c) for c in batch.columns]) if rest else batch.distinct()
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if fs.exists(hadoop):

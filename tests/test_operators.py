@@ -119,7 +119,7 @@ def test_sync_and_transition(spark):
     a, b = (spark.createDataFrame(x, "code string, v int") for x in ([("A", 1), ("B", 2), ("C", 3)], [("a", 1), ("b", 9), ("D", 4)]))
     assert {(r.code.upper(), r.v, r.action) for r in stages.sync(a, b, "code").collect()} == {("A", 1, "inalterado"), ("B", 9, "atualizado"), ("C", 3, "ausente"), ("D", 4, "criado")}
     rows = stages.transition(spark.createDataFrame([(1, "pendente"), (2, "concluida")], "id int, status string"), "iniciar").orderBy("id").collect()
-    assert [(r.status, r.moved) for r in rows] == [("em_execucao", True), ("concluida", False)]
+    assert [(r.status, r.moved) for r in rows] == [("rodando", True), ("concluida", False)]
 
 
 def test_host_scope_and_discovery(spark):
