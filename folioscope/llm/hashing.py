@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _P = U64(0x9E3779B97F4A7C15)
@@ -123,6 +124,16 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int = 1000, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of so many rows, and so many bytes of a text or binary column, at most; a longer value is alone."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.concatenate([[0], np.cumsum(size)]), 0
+    while at < batch.num_rows:
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def word_chunks(column: pa.Array, kind: np.ndarray) -> Iterator[tuple[int, int, Words]]:
     """(first row, row after the last, their words), CHUNK bytes at a time."""
     data, offsets = utf8(column)

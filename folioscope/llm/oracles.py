@@ -70,3 +70,36 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM h
 """
+
+SQL["op13_fill_in_middle"] = r"""
+WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+x AS (SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS d FROM t),
+c AS (SELECT *, least(d[1] % (n + 1), d[2] % (n + 1)) AS a, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d[3] % 100 >= 90 THEN 'plain' WHEN d[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM x),
+p AS (SELECT *, array_to_string(list_slice(u, 1, a), '') AS prefix, array_to_string(list_slice(u, a + 1, b), '') AS middle, array_to_string(list_slice(u, b + 1, n), '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def _clusters(k: int = 8, rounds: int = 10) -> str:
+    """Plain rounds of assignment and floored means, one after the other."""
+    steps = [
+        "WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, vec_id) - 1 AS j, x AS c FROM (SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, vec_id, x FROM v ORDER BY h, vec_id LIMIT {k}))",
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"d{n} AS MATERIALIZED (SELECT r, j, CAST(list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{n})")
+        steps.append(f"a{n} AS MATERIALIZED (SELECT r, min(d) AS d, min(j) AS j FROM (SELECT *, min(d) OVER (PARTITION BY r) AS m FROM d{n}) WHERE d = m GROUP BY r)")
+        if n < rounds:
+            steps.append(f"s{n} AS MATERIALIZED (SELECT j, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM a{n} JOIN v USING (r), (SELECT unnest(range(1, 65)) AS i) GROUP BY j, i)")
+            steps.append(f"m{n} AS MATERIALIZED (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{n} GROUP BY j)")
+            steps.append(f"c{n + 1} AS MATERIALIZED (SELECT c{n}.j, coalesce(m{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN m{n} USING (j))")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, CAST(a.j AS INT) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.j) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} c ON c.j = a.j"""
+
+
+SQL["op12_elkan_clusters"] = _clusters()

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, chat, decontaminate, mainart, neardup, quality, sstable, substring, toxicity, warc
+from folioscope.llm import audio, bpe, centroids, chat, decontaminate, fim, mainart, neardup, quality, sstable, substring, toxicity, warc
 from folioscope.llm.common import table
 
 
@@ -72,8 +72,26 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns))
 
 
+def op11_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.report(table(spark, sf_dir, "documents"))
+
+
+def op12_elkan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_sorted_string_table, op3_page_differencing, op4_superminhash, op5_warc_normaliser, op6_toxicity, op7_decontamination, op8_quality_rules, op9_substring_dedup, op10_chat_formatting)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_byte_bpe, op2_sorted_string_table, op3_page_differencing, op4_superminhash, op5_warc_normaliser, op6_toxicity, op7_decontamination, op8_quality_rules,
+            op9_substring_dedup, op10_chat_formatting, op11_audio_features, op12_elkan_clusters, op13_fill_in_middle,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
