@@ -8,7 +8,7 @@ clean text do no harm.
 
 A unit of one or two words tells too little alone, so it is looked up together with the units after it, up to three
 words at least (at the end of a text with those before it); all units of a window that occurred before count as
-repeated. New words end a run. Only one or two new words in short units, between repeated ones, go with the run.
+repeated. A run ends at every unit of which no window occurred before, so words that are new always stay.
 
 In scripts without spaces (Chinese, Japanese, Thai) each character is a word, and their full stops and commas end units.
 
@@ -145,8 +145,7 @@ def cut_spans(text: str, later: list[int], min_words: int) -> list[tuple[int, in
         np.add.at(depth, begin[later], 1)
         np.add.at(depth, after[later], -1)
         marked = np.flatnonzero(np.cumsum(depth)[:-1] > 0)
-        # a run goes on over less than LEAST_UNIT words
-        breaks = np.flatnonzero(first[marked[1:]] - first[marked[:-1] + 1] >= LEAST_UNIT) + 1
+        breaks = np.flatnonzero(np.diff(marked) > 1) + 1
         for run in np.split(marked, breaks):
             if len(run) and first[run[-1] + 1] - first[run[0]] >= min_words:
                 stop = int(start[first[run[-1] + 1]]) if run[-1] + 1 < len(size) else len(words.data)

@@ -513,38 +513,78 @@ def test_boilerplate_lines_of_any_length(spark):
 # ---- 9: substring deduplication
 
 
-def plain_cut(texts, least=25):
-    seen, out = set(), []
-    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    for t in texts:
-        if t is None:
-            out.append(None)
+WIDE = "\u3000-\u9fff\u0e00-\u0e7f"
+PLAIN_WORD = re.compile(rf"[{WIDE}]|[^\x00-\x2F\x3A-\x60\x7B-\x7F{WIDE}、。，．：；！？]+")
+
+
+def plain_units(t):
+    """Of each unit its words' spans."""
+    low = t.encode().lower().decode()
+    units, last = [], None
+    for m in PLAIN_WORD.finditer(low):
+        if m.group() in "、。":
             continue
-        low = t.encode().lower().decode()
-        us, last = [], None
-        for m in word.finditer(low):
-            if last is None or re.search(r"[.,;:!?\n]", low[last : m.start()]):
-                us.append([])
-            us[-1].append(m.span())
-            last = m.end()
-        dup = []
-        for u in us:
-            key = tuple(low[a:b] for a, b in u)
-            dup.append(None if len(u) < 3 else key in seen)
-            if len(u) >= 3:
-                seen.add(key)
+        if last is None or re.search(r"[.,;:!?\n、。，．：；！？]", low[last : m.start()]):
+            units.append([])
+        units[-1].append((*m.span(), m.group()))
+        last = m.end()
+    return units
+
+
+def plain_cut(texts, least=25):
+    """Windows of three words at least, the earliest occurrence of each, and what is left without runs of later ones."""
+    firsts, windows = {}, []
+    for d, t in enumerate(texts):
+        units = plain_units(t or "")
+        own = []
+        for i in range(len(units)):
+            a, b = i, i + 1
+            while b < len(units) and sum(map(len, units[a:b])) < 3:
+                b += 1
+            while a and sum(map(len, units[a:b])) < 3:
+                a -= 1
+            key = tuple(w for u in units[a:b] for _, _, w in u)
+            if len(key) >= 3:
+                firsts.setdefault(key, (d, i))
+                own.append((i, a, b, key))
+        windows.append((units, own))
+    out = []
+    for d, t in enumerate(texts):
+        units, own = windows[d]
+        repeated = set()
+        for i, a, b, key in own:
+            first = firsts[key]
+            if first[0] != d or i - first[1] >= b - a:
+                repeated.update(range(a, b))
         left, at, run = "", 0, []
-        for n in [*range(len(us)), None]:
-            if n is not None and dup[n]:
+        for n in range(len(units) + 1):
+            if n in repeated:
                 run.append(n)
-            elif n is None or dup[n] is False:
-                if run and sum(len(us[x]) for x in range(run[0], run[-1] + 1)) >= least:
-                    left, at = left + t[at : us[run[0]][0][0]], us[run[-1] + 1][0][0] if run[-1] + 1 < len(us) else len(t)
+            elif run:
+                if sum(len(units[x]) for x in run) >= least:
+                    left, at = left + t[at : units[run[0]][0][0]], units[n][0][0] if n < len(units) else len(t)
                 run = []
-        out.append(left + t[at:])
+        out.append(None if t is None else left + t[at:])
     return out
 
 
+@pytest.mark.parametrize("least", [1, 4, 25])
+def test_substring_matches_brute_force_on_short_units(spark, least):
+    r = random.Random(least)
+    pieces = ["a b.", "c!", "d e f,", "g.", "Not guilty.", "h i j k l m.", "中文", "字。", "、", "x", "ไทย ", "\n", "A B.", "e f", "é;", "?"]
+    own = ["".join(r.choice(pieces) + r.choice(["", " "]) for _ in range(r.randint(0, 60))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    found = {x.doc_id: x.text for x in substring.deduplicate(docs, min_words=least).collect()}
+    assert [found[i] for i in range(len(own))] == plain_cut(own, least)
+
+
+def test_substring_never_cuts_new_words(spark):
+    a, b = prose(64, 40), prose(65, 40)
+    data = [(1, f"{a} {b}"), (2, f"{a} Not guilty. {b}"), (3, f"{prose(64, 20)} Never. Seen. {b}")]
+    found = {x.doc_id: x.text for x in substring.deduplicate(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert found == {1: f"{a} {b}", 2: "Not guilty. ", 3: f"{prose(64, 20)} Never. Seen. "}
+
+
 def test_substring_matches_brute_force(spark, texts):
     passage = prose(50, 60)
     own = [*texts, prose(51, 30) + " " + passage + " " + prose(52, 30), f"Ünï {passage.upper()} tail é", passage + "\nTo.\n" + passage]
