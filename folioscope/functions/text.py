@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 import zlib
@@ -16,31 +17,44 @@ from folioscope.functions.dictionaries import CONNECTIVES, SECTION_KEYWORDS
 TOKEN = r"(?U)\b[^\W\d_]\w+\b"
 
 
-def _decompositions(form: str) -> tuple[str, str]:
+def _base(c: str, form: str) -> str:
+    return "".join(x for x in unicodedata.normalize(form, c) if not unicodedata.combining(x))
+
+
+@functools.cache
+def _canonical() -> tuple[str, str]:
     """Lower-case letters that decompose into one base character and marks, and their bases: a rule, not a list."""
-    pairs = []
-    for code in (*range(0xA0, 0x250), *range(0x370, 0x400), *range(0x1E00, 0x2000), *range(0x2070, 0x20A0), *range(0x2100, 0x2190), *range(0xFF00, 0xFFF0)):
-        c = chr(code)
-        base = "".join(x for x in unicodedata.normalize(form, c) if not unicodedata.combining(x))
-        if len(base) == 1 and base != c and c == c.lower():
-            pairs.append((c, base))
+    found = [(c, _base(c, "NFD")) for c in map(chr, (*range(0xA0, 0x250), *range(0x370, 0x400), *range(0x1E00, 0x2000), *range(0x2070, 0x20A0), *range(0x2100, 0x2190), *range(0xFF00, 0xFFF0)))]
+    pairs = [(c, base) for c, base in found if len(base) == 1 and base != c and c == c.lower()]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-_CANONICAL, _COMPATIBLE = _decompositions("NFD"), _decompositions("NFKD")
+#: Syllables that decompose by arithmetic.
+_HANGUL = range(0xAC00, 0xD7A4)
 
 
-def _several() -> dict[str, str]:
-    """Characters that fold to several: fractions, Roman numerals, ligatures and their kin, by rule."""
-    found = {}
-    for c in map(chr, (*range(0xA0, 0x250), *range(0x2000, 0x2190), *range(0x2460, 0x2500), *range(0x3200, 0x3400), *range(0xFB00, 0xFB07))):
-        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).casefold()
-        if len(base) > 1 and c == c.lower():
-            found[c] = base
-    return found
+@functools.cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """How each character folds, by rule: those that become one (or, at the end, none), what they become, and those that
+    become several."""
+    one, gone, several = [], [], {}
+    for c in map(chr, (*range(0x41, 0xAC00), *range(0xF900, 0xFFFE), *range(0x10000, 0x20000), *range(0x2F800, 0x2FA20))):
+        base = _base(c, "NFKD").casefold()
+        if base == "":
+            gone.append(c)
+        elif len(base) > 1:
+            several[c] = base
+        elif base != c:
+            one.append((c, base))
+    return "".join(c for c, _ in one) + "".join(gone), "".join(b for _, b in one), several
 
 
-_SEVERAL = _several()
+def _syllable(c: Column, code: Column) -> Column:
+    """A Hangul syllable's letters; null for other characters."""
+    at = code - _HANGUL[0]
+    letter = lambda first, n, i: F.get(F.split(F.lit("".join(map(chr, range(first, first + n)))), ""), i.cast("int"))
+    tail = F.when(at % 28 == 0, "").otherwise(letter(0x11A8, 27, at % 28 - 1))
+    return F.when(code.between(_HANGUL[0], _HANGUL[-1]), F.concat(letter(0x1100, 19, F.floor(at / 588)), letter(0x1161, 21, F.floor(at % 588 / 28)), tail))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -53,12 +67,26 @@ def collapse(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Case and accents removed, compatibility forms unified: the fold of the rule engines."""
-    plain = F.translate(F.lower(text), _COMPATIBLE[0] + "ſς", _COMPATIBLE[1] + "sσ")
-    plain = F.regexp_replace(plain, r"\p{Mn}", "")
-    table = F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])
-    each = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    return let(plain, lambda t: F.when(t.rlike("[" + "".join(_SEVERAL) + "]"), each(t)).otherwise(t))
+    """Case and accents removed, compatibility forms unified: the fold of the rule engines (T1), character by character.
+
+    One pass maps all characters that become one or none. Only texts that hold one of the rest are looked through, and
+    there only what isn't ASCII is looked up, by block of 256 and then in the block.
+    """
+    before, after, several = _folds()
+    common = {c: several[c] for c in "ß…"}
+    plain = F.translate(text, before, after)
+    for c, base in common.items():
+        plain = F.replace(plain, F.lit(c), F.lit(base))
+    blocks: dict[int, dict[str, str]] = {}
+    for c, base in several.items():
+        blocks.setdefault(ord(c) >> 8, {})[c] = base
+    literal = lambda pairs: F.create_map(*[x for pair in pairs for x in pair])
+    table = literal((F.lit(k), literal((F.lit(c), F.lit(base)) for c, base in own.items())) for k, own in blocks.items())
+    other = lambda c, code: F.coalesce(F.try_element_at(F.try_element_at(table, F.shiftright(code, 8)), c), _syllable(c, code), c)
+    each = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.when(c < "\x80", c).otherwise(let(F.ascii(c), lambda code: other(c, code)))), "")
+    rest = "".join(c for c in several if c not in common)
+    holds = lambda t: t.rlike("[^\\x00-\\x7F]") & (t.rlike("[\uAC00-\uD7A3]") | (F.char_length(F.translate(t, rest, "")) < F.char_length(t)))
+    return let(plain, lambda t: F.when(holds(t), each(t)).otherwise(t))
 
 
 def fold_collapsed(text: Column) -> Column:
@@ -68,7 +96,7 @@ def fold_collapsed(text: Column) -> Column:
 
 def fold_light(text: Column) -> Column:
     """Lower case without accents, white space collapsed; no compatibility forms, ß stays."""
-    return collapse(F.regexp_replace(F.translate(F.lower(text), *_CANONICAL), r"\p{Mn}", ""))
+    return collapse(F.regexp_replace(F.translate(F.lower(text), *_canonical()), r"\p{Mn}", ""))
 
 
 def fold_citation(text: Column) -> Column:

@@ -1,5 +1,7 @@
 """Golden cases of the text, URL and year functions."""
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +123,12 @@ def test_off_peak(spark):
 
 def test_scanned(spark):
     assert values(spark, [(200, 2), (199, 2), (198, 2), (0, 0)], rules.scanned, "int,int") == [False, True, True, True]
+
+
+def test_fold_is_exact_for_the_whole_plane(spark):
+    every = [c for c in map(chr, range(1, 0x10000)) if not 0xD800 <= ord(c) < 0xE000] + ["𝐀", "ＡÉ…", "ΟΔΟΣ", "각ß한글½", "ไทย ั"]
+    rows = spark.createDataFrame(list(enumerate(every)), "i int, c string")
+    found = rows.select("c", X.fold(F.col("c")).alias("f")).collect()
+    plain = lambda c: "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).casefold()
+    assert [(hex(ord(r.c[0])), r.f) for r in found if r.f != plain(r.c)] == []
+    assert rows.select(X.fold(F.lit(None).cast("string")).alias("f")).first().f is None
