@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import re
 import unicodedata
 import zlib
@@ -77,12 +78,11 @@ def fold(text: Column) -> Column:
     plain = F.translate(text, before, after)
     for c, base in common.items():
         plain = F.replace(plain, F.lit(c), F.lit(base))
-    blocks: dict[int, dict[str, str]] = {}
+    blocks: list[dict[str, str]] = [{} for _ in range(max(map(ord, several)) // 256 + 1)]
     for c, base in several.items():
-        blocks.setdefault(ord(c) >> 8, {})[c] = base
-    literal = lambda pairs: F.create_map(*[x for pair in pairs for x in pair])
-    table = literal((F.lit(k), literal((F.lit(c), F.lit(base)) for c, base in own.items())) for k, own in blocks.items())
-    other = lambda c, code: F.coalesce(F.try_element_at(F.try_element_at(table, F.shiftright(code, 8)), c), _syllable(c, code), c)
+        blocks[ord(c) >> 8][c] = base
+    table = F.from_json(F.lit(json.dumps(blocks)), "array<map<string,string>>")
+    other = lambda c, code: F.coalesce(F.try_element_at(F.get(table, F.shiftright(code, 8)), c), _syllable(c, code), c)
     each = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.when(c < "\x80", c).otherwise(let(F.ascii(c), lambda code: other(c, code)))), "")
     rest = "".join(c for c in several if c not in common)
     holds = lambda t: t.rlike("[^\\x00-\\x7F]") & (t.rlike("[\uAC00-\uD7A3]") | (F.char_length(F.translate(t, rest, "")) < F.char_length(t)))
@@ -114,6 +114,18 @@ def alternation(terms: Sequence[str]) -> str:
     return r"(?U)\b(?:" + "|".join(re.escape(t) for t in terms) + r")\b"
 
 
+def has_term(text: Column, term: str) -> Column:
+    """Whether a folded term occurs in a folded text as whole tokens; the plain search spares most texts the pattern."""
+    return F.contains(text, F.lit(term)) & text.rlike(alternation([term]))
+
+
+def has_any(text: Column, terms: Sequence[str]) -> Column:
+    found = F.lit(False)
+    for t in terms:
+        found = found | has_term(text, t)
+    return found
+
+
 def clean(text: Column, connectives: Sequence[str] = CONNECTIVES) -> Column:
     """Lower case, connectives removed as whole words (first listed wins), white space collapsed last (T5)."""
     lowered = F.lower(F.coalesce(text, F.lit("")))
@@ -158,7 +170,7 @@ def ngrams(found: Column, low: int, high: int) -> Column:
 
 def has_keyword(text: Column, keywords: Sequence[str] = SECTION_KEYWORDS) -> Column:
     """Whether a keyword occurs as whole tokens, whatever its case and accents."""
-    return fold_collapsed(F.coalesce(text, F.lit(""))).rlike(alternation([python_fold(k) for k in keywords]))
+    return let(fold_collapsed(F.coalesce(text, F.lit(""))), lambda t: has_any(t, [python_fold(k) for k in keywords]))
 
 
 def occurrences(text: Column, term: str) -> Column:

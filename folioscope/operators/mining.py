@@ -89,10 +89,21 @@ def signal_pattern(signal: str, bigrams: bool = True) -> str:
     return r"(?U)\b(?:" + "|".join(r"\s+".join(r) for r in runs) + r")\b"
 
 
+def near_signal(text: Column, signal: str, bigrams: bool = True) -> Column:
+    """Whether a collapsed text holds the signal, or two neighbours of it, at all."""
+    words = python_fold(signal).split()
+    runs = [" ".join(words)] + ([" ".join(words[i : i + 2]) for i in range(len(words) - 1)] if bigrams and len(words) > 1 else [])
+    found = F.contains(text, F.lit(runs[0]))
+    for r in runs[1:]:
+        found = found | F.contains(text, F.lit(r))
+    return found
+
+
 def signals(corpus: DataFrame, dimensions: dict[str, Sequence[str]], bigrams: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """For each document and dimension the signals present, with rows of none. One literal pattern a signal."""
     rows = corpus.select("doc_id", *by, fold_light(F.coalesce("text", F.lit(""))).alias("t"))
-    present = lambda own: F.array_compact(F.array(*[F.when(F.col("t").rlike(signal_pattern(s, bigrams)), F.lit(s)) for s in own]))
+    # plain search spares most texts the pattern
+    present = lambda own: F.array_compact(F.array(*[F.when(near_signal(F.col("t"), s, bigrams) & F.col("t").rlike(signal_pattern(s, bigrams)), F.lit(s)) for s in own]))
     each = F.array(*[F.struct(F.lit(d).alias("dimension"), present(own).alias("found")) for d, own in dimensions.items()])
     found = rows.select("doc_id", *by, F.explode(each).alias("d"))
     return found.select("doc_id", *by, "d.dimension", F.size("d.found").alias("n"), F.array_join("d.found", ", ").alias("sinais"))

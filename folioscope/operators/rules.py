@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import dictionaries as D
-from folioscope.functions.text import alternation, anchor_evidence, evidence, fold_collapsed, let, python_fold
+from folioscope.functions.text import alternation, anchor_evidence, evidence, fold_collapsed, has_any, has_term, let, python_fold
 
 
 def dating(years: Column, order: Sequence[str] = D.DATING_ORDER) -> Column:
@@ -32,7 +32,7 @@ def matched(text: Column, signals: Sequence[str], dimensions: dict[str, Sequence
     """
     of = {s: [d for d, own in dimensions.items() if s in own] for s in signals}
     entry = lambda s: F.struct(F.lit(s).alias("name"), F.array(*[F.lit(d) for d in of[s]]).cast("array<string>").alias("dims"))
-    return let(text, lambda t: F.array_compact(F.array(*[F.when(t.rlike(alternation([python_fold(s)])), entry(s)) for s in signals])))
+    return let(text, lambda t: F.array_compact(F.array(*[F.when(has_term(t, python_fold(s)), entry(s)) for s in signals])))
 
 
 def classify(rows: DataFrame, signals: Sequence[str], dimensions: dict[str, Sequence[str]], text: str = "text", anchor: str = "anchor") -> DataFrame:
@@ -59,13 +59,13 @@ def axis3(text: Column, triggers: Sequence[str] = D.AXIS3_TRIGGERS, targets: Seq
 
 def _axis3(text: Column, plain: Column, triggers: Sequence[str], targets: Sequence[str], required: Sequence[str], vetoed: Sequence[str], window: int) -> Column:
     def first(terms: Sequence[str]) -> Column:
-        return F.coalesce(*[F.when(plain.rlike(alternation([python_fold(t)])), F.struct(F.lit(t).alias("term"), F.lit(alternation([python_fold(t)])).alias("re"))) for t in terms])
+        return F.coalesce(*[F.when(has_term(plain, python_fold(t)), F.struct(F.lit(t).alias("term"), F.lit(alternation([python_fold(t)])).alias("re"))) for t in terms])
 
     trigger, target = first(triggers), first(targets)
     every = F.lit(True)
     for t in required:
-        every = every & plain.rlike(alternation([python_fold(t)]))
-    instrumental = every & ~plain.rlike(alternation([python_fold(t) for t in vetoed]))
+        every = every & has_term(plain, python_fold(t))
+    instrumental = every & ~has_any(plain, [python_fold(t) for t in vetoed])
     substantive = trigger.isNotNull() & target.isNotNull()
     code = F.when(substantive, D.SUBSTANTIVE).when(instrumental, D.INSTRUMENTAL).otherwise(D.SILENCE)
     lead = F.when(substantive, trigger).when(instrumental, first(required))
