@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.dictionaries import CONNECTIVES
 from folioscope.functions.text import clean, collapse, fold_light, ngrams, occurrences, python_fold, tokens, without_words
 from folioscope.operators.catalog import top_per_group
+from folioscope.sources.scratch import kept
 
 
 def _terms(text: Column, ngram: tuple[int, int], stopwords: Sequence[str], connectives: Sequence[str]) -> Column:
@@ -139,13 +140,13 @@ def tfidf(corpus: DataFrame, max_features: int = 1500, min_df: int = 2, max_df:
     Relational: document frequencies are counts over (document, term) rows, the vocabulary is a bounded top list.
     """
     rows = corpus.select("doc_id", F.explode(_terms(F.col("text"), (1, 1), stopwords, connectives)).alias("term"))
-    tf = rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    tf = kept(rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf")))
     total = corpus.agg(F.countDistinct("doc_id").alias("docs"))
     stats = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all_tf")).join(F.broadcast(total)).where((F.col("df") >= min_df) & (F.col("df") <= F.col("docs") * max_df))  # total is one row
     vocabulary = stats.orderBy(F.desc("all_tf"), "term").limit(max_features).select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
     weighted = tf.join(F.broadcast(vocabulary), "term").withColumn("w", F.col("tf") * F.col("idf"))  # at most max_features rows
-    norm = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norm, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    vectors = weighted.groupBy("doc_id").agg(F.collect_list(F.struct("term", "w")).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))  # max_features at most
+    return vectors.select("doc_id", "norm", F.explode("v").alias("x")).select("doc_id", "x.term", (F.col("x.w") / F.col("norm")).alias("weight"))
 
 
 def project_2d(weights: DataFrame) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import dictionaries as D
 from folioscope.functions.text import alternation, anchor_evidence, evidence, fold_collapsed, has_any, has_term, let, python_fold
+from folioscope.operators import runs
 
 
 def dating(years: Column, order: Sequence[str] = D.DATING_ORDER) -> Column:
@@ -88,13 +89,16 @@ def ocr_rescue(pages: DataFrame, least: float = 60.0) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count_if(F.col("conf") >= least).alias("rescued"), F.round(F.avg(F.when(F.col("conf") >= least, F.col("conf"))), 1).alias("confidence"))
 
 
-def consecutive(events: DataFrame, key: str, order: Sequence[str], hit: Column) -> DataFrame:
-    """For each event the number of hits in a row up to it; any other event resets it (gaps and islands)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    island = events.withColumn("_hit", hit.cast("int")).withColumn("_island", F.sum(1 - F.col("_hit")).over(w))
-    return island.withColumn("run", F.sum("_hit").over(Window.partitionBy(key, "_island").orderBy(*order))).drop("_island", "_hit")
+def consecutive(events: DataFrame, key: str, order: Sequence[str], hit: Column, width: float = runs.WIDTH) -> DataFrame:
+    """For each event the number of hits in a row up to it; any other event resets it."""
+    return runs.numbered(events, key, order, hit, width)
 
 
-def suspended(events: DataFrame, key: str, order: Sequence[str], hit: Column, limit: int = 3) -> DataFrame:
+def suspended(events: DataFrame, key: str, order: Sequence[str], hit: Column, limit: int = 3, width: float = runs.WIDTH) -> DataFrame:
     """Keys with limit hits in a row, with their longest run."""
-    return consecutive(events, key, order, hit).groupBy(key).agg(F.max("run").alias("longest")).where(F.col("longest") >= limit)
+    return runs.longest(events, key, order, hit, width).where(F.col("longest") >= limit)
+
+
+def reachable(targets: DataFrame, events: DataFrame, key: str, order: Sequence[str], hit: Column, limit: int = 3) -> DataFrame:
+    """The targets whose key isn't suspended."""
+    return targets.join(suspended(events, key, order, hit, limit).select(key), key, "left_anti")

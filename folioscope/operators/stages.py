@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from folioscope.functions import urls
 from folioscope.functions.dictionaries import SECTION_KEYWORDS
 from folioscope.operators.catalog import PENDING, RESOLVED
+from folioscope.operators.joins import attached, with_predecessor
+from folioscope.sources.scratch import kept
 
 
 def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
@@ -148,12 +150,15 @@ def captures(arrivals: DataFrame) -> DataFrame:
     Restored: the URL's capture before has the same bytes. New version: it has others. Alias: the URL is new and the
     portal has these bytes already, from another URL, whose first capture it refers to. Else new.
     """
-    by_url = Window.partitionBy("url").orderBy("seq")
-    by_hash = Window.partitionBy("portal_id", "hash").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.lag("hash").over(by_url)
-    rows = arrivals.withColumns({"_before": before, "_first": F.first("url").over(by_hash)})
-    action = F.when(F.col("_before") == F.col("hash"), "restaurado").when(F.col("_before").isNotNull(), "nova_versao").when(F.col("_first").isNotNull(), "alias").otherwise("novo")
-    return rows.select(*arrivals.columns, action.alias("action"), F.when(action == "alias", F.col("_first")).alias("refers_to"))
+    arrivals = kept(arrivals)
+    rows = with_predecessor(arrivals, "url", "seq", "hash", "_before")
+    firsts = arrivals.groupBy("portal_id", "hash").agg(F.min(F.struct("seq", "url")).alias("_first"), F.count("*").alias("_n"))
+    # a new URL's row comes after the first of its bytes, or is it; known URLs need no lookup
+    new = attached(kept(rows.where(F.col("_before").isNull())), firsts, ["portal_id", "hash"], "_n")
+    of = F.when(F.col("_first.seq") < F.col("seq"), F.col("_first.url"))
+    found = new.select(*arrivals.columns, F.when(of.isNotNull(), "alias").otherwise("novo").alias("action"), of.alias("refers_to"))
+    again = F.when(F.col("_before.value").eqNullSafe(F.col("hash")), "restaurado").otherwise("nova_versao")
+    return rows.where(F.col("_before").isNotNull()).select(*arrivals.columns, again.alias("action"), F.lit(None).cast(arrivals.schema["url"].dataType).alias("refers_to")).unionByName(found)
 
 
 def host_scope(targets: DataFrame, portals: DataFrame) -> DataFrame:
@@ -191,21 +196,10 @@ def discover(seeds: DataFrame, pages: DataFrame, max_depth: int = 3, page_cap: i
         visited = visited.unionByName(frontier)
         frontier = level.where(F.col("class") == "secao").select(F.col("url").alias("page")).distinct().join(visited, "page", "left_anti")
         if depth < max_depth:
-            found, visited, frontier = cut(found), cut(visited), cut(frontier)
+            found, visited, frontier = kept(found), kept(visited), kept(frontier)
     return found.groupBy("url", "class").agg(F.min("depth").alias("depth"), F.min("page").alias("page"))
 
 
-def cut(rows: DataFrame) -> DataFrame:
-    """The rows without their lineage, kept in the checkpoint folder; unchanged where the session has none."""
-    context = rows.sparkSession.sparkContext
-    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        return rows
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return rows.checkpoint()
-
-
 def log_entries(rows: DataFrame, key: str, log: str) -> DataFrame:
     """P10: the entries of a JSON object (name, value) or list (position, value); bad JSON has none."""
     as_map = F.from_json(F.col(log), "map<string,string>")

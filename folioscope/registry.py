@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as X
 from folioscope.functions import urls, years
 from folioscope.operators import catalog as C
-from folioscope.operators import coding, mining, reports, rules, stages
+from folioscope.operators import citations, coding, mining, neighbours, reports, rules, stages
 from folioscope.plans import model
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -207,6 +207,11 @@ on_corpus(
     lambda c: mining.tfidf(c, 1500, 2, 0.9, STOP).select("doc_id", "term", F.round("weight", 6).alias("weight")),
     _ngram_sql(1, 1) + ", tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY 1, 2), n AS (SELECT count(DISTINCT doc_id) AS n FROM corpus), s AS (SELECT term, count(*) AS df, sum(tf) AS a FROM tf GROUP BY 1), v AS (SELECT term, ln(CAST(1 + n AS DOUBLE) / CAST(1 + df AS DOUBLE)) + 1 AS idf FROM s, n WHERE df >= 2 AND df <= n * CAST(0.9 AS DOUBLE) ORDER BY a DESC, term LIMIT 1500), w AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN v USING (term)), l AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM w GROUP BY 1) SELECT doc_id, term, round(w / l, 6) AS weight FROM w JOIN l USING (doc_id)",
 )
+on_corpus(
+    "tfidf_neighbours",
+    lambda c: neighbours.neighbours(mining.tfidf(c, 1500, 2, 0.9, STOP), 10),
+    ORACLES["tfidf"].removeprefix(model.SQL).replace("SELECT doc_id, term, round(w / l, 6) AS weight FROM w JOIN l USING (doc_id)", ", u AS (SELECT doc_id, term, w / l AS w FROM w JOIN l USING (doc_id)), c AS (SELECT a.doc_id, b.doc_id AS other, round(sum(a.w * b.w), 6) AS cosine FROM u a JOIN u b ON a.term = b.term AND a.doc_id <> b.doc_id GROUP BY 1, 2) SELECT doc_id, CAST(rank AS INT) AS rank, other, cosine FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, other) AS rank FROM c WHERE cosine > 0) WHERE rank <= 10"),
+)
 on_corpus("tfidf_projection", lambda c: mining.project_2d(mining.tfidf(c, 1500, 2, 0.9, STOP)))
 
 # ---- rules and coding ------------------------------------------------------------------------------------------
@@ -224,11 +229,14 @@ on_corpus(
     f""", t AS (SELECT doc_id, {FOLD} AS t FROM corpus), h AS (SELECT doc_id, list_filter(['worthless', 'pathetic', 'idiot', 'clown', 'the', 'license'], lambda s: regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])' || s || '($|[^\\p{{L}}\\p{{N}}_])')) AS f FROM t), p AS (SELECT doc_id, f, list_filter(f, lambda x: x IN ('worthless', 'pathetic'))[1] AS g, list_filter(f, lambda x: x IN ('idiot', 'clown'))[1] AS a FROM h)
 SELECT doc_id, CASE WHEN g IS NOT NULL AND a IS NOT NULL THEN 'IMPACTO_SUBSTANTIVO' WHEN list_contains(f, 'the') AND list_contains(f, 'license') AND NOT list_contains(f, 'clown') THEN 'IMPACTO_INSTRUMENTAL' ELSE 'AUSENTE_SILENCIAMENTO' END AS code, CASE WHEN g IS NOT NULL AND a IS NOT NULL THEN g || ',' || a WHEN list_contains(f, 'the') AND list_contains(f, 'license') AND NOT list_contains(f, 'clown') THEN 'the,license' ELSE '' END AS sinais FROM p""",
 )
-# every quote against every document: too slow in SQL, held against brute force in the tests
-query(
-    "citation_check",
-    base=False,
-)(lambda spark, d: coding.verify_all(model.table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")), model.table(spark, d, "documents")))
+CITATION = r"""WITH q AS (SELECT item_id AS quote_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g'), ' ') AS needle FROM benchmark),
+t AS (SELECT doc_id, text, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g'), ' ') AS folded FROM documents),
+h AS (SELECT quote_id, doc_id, text, strpos(folded, needle) AS spot FROM t, q WHERE needle <> '' AND contains(folded, needle)),
+p AS (SELECT quote_id, doc_id, spot, unnest(string_split(text, chr(10))) AS page, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM h),
+l AS (SELECT *, length(trim(regexp_replace(replace(lower(page), 'ß', 'ss'), '\s+', ' ', 'g'), ' ')) AS l FROM p),
+e AS (SELECT *, sum(CASE WHEN l > 0 THEN l + 1 ELSE 0 END) OVER (PARTITION BY quote_id, doc_id ORDER BY n) - 1 AS done FROM l)
+SELECT quote_id, doc_id, CAST(min(n) FILTER (done >= spot) AS INT) AS page FROM e GROUP BY 1, 2"""
+query("citation_check", CITATION, base=False)(lambda spark, d: citations.hits(model.table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")), model.table(spark, d, "documents")))
 
 BOOK = coding.Codebook([coding.Field("qualidade", ordinal=(0, 1)), coding.Field("tom", labels=("toxico", "neutro"), allows_na=True)])
 
