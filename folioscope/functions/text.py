@@ -204,10 +204,11 @@ def folded_citation_page(needle: Column, folded: Column, text: Column) -> Column
     return F.when(needle != "", let(F.position(needle, folded), page_of))
 
 
-def evidence(text: Column, position: Column, length: Column, window: int) -> Column:
-    """The text around a position (from 1), collapsed (T18). The position is that in the folded text, by design."""
+def evidence(text: Column, position: Column, window: int) -> Column:
+    """The text from window characters before a position (from 1) to window after it, collapsed (T18). The position is
+    that in the folded text, by design."""
     start = F.greatest(position - window, F.lit(1))
-    return collapse(F.substr(text, start, position + length + window - start))
+    return collapse(F.substr(text, start, position + window - start))
 
 
 def anchor_evidence(anchor: Column, limit: int = 160) -> Column:

@@ -51,3 +51,12 @@ def with_predecessor(rows: DataFrame, key: str, order: str, value: str, name: st
     found = placed.withColumn("_before", F.lag(F.struct(F.col(value).alias("value"))).over(inside)).join(F.broadcast(carried), "_range", "left")
     before = F.coalesce("_before", F.when(F.col("_carried.key").eqNullSafe(F.col(key)) & F.col("_carried").isNotNull() & (F.row_number().over(inside) == 1), F.struct(F.col("_carried.value").alias("value"))))
     return found.withColumn(name, before).select(*rows.columns, name)
+
+
+def row_numbers(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """rows numbered from 1 in a total order over all of them: by ranges, each of which adds the sizes of those before."""
+    placed = kept(rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("_range", F.spark_partition_id()))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = sizes.select("_range", (F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).alias("_before"))  # one row a range
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return placed.join(F.broadcast(before), "_range").select(*rows.columns, (F.col("_before") + inside).alias(name))

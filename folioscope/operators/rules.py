@@ -38,7 +38,7 @@ def matched(text: Column, signals: Sequence[str], dimensions: dict[str, Sequence
 
 def classify(rows: DataFrame, signals: Sequence[str], dimensions: dict[str, Sequence[str]], text: str = "text", anchor: str = "anchor") -> DataFrame:
     """Kind, method, signals, dimensions and anchor evidence: text first, then the link's anchor."""
-    has_text = F.trim(F.coalesce(F.col(text), F.lit(""))) != ""
+    has_text = F.coalesce(F.col(text), F.lit("")).rlike(r"(?U)\S")
     found = rows.withColumn("_t", F.when(has_text, matched(fold_collapsed(F.col(text)), signals, dimensions))).withColumn("_a", matched(fold_collapsed(F.coalesce(F.col(anchor), F.lit(""))), signals, dimensions))
     by_text, by_anchor = F.coalesce(F.size("_t") > 0, F.lit(False)), F.size("_a") > 0
     used = F.when(by_text, F.col("_t")).otherwise(F.col("_a"))
@@ -70,7 +70,7 @@ def _axis3(text: Column, plain: Column, triggers: Sequence[str], targets: Sequen
     substantive = trigger.isNotNull() & target.isNotNull()
     code = F.when(substantive, D.SUBSTANTIVE).when(instrumental, D.INSTRUMENTAL).otherwise(D.SILENCE)
     lead = F.when(substantive, trigger).when(instrumental, first(required))
-    cut = evidence(text, F.regexp_instr(plain, lead["re"]), F.char_length(lead["term"]), window)
+    cut = evidence(text, F.regexp_instr(plain, lead["re"]), window)
     signals = F.when(substantive, F.array(trigger["term"], target["term"])).when(instrumental, F.array(*[F.lit(t) for t in required])).otherwise(F.array().cast("array<string>"))
     return F.struct(code.alias("code"), signals.alias("signals"), F.coalesce(cut, F.lit("")).alias("evidence"))
 

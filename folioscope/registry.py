@@ -218,10 +218,11 @@ on_corpus("tfidf_projection", lambda c: mining.project_2d(mining.tfidf(c, 1500,
 
 on_corpus(
     "l1_classify",
-    lambda c: rules.classify(c.select("doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("text")).alias("text"), F.col("text").alias("anchor")), SIGNALS, {"x": ("worthless", "the idiot"), "y": ("worthless", "license")}).select("doc_id", "kind", "method", F.array_join("signals", ",").alias("sinais"), F.array_join("dimensions", ",").alias("dims")),
-    r""", t AS (SELECT doc_id, doc_id % 5 <> 0 AND trim(text) <> '' AS h, """ + FOLD.replace("text", "text") + r""" AS t, trim(regexp_replace(strip_accents(lower(text)), '\s+', ' ', 'g'), ' ') AS a FROM corpus), m AS (SELECT doc_id, h, list_filter(['worthless', 'pathetic', 'the idiot', 'license'], lambda s: h AND regexp_matches(t, '(^|[^\p{L}\p{N}_])' || s || '($|[^\p{L}\p{N}_])')) AS t, list_filter(['worthless', 'pathetic', 'the idiot', 'license'], lambda s: regexp_matches(a, '(^|[^\p{L}\p{N}_])' || s || '($|[^\p{L}\p{N}_])')) AS a FROM t), u AS (SELECT *, CASE WHEN len(t) > 0 THEN t ELSE a END AS s FROM m)
+    lambda c: rules.classify(c.select("doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("text")).alias("text"), F.col("text").alias("anchor")), SIGNALS, {"x": ("worthless", "the idiot"), "y": ("worthless", "license")}).select("doc_id", "kind", "method", F.array_join("signals", ",").alias("sinais"), F.array_join("dimensions", ",").alias("dims"), "anchor_evidence"),
+    r""", t AS (SELECT doc_id, text, doc_id % 5 <> 0 AND regexp_matches(text, '\S') AS h, """ + FOLD.replace("text", "text") + r""" AS t, trim(regexp_replace(strip_accents(lower(text)), '\s+', ' ', 'g'), ' ') AS a FROM corpus), m AS (SELECT doc_id, h, text, list_filter(['worthless', 'pathetic', 'the idiot', 'license'], lambda s: h AND regexp_matches(t, '(^|[^\p{L}\p{N}_])' || s || '($|[^\p{L}\p{N}_])')) AS t, list_filter(['worthless', 'pathetic', 'the idiot', 'license'], lambda s: regexp_matches(a, '(^|[^\p{L}\p{N}_])' || s || '($|[^\p{L}\p{N}_])')) AS a FROM t), u AS (SELECT *, CASE WHEN len(t) > 0 THEN t ELSE a END AS s FROM m)
 SELECT doc_id, CASE WHEN len(s) > 0 THEN 'inovacao' WHEN h THEN 'nao_inovacao' ELSE 'sem_texto' END AS kind, CASE WHEN len(t) > 0 THEN 'texto' WHEN len(a) > 0 THEN 'ancora' WHEN h THEN 'texto' ELSE 'sem_texto' END AS method, array_to_string(s, ',') AS sinais,
-CASE WHEN list_contains(s, 'worthless') THEN 'x,y' WHEN list_contains(s, 'the idiot') AND list_contains(s, 'license') THEN 'x,y' WHEN list_contains(s, 'the idiot') THEN 'x' WHEN list_contains(s, 'license') THEN 'y' ELSE '' END AS dims FROM u""",
+CASE WHEN list_contains(s, 'worthless') THEN 'x,y' WHEN list_contains(s, 'the idiot') AND list_contains(s, 'license') THEN 'x,y' WHEN list_contains(s, 'the idiot') THEN 'x' WHEN list_contains(s, 'license') THEN 'y' ELSE '' END AS dims,
+CASE WHEN len(t) = 0 AND len(a) > 0 THEN substr(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), 1, 160) END AS anchor_evidence FROM u""",
 )
 on_corpus(
     "axis3_classify",
@@ -305,8 +306,11 @@ query("discovery")(lambda spark, d: (lambda p: stages.discover(p.select("url"),
 
 
 def queries() -> dict[str, Query]:
+    from folioscope import registry_stages  # noqa: F401  adds its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)
