@@ -45,7 +45,7 @@ def effective_decisions(queue: DataFrame) -> DataFrame:
 
 def portal_of_url(candidates: DataFrame) -> DataFrame:
     """One portal a URL, so a URL that two portals list doesn't multiply documents."""
-    return candidates.where(F.col("kind") == "pdf").groupBy("url").agg(F.min("portal_id").alias("portal_id"), F.max("anchor").alias("anchor"))
+    return candidates.where(F.col("kind") == "pdf").groupBy("url").agg(F.min("portal_id").alias("portal_id"), F.max(F.when(F.trim("anchor") != "", F.col("anchor"))).alias("anchor"))
 
 
 def year_source() -> Column:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from folioscope.functions.text import citation_page
+from folioscope.sources.scratch import kept
 
 NOT_APPLICABLE = "N/A"
 
@@ -84,10 +86,10 @@ def answers(rows: DataFrame, raw: str, codebook: Codebook, keys: Sequence[str])
 
 
 def verify(coded: DataFrame, texts: DataFrame) -> DataFrame:
-    """Quotes are looked up in the cited document: page and verification ('ok' or 'nao_encontrada')."""
+    """Quotes are looked up in the cited document: page and verification ('ok' or 'citacao_invalidada')."""
     joined = coded.join(texts.select(F.col("doc_id").cast("string").alias("document"), F.col("text").alias("_t")), "document", "left")
     page = citation_page(F.col("quote"), F.col("_t"))
-    return joined.select(*coded.columns, page.alias("page"), F.when(F.col("value") == NOT_APPLICABLE, "ok").when(page.isNotNull(), "ok").otherwise("nao_encontrada").alias("verification"))
+    return joined.select(*coded.columns, page.alias("page"), F.when(F.col("value") == NOT_APPLICABLE, "ok").when(page.isNotNull(), "ok").otherwise("citacao_invalidada").alias("verification"))
 
 
 def verify_many(quotes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -145,6 +147,75 @@ def inputs(documents: DataFrame, call: str = "call_id") -> DataFrame:
     return rows.select(call, F.array_join(F.transform("parts", section), "\n\n").alias("input"), F.transform("parts", lambda p: p["doc_id"].cast("string")).alias("documents"))
 
 
+def sections(documents: DataFrame, budget: int | None = None) -> DataFrame:
+    """The inputs of each call: call_id, input, documents. Documents (call_id, doc_id, captured_at, text) are taken in
+    order; with a budget of characters the one that crosses it is cut there, and those after it are left out."""
+    rows = documents.withColumn("text", F.coalesce("text", F.lit("")))
+    if budget is not None:
+        before = F.sum(F.char_length("text")).over(Window.partitionBy("call_id").orderBy("captured_at", "doc_id")) - F.char_length("text")
+        rows = rows.withColumn("_before", before).where(F.col("_before") < budget).withColumn("text", F.substr("text", F.lit(1), (F.lit(budget) - F.col("_before")).cast("int")))
+    return inputs(rows.select("call_id", "captured_at", "doc_id", "text"))
+
+
+def ask(pending: DataFrame, client: Callable[[str, int], str], attempt: int) -> DataFrame:
+    """pending with the client's raw answer to each input, null where it failed."""
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            raw = []
+            for text in batch["input"]:
+                try:
+                    raw.append(client(text, attempt))
+                except Exception:  # noqa: BLE001  the client is foreign code
+                    raw.append(None)
+            yield pd.DataFrame(batch).assign(raw=raw)
+
+    return pending.mapInPandas(run, StructType([*pending.schema.fields, StructField("raw", StringType())]))
+
+
+CODED, ALL_SCANNED, NO_TEXT, BY_PROVIDER, BY_CONTRACT = "codificado", "edital_escaneado_sem_ocr", "entrada_sem_texto_util", "provedor", "esquema"
+
+
+@dataclass(frozen=True)
+class Coded:
+    """outcomes: call_id, outcome, attempts. fields: call_id, field, value, document, quote, page, verification."""
+
+    outcomes: DataFrame
+    fields: DataFrame
+
+
+def code(documents: DataFrame, client: Callable[[str, int], str], codebook: Codebook, attempts: int = 3, budget: int | None = None) -> Coded:
+    """Codes each call's documents (call_id, doc_id, captured_at, text, scanned, current).
+
+    Scanned documents and those whose text isn't current are left out (F18). Each attempt is a written table of the
+    calls without a valid answer so far; failures of the client and answers that break the contract use up the same
+    budget of attempts (K21). Nothing of a call without a valid answer is kept. The client must be safe to ask again: a
+    task that is run twice asks twice.
+    """
+    usable = ~F.coalesce("scanned", F.lit(False))
+    readable = usable & F.coalesce("current", F.lit(False)) & F.col("text").isNotNull()
+    state = documents.groupBy("call_id").agg(F.count_if(usable).alias("usable"), F.count_if(readable).alias("readable"))
+    left_out = state.where("readable = 0").select("call_id", F.when(F.col("usable") == 0, ALL_SCANNED).otherwise(NO_TEXT).alias("outcome"), F.lit(0).alias("attempts"))
+    texts = documents.where(readable)
+    pending = kept(sections(texts, budget))
+    names, outcomes, found = pending.columns, left_out, []
+    for n in range(1, max(1, attempts) + 1):
+        tried = kept(ask(pending, client, n).withColumn("problems", problems(F.col("raw"), codebook, F.col("documents"))))
+        valid = F.col("raw").isNotNull() & (F.size("problems") == 0)
+        found.append(tried.where(valid))
+        outcomes = outcomes.unionByName(found[-1].select("call_id", F.lit(CODED).alias("outcome"), F.lit(n).alias("attempts")))
+        failed = tried.where(~valid)
+        if n == max(1, attempts) or failed.isEmpty():
+            outcomes = outcomes.unionByName(failed.select("call_id", F.when(F.col("raw").isNull(), BY_PROVIDER).otherwise(BY_CONTRACT).alias("outcome"), F.lit(n).alias("attempts")))
+            break
+        pending = failed.select(*names)
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    return Coded(outcomes, verify(answers(every, "raw", codebook, ["call_id"]), texts))
+
+
 def code_calls(prepared: DataFrame, client: Callable[[str], str], attempts: int = 3, accept: Callable[[str], bool] | None = None) -> DataFrame:
     """The injected client's raw answer for each input; failures, and answers that accept refuses, use up the same budget and
     leave null."""

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.dictionaries import CONNECTIVES
-from folioscope.functions.text import clean, collapse, fold_light, ngrams, occurrences, python_fold, tokens, without_words
+from folioscope.functions.text import clean, collapse, fold_light, let, ngrams, occurrences, python_fold, tokens, without_words
 from folioscope.operators.catalog import top_per_group
 from folioscope.sources.scratch import kept
 
@@ -79,10 +80,69 @@ def cooccurrence(corpus: DataFrame, vocabulary: Sequence[str], window: int = 10,
 
 
 def cooccurrence_matrix(pairs: DataFrame) -> DataFrame:
-    """Both directions, for a dense view."""
+    """Both directions, for a sparse view."""
     return pairs.unionByName(pairs.select(F.col("t2").alias("t1"), F.col("t1").alias("t2"), "n"))
 
 
+#: Counters of a sketch of one partition.
+COUNTERS = 4096
+
+
+def sketched(counts: dict[str, int], capacity: int) -> tuple[dict[str, int], int]:
+    """A summary of heavy hitters: at most capacity counters, and by how much they may be too low."""
+    if len(counts) <= capacity:
+        return counts, 0
+    cut = sorted(counts.values(), reverse=True)[capacity]
+    return {t: n - cut for t, n in counts.items() if n > cut}, cut
+
+
+def heavy_terms(corpus: DataFrame, n: int, min_freq: int = 2, stopwords: Sequence[str] = (), connectives: Sequence[str] = CONNECTIVES, capacity: int = COUNTERS) -> DataFrame:
+    """The n top words of the corpus (ties by word), without a shuffle of the whole vocabulary.
+
+    Each partition keeps a bounded sketch, the sketches are merged by word, and only words whose count can reach the n-th
+    best lower bound are counted exactly. Where the bounds can't tell, the sketches get eight times the counters, at last
+    one for each word.
+    """
+    words = corpus.select(_terms(F.col("text"), (1, 1), stopwords, connectives).alias("words"))
+
+    def sketch(size: int):
+        def run(batches):
+            counts: dict[str, int] = {}
+            low = 0
+            for batch in batches:
+                for found in batch.column(0).to_pylist():
+                    for w in found or ():
+                        counts[w] = counts.get(w, 0) + 1
+                    if len(counts) > 2 * size:
+                        counts, cut = sketched(counts, size)
+                        low += cut
+            counts, cut = sketched(counts, size)
+            yield pa.RecordBatch.from_arrays([pa.array([*counts, None], pa.string()), pa.array([*counts.values(), low + cut], pa.int64())], names=["term", "n"])
+
+        return run
+
+    while True:
+        merged = kept(words.mapInArrow(sketch(capacity), "term string, n long").groupBy("term").agg(F.sum("n").alias("low")))
+        error = merged.where("term IS NULL").agg(F.coalesce(F.sum("low"), F.lit(0))).first()[0]
+        best = [r["low"] for r in merged.where("term IS NOT NULL").orderBy(F.desc("low")).limit(n).collect()]
+        if not error or (len(best) == n and best[-1] > error):
+            break
+        capacity *= 8
+    least = best[-1] - error if len(best) == n else 0
+    candidates = merged.where(F.col("term").isNotNull() & (F.col("low") >= least)).select("term")
+    exact = words.select(F.explode("words").alias("term")).join(candidates, "term", "left_semi").groupBy("term").agg(F.count("*").alias("freq"))
+    return top_terms(exact.where(F.col("freq") >= min_freq), n)
+
+
+def window_matrix(corpus: DataFrame, top_n: int = 30, window: int = 10, min_freq: int = 2, **options) -> DataFrame:
+    """The top words' co-occurrences as a dense matrix in rows t1, t2, n, with zeros; top_n squared rows."""
+    spark = corpus.sparkSession
+    vocabulary = sorted(r["term"] for r in heavy_terms(corpus, top_n, min_freq, **options).collect())  # top_n words
+    axis = lambda name: spark.createDataFrame([(w,) for w in vocabulary], f"{name} string")
+    pairs = cooccurrence_matrix(cooccurrence(corpus, vocabulary, window, min_freq)) if vocabulary else spark.createDataFrame([], "t1 string, t2 string, n long")
+    return axis("t1").crossJoin(axis("t2")).join(pairs, ["t1", "t2"], "left").select("t1", "t2", F.coalesce("n", F.lit(0)).alias("n"))  # top_n squared
+
+
 def signal_pattern(signal: str, bigrams: bool = True) -> str:
     """The signal as whole words, or (several words) any two neighbours of it."""
     words = [re.escape(w) for w in python_fold(signal).split()]
@@ -117,11 +177,11 @@ def prevalence(mined: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def signal_hits(corpus: DataFrame, terms: Sequence[str], by: str, cap: int = 500) -> DataFrame:
     """Occurrences of each signal by group, at most cap of each signal in document order (the report's feature)."""
-    parts = [concordance(corpus, t, limit=cap).select(F.lit(t).alias("signal"), "doc_id") for t in terms]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.join(corpus.select("doc_id", by).dropDuplicates(["doc_id"]), "doc_id", "left").groupBy("signal", by).agg(F.count("*").alias("n"))
+    wanted = [t.lower().strip() for t in terms]
+    text = collapse(F.lower("text"))
+    each = lambda t: F.array(*[F.struct(F.lit(name).alias("signal"), F.when(F.contains(t, F.lit(w)), occurrences(t, w)).otherwise(F.array().cast("array<int>")).alias("at")) for name, w in zip(terms, wanted, strict=True)])
+    found = corpus.select("doc_id", by, F.explode(let(text, each)).alias("s")).select("doc_id", by, "s.signal", F.explode("s.at").alias("at"))
+    return top_per_group(found, ["signal"], [F.asc("doc_id"), F.asc("at")], cap).groupBy("signal", by).agg(F.count("*").alias("n"))
 
 
 def search(corpus: DataFrame, term: str) -> DataFrame:
@@ -131,7 +191,7 @@ def search(corpus: DataFrame, term: str) -> DataFrame:
 
 def sample(corpus: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """N documents without replacement, the same ones for the same seed."""
-    return corpus.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
+    return corpus.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")), 256), "doc_id").limit(n)
 
 
 def tfidf(corpus: DataFrame, max_features: int = 1500, min_df: int = 2, max_df: float = 0.9, stopwords: Sequence[str] = (), connectives: Sequence[str] = CONNECTIVES) -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import urls
 from folioscope.functions.dictionaries import SECTION_KEYWORDS
-from folioscope.operators.catalog import PENDING, RESOLVED
+from folioscope.operators.catalog import PENDING, RESOLVED, top_per_group
 from folioscope.operators.joins import attached, with_predecessor
 from folioscope.sources.scratch import kept
 
@@ -170,47 +171,54 @@ def host_scope(targets: DataFrame, portals: DataFrame) -> DataFrame:
     return counted.select(*targets.columns, "n_portals", F.when(F.col("n_portals") == 1, F.col("portal_id")).alias("portal_id"), status.alias("status"))
 
 
-def discover(seeds: DataFrame, pages: DataFrame, max_depth: int = 3, page_cap: int | None = None, keywords: Sequence[str] = SECTION_KEYWORDS) -> DataFrame:
-    """Breadth-first discovery over stored pages (url, html) from seeds (url): found links with class and depth.
+@dataclass(frozen=True)
+class Explored:
+    """found: url, class, depth, page (the first that links to it). visited: all pages ever read."""
+
+    found: DataFrame
+    visited: DataFrame
+
+
+def explore(seeds: DataFrame, pages: DataFrame, max_depth: int = 3, page_cap: int | None = None, keywords: Sequence[str] = SECTION_KEYWORDS, visited: DataFrame | None = None) -> Explored:
+    """Breadth-first discovery over stored pages (url, html) from seeds (url), which goes on where earlier runs ended.
 
-    One join a level between the frontier and the pages; only links of the page's own site are followed. page_cap is the
-    politeness limit of pages visited of each site over all levels. Every level is checkpointed where the cluster names a
-    folder for it, so that levels don't compute those before them again.
+    One join a level between the frontier and the pages; only links of the page's own site are followed. visited (page)
+    are pages that earlier runs read: they are never read again. A page that isn't stored is a failed one and stays
+    unvisited, for a later run. page_cap is the politeness limit of pages of each site in this run over all levels, taken
+    in order of their URLs; more than page_cap pages of a site are cut off before any shuffle. Each level is written.
     """
     spark = pages.sparkSession
     known = pages.select(urls.canonical(F.col("url")).alias("page"), "html").where(F.col("page").isNotNull()).dropDuplicates(["page"])
+    before = spark.createDataFrame([], "page string") if visited is None else visited.select("page").distinct()
     frontier = seeds.select(urls.canonical(F.col("url")).alias("page")).where(F.col("page").isNotNull()).distinct()
-    visited, found = spark.createDataFrame([], "page string"), spark.createDataFrame([], "page string, url string, class string, depth int")
+    planned, read = before, spark.createDataFrame([], "page string")
+    taken = spark.createDataFrame([], "page string")
+    found = spark.createDataFrame([], "page string, url string, class string, depth int")
     for depth in range(max_depth + 1):
+        frontier = frontier.join(planned, "page", "left_anti")
         if page_cap is not None:
-            # the site's pages so far plus the place in this level; a site's frontier is bounded by its links
-            seen = visited.groupBy(urls.scope_host(F.col("page")).alias("_site")).agg(F.count("*").alias("_seen"))
+            seen = taken.groupBy(urls.scope_host(F.col("page")).alias("_site")).agg(F.count("*").alias("_seen"))
+            near = top_per_group(frontier.withColumn("_site", urls.scope_host(F.col("page"))), ["_site"], [F.asc("page")], page_cap)
             place = F.row_number().over(Window.partitionBy("_site").orderBy("page"))
-            ranked = frontier.withColumn("_site", urls.scope_host(F.col("page"))).withColumn("_place", place).join(seen, "_site", "left")
-            frontier = ranked.where(F.col("_place") + F.coalesce("_seen", F.lit(0)) <= page_cap).select("page")
-        level = frontier.join(known, "page").select("page", F.explode(urls.links(F.col("html"))).alias("a"))
+            frontier = near.withColumn("_place", place).join(seen, "_site", "left").where(F.col("_place") + F.coalesce("_seen", F.lit(0)) <= page_cap).select("page")
+        frontier = kept(frontier)
+        own = frontier.join(known, "page")
+        level = own.select("page", F.explode(urls.links(F.col("html"))).alias("a"))
         level = level.where(urls.followable(F.col("a.href"))).select("page", F.col("a.anchor").alias("anchor"), urls.canonical(urls.resolve(F.col("page"), F.col("a.href"))).alias("url"))
         level = level.where(F.col("url").isNotNull() & (urls.scope_host(F.col("url")) == urls.scope_host(F.col("page"))))
-        level = level.withColumns({"class": urls.link_class(F.col("anchor"), F.col("url"), keywords), "depth": F.lit(depth)})
-        found = found.unionByName(level.where(F.col("class").isNotNull()).select("page", "url", "class", "depth"))
-        visited = visited.unionByName(frontier)
-        frontier = level.where(F.col("class") == "secao").select(F.col("url").alias("page")).distinct().join(visited, "page", "left_anti")
-        if depth < max_depth:
-            found, visited, frontier = kept(found), kept(visited), kept(frontier)
-    return found.groupBy("url", "class").agg(F.min("depth").alias("depth"), F.min("page").alias("page"))
-
-
-def log_entries(rows: DataFrame, key: str, log: str) -> DataFrame:
-    """P10: the entries of a JSON object (name, value) or list (position, value); bad JSON has none."""
-    as_map = F.from_json(F.col(log), "map<string,string>")
-    as_list = F.from_json(F.col(log), "array<string>")
-    entries = F.when(F.col(log).rlike(r"^\s*\["), F.transform(F.coalesce(as_list, F.array().cast("array<string>")), lambda v, i: F.struct((i + 1).cast("string").alias("key"), v.alias("value")))).otherwise(F.map_entries(F.coalesce(as_map, F.create_map().cast("map<string,string>"))))
-    return rows.select(key, F.explode(entries).alias("e")).select(key, F.col("e.key").alias("etapa"), F.col("e.value").alias("valor"))
-
-
-def event(command: str, kind: str, detail: Column) -> list[Column]:
-    """K1: an event row's columns; what can't be written as JSON becomes {}."""
-    return [F.current_timestamp().alias("ts"), F.lit(command).alias("command"), F.lit(kind).alias("kind"), F.coalesce(F.to_json(detail), F.lit("{}")).alias("detail")]
+        level = kept(level.withColumns({"class": urls.link_class(F.col("anchor"), F.col("url"), keywords), "depth": F.lit(depth)}).where(F.col("class").isNotNull()).select("page", "url", "class", "depth"))
+        found, planned, taken = found.unionByName(level), planned.unionByName(frontier), taken.unionByName(frontier)
+        read = read.unionByName(frontier.join(known.select("page"), "page", "left_semi"))
+        frontier = level.where(F.col("class") == "secao").select(F.col("url").alias("page")).distinct()
+        if level.isEmpty():
+            break
+    links = found.groupBy("url", "class").agg(F.min("depth").alias("depth"), F.min("page").alias("page"))
+    return Explored(links, before.unionByName(read).distinct())
+
+
+def discover(seeds: DataFrame, pages: DataFrame, max_depth: int = 3, page_cap: int | None = None, keywords: Sequence[str] = SECTION_KEYWORDS) -> DataFrame:
+    """The links that a first run of explore() finds."""
+    return explore(seeds, pages, max_depth, page_cap, keywords).found
 
 
 def totals(rows: DataFrame, by: str, kinds: Sequence[str], column: str = "action") -> DataFrame:

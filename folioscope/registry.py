@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as X
 from folioscope.functions import urls, years
 from folioscope.operators import catalog as C
-from folioscope.operators import citations, coding, mining, neighbours, reports, rules, stages
+from folioscope.operators import citations, coding, eventlog, mining, neighbours, reports, rules, stages
 from folioscope.plans import model
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,7 +120,7 @@ on_catalog(
     ", x AS (SELECT id, url, hash, seq, call_id % 10 AS portal_id FROM docs), y AS (SELECT *, lag(hash) OVER (PARTITION BY url ORDER BY seq) AS b, first(url) OVER (PARTITION BY portal_id, hash ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM x), z AS (SELECT *, CASE WHEN b = hash THEN 'restaurado' WHEN b IS NOT NULL THEN 'nova_versao' WHEN f IS NOT NULL THEN 'alias' ELSE 'novo' END AS action FROM y) SELECT id, action, CASE WHEN action = 'alias' THEN f END AS refers_to FROM z",
 )
 on_catalog("duplicate_urls", lambda c: stages.duplicates(c.documents, "url"), "SELECT url, count(*) AS n FROM docs GROUP BY 1 HAVING count(*) > 1")
-on_table("log_entries", "events", lambda e: stages.log_entries(e, "event_id", "props"), "SELECT event_id, k AS etapa, CAST(json_extract_string(props, k) AS VARCHAR) AS valor FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
+on_table("log_entries", "events", lambda e: eventlog.log_entries(e, "event_id", "props"), "SELECT event_id, k AS etapa, CAST(json_extract_string(props, k) AS VARCHAR) AS valor FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
 RUNS = "WITH h AS (SELECT *, CAST(event_type = 'error' AS INT) AS hit FROM events), i AS (SELECT *, sum(1 - hit) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS isl FROM h), r AS (SELECT *, sum(hit) OVER (PARTITION BY user_id, isl ORDER BY ts, event_id) AS run FROM i) "
 on_table("consecutive_403", "events", lambda e: rules.consecutive(e, "user_id", ["ts", "event_id"], F.col("event_type") == "error").select("event_id", "run"), RUNS + "SELECT event_id, CAST(run AS BIGINT) AS run FROM r")
 on_table("suspended_hosts", "events", lambda e: rules.suspended(e, "user_id", ["ts", "event_id"], F.col("event_type") == "error"), RUNS + "SELECT user_id, CAST(max(run) AS BIGINT) AS longest FROM r GROUP BY 1 HAVING max(run) >= 3")
@@ -163,7 +163,7 @@ on_table("scanned_flag", "documents", lambda d: d.select("doc_id", rules.scanned
 # ---- text mining -----------------------------------------------------------------------------------------------
 
 
-def _ngram_sql(low: int, high: int) -> str:
+def ngram_sql(low: int, high: int) -> str:
     joined = lambda n: "t" + "".join(f" || ' ' || lead(t, {k}) OVER d" for k in range(1, n))
     parts = [f"SELECT doc_id, institution, year, {joined(n)} AS term FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)" for n in range(low, high + 1)]
     return ", words AS (SELECT doc_id, institution, year, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS i FROM toks), terms AS (SELECT * FROM (" + " UNION ALL ".join(parts) + r") WHERE term IS NOT NULL AND NOT regexp_matches(term, '\p{Nd}')) "
@@ -171,11 +171,11 @@ def _ngram_sql(low: int, high: int) -> str:
 
 for _low, _high in ((1, 1), (1, 2), (1, 3), (2, 2)):
     _name = "term_freq_" + (f"{_high}gram" if _low == 1 else "2gram_only")
-    on_corpus(_name, lambda c, r=(_low, _high): mining.term_frequency(c, r, 2, STOP), _ngram_sql(_low, _high) + "SELECT term, count(*) AS freq FROM terms GROUP BY 1 HAVING count(*) >= 2")
-on_corpus("top_terms", lambda c: mining.top_terms(mining.term_frequency(c, (1, 1), 2, STOP), 30), _ngram_sql(1, 1) + "SELECT term, count(*) AS freq FROM terms GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30")
-on_corpus("term_lookup", lambda c: mining.term_lookup(mining.term_frequency(c, (1, 2), 2, STOP), "Was  by", (1, 2)), _ngram_sql(1, 2) + "SELECT term, count(*) AS freq FROM terms WHERE term = 'was by' GROUP BY 1 HAVING count(*) >= 2")
-on_corpus("term_year_heatmap", lambda c: mining.term_heatmap(c, "year", 20, stopwords=STOP), _ngram_sql(1, 1) + ", top AS (SELECT term, count(*) AS f FROM terms GROUP BY 1 HAVING count(*) >= 2 ORDER BY 2 DESC, 1 LIMIT 20) SELECT y.year, top.term, count(t.term) AS freq FROM top CROSS JOIN (SELECT DISTINCT year FROM corpus) y LEFT JOIN terms t ON t.term = top.term AND t.year = y.year GROUP BY 1, 2")
-on_corpus("top_terms_per_group", lambda c: mining.top_terms_by(c, "institution", 15, stopwords=STOP), _ngram_sql(1, 1) + ", f AS (SELECT institution, term, count(*) AS freq FROM terms GROUP BY 1, 2 HAVING count(*) >= 2) SELECT institution, term, freq FROM (SELECT *, row_number() OVER (PARTITION BY institution ORDER BY freq DESC, term) AS r FROM f) WHERE r <= 15")
+    on_corpus(_name, lambda c, r=(_low, _high): mining.term_frequency(c, r, 2, STOP), ngram_sql(_low, _high) + "SELECT term, count(*) AS freq FROM terms GROUP BY 1 HAVING count(*) >= 2")
+on_corpus("top_terms", lambda c: mining.top_terms(mining.term_frequency(c, (1, 1), 2, STOP), 30), ngram_sql(1, 1) + "SELECT term, count(*) AS freq FROM terms GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30")
+on_corpus("term_lookup", lambda c: mining.term_lookup(mining.term_frequency(c, (1, 2), 2, STOP), "Was  by", (1, 2)), ngram_sql(1, 2) + "SELECT term, count(*) AS freq FROM terms WHERE term = 'was by' GROUP BY 1 HAVING count(*) >= 2")
+on_corpus("term_year_heatmap", lambda c: mining.term_heatmap(c, "year", 20, stopwords=STOP), ngram_sql(1, 1) + ", top AS (SELECT term, count(*) AS f FROM terms GROUP BY 1 HAVING count(*) >= 2 ORDER BY 2 DESC, 1 LIMIT 20) SELECT y.year, top.term, count(t.term) AS freq FROM top CROSS JOIN (SELECT DISTINCT year FROM corpus) y LEFT JOIN terms t ON t.term = top.term AND t.year = y.year GROUP BY 1, 2")
+on_corpus("top_terms_per_group", lambda c: mining.top_terms_by(c, "institution", 15, stopwords=STOP), ngram_sql(1, 1) + ", f AS (SELECT institution, term, count(*) AS freq FROM terms GROUP BY 1, 2 HAVING count(*) >= 2) SELECT institution, term, freq FROM (SELECT *, row_number() OVER (PARTITION BY institution ORDER BY freq DESC, term) AS r FROM f) WHERE r <= 15")
 VOCABULARY = ("the", "and", "of", "that", "with", "this", "is", "was", "from", "by", "to", "in")
 on_corpus(
     "cooccurrence",
@@ -205,7 +205,7 @@ on_corpus("fulltext_search", lambda c: mining.search(c, "LICENSE").select("doc_i
 on_corpus(
     "tfidf",
     lambda c: mining.tfidf(c, 1500, 2, 0.9, STOP).select("doc_id", "term", F.round("weight", 6).alias("weight")),
-    _ngram_sql(1, 1) + ", tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY 1, 2), n AS (SELECT count(DISTINCT doc_id) AS n FROM corpus), s AS (SELECT term, count(*) AS df, sum(tf) AS a FROM tf GROUP BY 1), v AS (SELECT term, ln(CAST(1 + n AS DOUBLE) / CAST(1 + df AS DOUBLE)) + 1 AS idf FROM s, n WHERE df >= 2 AND df <= n * CAST(0.9 AS DOUBLE) ORDER BY a DESC, term LIMIT 1500), w AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN v USING (term)), l AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM w GROUP BY 1) SELECT doc_id, term, round(w / l, 6) AS weight FROM w JOIN l USING (doc_id)",
+    ngram_sql(1, 1) + ", tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY 1, 2), n AS (SELECT count(DISTINCT doc_id) AS n FROM corpus), s AS (SELECT term, count(*) AS df, sum(tf) AS a FROM tf GROUP BY 1), v AS (SELECT term, ln(CAST(1 + n AS DOUBLE) / CAST(1 + df AS DOUBLE)) + 1 AS idf FROM s, n WHERE df >= 2 AND df <= n * CAST(0.9 AS DOUBLE) ORDER BY a DESC, term LIMIT 1500), w AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN v USING (term)), l AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM w GROUP BY 1) SELECT doc_id, term, round(w / l, 6) AS weight FROM w JOIN l USING (doc_id)",
 )
 on_corpus(
     "tfidf_neighbours",
@@ -280,7 +280,7 @@ def _wide(c: C.Catalog) -> DataFrame:
     return rows.withColumn("ano", F.coalesce("year", F.col("provisional_year").cast("int"), F.lit(0)))
 
 
-def _coded(spark: SparkSession, d: str) -> DataFrame:
+def coded(spark: SparkSession, d: str) -> DataFrame:
     return model.table(spark, d, "labels").select((F.col("doc_id") % 40).alias("call_id"), (F.col("doc_id") % 3).alias("batch_id"), F.when(F.col("quality") == 1, "ok").otherwise("citacao_invalidada").alias("verification"))
 
 
@@ -292,17 +292,16 @@ on_catalog("pipeline_flags", lambda c: reports.pipeline_flags(C.pipeline_status(
 on_catalog("filter_stack", lambda c: reports.selected(_wide(c), PLACES, ("integra", "extensao", "outros"), (2019, 2024), KINDS_WANTED, CODES_WANTED).select("id", "institution", "category", "ano", "kind", "axis3"), SWEEPS + f"SELECT id, institution, category, ano, kind, axis3 FROM wide WHERE NOT excluded AND institution IN {PLACES} AND category IN ('integra', 'extensao', 'outros') AND ano BETWEEN 2019 AND 2024 AND kind IN {KINDS_WANTED} AND axis3 IN {CODES_WANTED}")
 on_catalog("excluded_rows", lambda c: reports.excluded_selected(_wide(c), PLACES, ("integra", "extensao", "outros")).select("id", "institution", "category"), SWEEPS + f"SELECT id, institution, category FROM wide WHERE excluded AND institution IN {PLACES} AND category IN ('integra', 'extensao', 'outros')")
 on_catalog("option_lists", lambda c: reports.options(_wide(c), "category"), SWEEPS + "SELECT DISTINCT category FROM wide WHERE category IS NOT NULL")
-query("coded_calls", SWEEPS + "SELECT DISTINCT call_id FROM coded WHERE batch_id = 1")(lambda spark, d: reports.coded_calls(_coded(spark, d), 1))
-query("coding_summary", SWEEPS + "SELECT count(DISTINCT call_id) AS n_calls, count(*) FILTER (verification = 'ok') AS n_verified, (SELECT count(DISTINCT batch_id) FROM coded) AS n_batches FROM coded")(lambda spark, d: reports.coding_summary(_coded(spark, d), _coded(spark, d).select("batch_id").distinct()))
+query("coded_calls", SWEEPS + "SELECT DISTINCT call_id FROM coded WHERE batch_id = 1")(lambda spark, d: reports.coded_calls(coded(spark, d), 1))
+query("coding_summary", SWEEPS + "SELECT count(DISTINCT call_id) AS n_calls, count(*) FILTER (verification = 'ok') AS n_verified, (SELECT count(DISTINCT batch_id) FROM coded) AS n_batches FROM coded")(lambda spark, d: reports.coding_summary(coded(spark, d), coded(spark, d).select("batch_id").distinct()))
 query("fresh_sweeps", "SELECT event_id, event_type = 'click' AND ts > (SELECT max(ts) FROM events) - INTERVAL 2 HOURS AS alive FROM events", base=False)(lambda spark, d: (lambda e: e.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now")))).select("event_id", reports.running_recently(F.when(F.col("event_type") == "click", reports.RUNNING).otherwise("pendente"), F.col("ts"), F.col("now")).alias("alive")))(model.table(spark, d, "events")))  # one row is sent
 on_catalog("text_vigency", lambda c: c.documents.select("id", reports.text_is_current(F.col("captured_at"), F.col("text_path"), F.col("id") % 7 != 0, F.col("hash"), F.when(F.col("id") % 11 != 0, F.col("hash"))).alias("current")), "SELECT id, text_path IS NOT NULL AND id % 7 <> 0 AND id % 11 <> 0 AS current FROM docs")
 on_catalog("shared_urls", lambda c: reports.shared_ids(c.documents, c.candidates, "url"), "SELECT url FROM docs INTERSECT SELECT url FROM candidates")
-on_corpus("term_year_pivot", lambda c: reports.wide(mining.term_heatmap(c, "year", 20, stopwords=STOP), "term", "year", "freq", YEARS), _ngram_sql(1, 1) + ", top AS (SELECT term, count(*) AS f FROM terms GROUP BY 1 HAVING count(*) >= 2 ORDER BY 2 DESC, 1 LIMIT 20) SELECT top.term, " + ", ".join(f'count(t.term) FILTER (t.year = {y}) AS "{y}"' for y in YEARS) + " FROM top LEFT JOIN terms t ON t.term = top.term GROUP BY 1")
+on_corpus("term_year_pivot", lambda c: reports.wide(mining.term_heatmap(c, "year", 20, stopwords=STOP), "term", "year", "freq", YEARS), ngram_sql(1, 1) + ", top AS (SELECT term, count(*) AS f FROM terms GROUP BY 1 HAVING count(*) >= 2 ORDER BY 2 DESC, 1 LIMIT 20) SELECT top.term, " + ", ".join(f'count(t.term) FILTER (t.year = {y}) AS "{y}"' for y in YEARS) + " FROM top LEFT JOIN terms t ON t.term = top.term GROUP BY 1")
 on_catalog("n_docs_pivot", lambda c: C.coverage(c).groupBy("institution").pivot("ano", YEARS).agg(F.sum("n_docs")).na.fill(0), "SELECT institution, " + ", ".join(f'CAST(coalesce(sum(n_docs) FILTER (ano = {y}), 0) AS BIGINT) AS "{y}"' for y in YEARS) + " FROM coverage GROUP BY 1")
 on_catalog("category_remap", lambda c: c.portals.select("id", reports.present_category(F.when(F.col("id") % 3 == 0, "prpgi_prppg").otherwise(F.col("category"))).alias("category")), "SELECT id, CASE WHEN id % 3 = 0 THEN 'prppg_inovacao' ELSE category END AS category FROM portals")
 query("sql_with_parameters", "SELECT id, url FROM docs WHERE id > 100 AND call_id = 7")(lambda spark, d: reports.run_sql(spark, "SELECT id, url FROM documentos WHERE id > :least AND call_id = :call", {"documentos": model.catalog(spark, d).documents}, {"least": 100, "call": 7}))
 query("file_urls", "SELECT o_orderkey, o_orderkey % 18 < 15 AS is_file FROM orders", base=False)(lambda spark, d: model.table(spark, d, "orders").select("o_orderkey", urls.is_file(F.concat(F.lit("https://h.org/x.y/f."), F.element_at(F.array(*[F.lit(x) for x in (*urls.BINARY_ENDINGS, "jpg", "html", "PNG")]), (F.col("o_orderkey") % 18 + 1).cast("int")), F.lit("?a=b.pdf"))).alias("is_file")))
-query("discovery")(lambda spark, d: (lambda p: stages.discover(p.select("url"), p.select("url", "html"), 1, keywords=("the", "de", "la", "and")))(model.table(spark, d, "pages")))
 
 
 def queries() -> dict[str, Query]:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.operators import classifying, dating
+from folioscope.functions import urls
+from folioscope.operators import catalog, classifying, coding, dating, eventlog, joins, mining, rules, stages
 from folioscope.plans import model
-from folioscope.registry import FOLD, SIGNALS, query
+from folioscope.registry import BOOK, DIMENSIONS, FOLD, SIGNAL_SQL, SIGNALS, STOP, YEARS, coded, ngram_sql, query
+from folioscope.sources import files
 from folioscope.sources.buckets import Buckets
 from folioscope.sources.scratch import shared_folder
 
@@ -107,3 +112,126 @@ query(
 query("stage_totals", ", t AS (SELECT doc_id AS k, text FROM corpus), x AS (SELECT k % 6 AS portal_id, CASE WHEN k % 17 = 0 THEN 'excluido' WHEN k % 3 = 0 THEN 'pendente' WHEN k % 2 = 0 THEN 'inovacao' ELSE 'nao_inovacao' END AS result FROM t) SELECT portal_id, result, count(*) AS n FROM x GROUP BY 1, 2")(
     lambda spark, d: (lambda docs: classifying.totals(docs, docs.where("id % 3 <> 0").select("url", F.when(F.col("id") % 2 == 0, "inovacao").otherwise("nao_inovacao").alias("kind")), "kind"))(_documents(spark, d))
 )
+
+# ---- second-level coding: a deterministic client that refuses some calls now and then --------------------------------
+
+
+def _calls(spark: SparkSession, d: str) -> DataFrame:
+    """Three documents a call; some scanned, some without a current text."""
+    marks = model.table(spark, d, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    k = F.col("doc_id")
+    return model.table(spark, d, "documents").select("doc_id", "text").join(marks, "doc_id", "left").select(F.floor(k / 3).cast("long").alias("call_id"), "doc_id", k.alias("captured_at"), "text", ((k % 7 == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("scanned"), (k % 13 != 0).alias("current"))
+
+
+def client(text: str, attempt: int) -> str:
+    """Fails the first attempts of a call, as its number says; then cites the first document."""
+    first = re.search(r"^=== documento (\d+) ===\n(.*)", text, re.S)
+    call = int(first[1]) // 3
+    if attempt <= call % 5:
+        if call % 2 == 0:
+            raise ConnectionError("refused")
+        return "no object"
+    quote = first[2][:15].strip() or "vazio"
+    answer = lambda value, document, part: {"valor": value, "citacao_documento": document, "citacao_trecho": part}
+    return json.dumps({"campos": {"qualidade": answer(1, first[1], quote), "tom": answer("N/A", None, None)}})
+
+
+CALLS = """WITH x AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1),
+d AS (SELECT doc_id // 3 AS call_id, doc_id, text, doc_id % 7 = 0 OR coalesce(x.toxic, 0) = 1 AS s, doc_id % 13 <> 0 AND text IS NOT NULL AS c FROM documents LEFT JOIN x USING (doc_id)),
+g AS (SELECT call_id, count(*) FILTER (NOT s) AS u, count(*) FILTER (NOT s AND c) AS t, arg_min(text, doc_id) FILTER (NOT s AND c) AS text FROM d GROUP BY 1),
+o AS (SELECT *, CASE WHEN u = 0 THEN 'edital_escaneado_sem_ocr' WHEN t = 0 THEN 'entrada_sem_texto_util' WHEN call_id % 5 <= 2 THEN 'codificado' WHEN call_id % 2 = 0 THEN 'provedor' ELSE 'esquema' END AS outcome, CAST(CASE WHEN t = 0 THEN 0 ELSE least(call_id % 5 + 1, 3) END AS INT) AS attempts FROM g) """
+query("l2_coding", CALLS + "SELECT call_id, outcome, attempts FROM o", base=False)(lambda spark, d: coding.code(_calls(spark, d), client, BOOK).outcomes)
+query("l2_catalogue", CALLS + "SELECT call_id, field, CASE WHEN field = 'qualidade' AND NOT regexp_matches(text, '\\S') THEN 'citacao_invalidada' ELSE 'ok' END AS verification FROM o, (SELECT unnest(['qualidade', 'tom']) AS field) WHERE outcome = 'codificado'", base=False)(
+    lambda spark, d: coding.code(_calls(spark, d), client, BOOK).fields.select("call_id", "field", "verification")
+)
+query("l2_verified_by_batch", ", c AS (SELECT doc_id % 3 AS batch_id, quality = 1 AS ok FROM labels) SELECT batch_id, count(*) AS n FROM c WHERE ok GROUP BY 1")(lambda spark, d: coding.catalogued(coded(spark, d)))
+query("l2_inputs", CALLS + "SELECT call_id, string_agg('=== documento ' || doc_id || ' ===' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY doc_id) AS input FROM d GROUP BY 1", base=False)(lambda spark, d: coding.sections(_calls(spark, d)).select("call_id", "input"))
+OPENED = ", b AS (SELECT id, id % 3 AS model, CASE WHEN id % 4 <> 0 THEN id % 7 END AS seed, CASE WHEN id % 10 = 0 THEN 'aberto' ELSE 'concluido' END AS status FROM queue) "
+_batches = lambda c: c.queue.select("id", (F.col("id") % 3).alias("model"), F.when(F.col("id") % 4 != 0, F.col("id") % 7).alias("seed"), F.when(F.col("id") % 10 == 0, "aberto").otherwise("concluido").alias("status"))
+query("batch_reopened", OPENED + "SELECT id, model, seed, CASE WHEN id = (SELECT max(id) FROM b WHERE model = 1 AND seed = 5 AND status = 'concluido') AND NOT EXISTS (SELECT 1 FROM b WHERE model = 1 AND seed = 5 AND status = 'aberto') THEN 'aberto' ELSE status END AS status FROM b")(
+    lambda spark, d: coding.open_batch(_batches(model.catalog(spark, d)), {"model": 1, "seed": 5}, ["model", "seed"])
+)
+query("batch_opened", OPENED + "SELECT id, model, seed, status FROM b UNION ALL SELECT max(id) + 1, 9, NULL, 'aberto' FROM b")(lambda spark, d: coding.open_batch(_batches(model.catalog(spark, d)), {"model": 9, "seed": None}, ["model", "seed"]))
+
+# ---- discovery over pages that link to each other --------------------------------------------------------------------
+
+
+def _web(spark: SparkSession, d: str) -> DataFrame:
+    """The pages under five hosts, each with three more links: two to sections of its own host, one to a file."""
+    k = F.col("page_id")
+    at = lambda n: F.concat(F.lit("https://h"), (n % 5).cast("string"), F.lit(".org/p/"), n.cast("string"))
+    link = lambda href, anchor: F.concat(F.lit('<a href="'), href, F.lit('">'), F.lit(anchor), F.lit("</a>"))
+    section = lambda n: F.concat(F.lit("/p/"), n.cast("string"))
+    more = F.concat(link(section(k + 5 * (k % 3 + 1)), "Inovação e Startup"), link(section(k + 5 * (k % 7 + 2)), "Editais"), link(F.concat(F.lit("/docs/"), (k % 50).cast("string"), F.lit(".pdf?utm_x=1")), "x"))
+    return model.table(spark, d, "pages").select("page_id", at(k).alias("url"), F.concat("html", more).alias("html"))
+
+
+def _explored(spark: SparkSession, d: str, **options) -> stages.Explored:
+    web = _web(spark, d)
+    return stages.explore(web.where("page_id < 10").select("url"), web.select("url", "html"), 3, **options)
+
+
+WEB = """WITH RECURSIVE p AS (SELECT page_id AS id FROM pages),
+e AS (SELECT id, id + 5 * (id % 3 + 1) AS t FROM p UNION SELECT id, id + 5 * (id % 7 + 2) FROM p),
+r(id, depth) AS (SELECT id, 0 FROM p WHERE id < 10 UNION SELECT e.t, r.depth + 1 FROM r JOIN e ON e.id = r.id WHERE r.depth < 3),
+v AS (SELECT id, min(depth) AS depth FROM r JOIN p USING (id) GROUP BY 1),
+l AS (SELECT v.id, depth, 'https://h' || t % 5 || '.org/p/' || t AS url, 'secao' AS class FROM v JOIN e USING (id) UNION ALL SELECT id, depth, 'https://h' || id % 5 || '.org/docs/' || id % 50 || '.pdf', 'candidato/pdf' FROM v) """
+query("discovery", WEB + "SELECT url, class, CAST(min(depth) AS INT) AS depth, min('https://h' || id % 5 || '.org/p/' || id) AS page FROM l GROUP BY 1, 2", base=False)(lambda spark, d: _explored(spark, d).found)
+query("discovery_visits", WEB + "SELECT 'https://h' || id % 5 || '.org/p/' || id AS page FROM v", base=False)(lambda spark, d: _explored(spark, d).visited)
+query("discovery_again", WEB + "SELECT url, class, CAST(0 AS INT) AS depth, url AS page FROM l WHERE false", base=False)(lambda spark, d: _explored(spark, d, visited=_explored(spark, d).visited).found)
+query("origins", "SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)) AS origin FROM pages", base=False)(lambda spark, d: model.table(spark, d, "pages").select("page_id", urls.origin(F.col("url")).alias("origin")))
+
+# ---- the event log, exports, words ------------------------------------------------------------------------------------
+
+
+def _logged(spark: SparkSession, d: str) -> DataFrame:
+    """Events whose details have names out of order, and a tenth that isn't JSON; written to the log and read again."""
+    raw = F.when(F.col("event_id") % 10 == 0, F.lit("{bad")).otherwise(F.concat(F.lit('{"z": '), F.col("event_id").cast("string"), F.lit(', "a": {"y": "'), F.col("event_type"), F.lit('", "b": [1, '), F.col("user_id").cast("string"), F.lit(']}, "k": '), F.get_json_object("props", "$.k"), F.lit("}")))
+    path = shared_folder(spark)
+    eventlog.append(model.table(spark, d, "events").select(*eventlog.event("coletar", "visita", raw, F.col("ts").cast("timestamp"))), path)
+    return eventlog.read(spark, path)
+
+
+LOGGED = """WITH e AS (SELECT event_id, CAST(ts AS DATE) AS day, event_id % 10 = 0 AS bad, event_type, user_id, json_extract_string(props, 'k') AS k FROM events) """
+query("event_log", LOGGED + """SELECT day, CASE WHEN bad THEN '{}' ELSE '{"a":{"b":[1,' || user_id || '],"y":"' || event_type || '"},"k":' || k || ',"z":' || event_id || '}' END AS detail FROM e""", base=False)(lambda spark, d: _logged(spark, d).select("day", eventlog.canonical(F.col("detail")).alias("detail")))
+query("event_log_typed", LOGGED + "SELECT day, event_type AS kind, count(*) AS n, CAST(sum(CAST(k AS BIGINT)) AS BIGINT) AS k, CAST(sum(user_id) AS BIGINT) AS users FROM e WHERE NOT bad GROUP BY 1, 2", base=False)(
+    lambda spark, d: _logged(spark, d).select("day", F.try_variant_get("detail", "$.a.y", "string").alias("kind"), F.try_variant_get("detail", "$.k", "bigint").alias("k"), F.try_variant_get("detail", "$.a.b[1]", "bigint").alias("u")).where("kind IS NOT NULL").groupBy("day", "kind").agg(F.count("*").alias("n"), F.sum("k").alias("k"), F.sum("u").alias("users"))
+)
+query("log_lists", """SELECT event_id, e.k AS etapa, e.v AS valor FROM (SELECT event_id, unnest(CASE event_id % 3 WHEN 0 THEN [{'k': '1', 'v': 'x'}, {'k': '2', 'v': CAST(user_id AS VARCHAR)}, {'k': '3', 'v': NULL}, {'k': '4', 'v': '{"a":2,"b":true}'}] WHEN 1 THEN [{'k': 'k', 'v': json_extract_string(props, 'k')}] END) AS e FROM events)""", base=False)(
+    lambda spark, d: eventlog.log_entries(model.table(spark, d, "events").withColumn("log", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('["x", '), F.col("user_id").cast("string"), F.lit(', null, {"b": true, "a": 2}]'))).when(F.col("event_id") % 3 == 1, F.col("props")).otherwise("oops")), "event_id", "log")
+)
+ORDER = ("year", "institution", "call_id", "id")
+query("listing_numbered", ", l AS (SELECT * FROM base WHERE NOT excluded) SELECT id, row_number() OVER (ORDER BY coalesce(year, 9999), institution, call_id, id) AS n FROM l")(
+    lambda spark, d: joins.row_numbers(catalog.listing(model.catalog(spark, d)).select(F.coalesce("year", F.lit(9999)).alias("year"), "institution", "call_id", "id"), ORDER, "n").select("id", "n")
+)
+
+
+def _axis3_file(spark: SparkSession, d: str) -> DataFrame:
+    """The third axis' detail, written in order and read again."""
+    rows = model.table(spark, d, "documents").select("doc_id", rules.axis3(F.col("text"), **AXIS).alias("r")).select("doc_id", "r.code", "r.evidence")
+    path = shared_folder(spark)
+    files.write_listing(rows, path, ("code", "doc_id", "evidence"))
+    return files.read_listing(spark, path, "code string, doc_id long, evidence string")
+
+
+query("axis3_export", AXIS_SQL + "SELECT code, doc_id, nullif(evidence, '') AS evidence FROM x")(_axis3_file)
+query("sampled", "SELECT doc_id FROM documents ORDER BY sha256('42:' || doc_id), doc_id LIMIT 100", base=False)(lambda spark, d: mining.sample(model.table(spark, d, "documents"), 100).select("doc_id"))
+query("previews", "SELECT doc_id, substr(text, 1, 80) AS preview FROM documents ORDER BY doc_id LIMIT 10", base=False)(lambda spark, d: model.table(spark, d, "documents").orderBy("doc_id").limit(10).select("doc_id", F.substring("text", 1, 80).alias("preview")))
+TOP = ngram_sql(1, 1) + ", top AS (SELECT term, count(*) AS freq FROM terms GROUP BY 1 HAVING count(*) >= 2 ORDER BY 2 DESC, 1 LIMIT 30)"
+query("heavy_terms", TOP + " SELECT * FROM top")(lambda spark, d: mining.heavy_terms(model.corpus(spark, d), 30, stopwords=STOP))
+query(
+    "cooccurrence_matrix",
+    TOP + """, k AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' '), ' '), lambda x: list_contains((SELECT list(term) FROM top), x)) AS w FROM corpus), i AS (SELECT doc_id, w[i] AS t, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM k)),
+c AS (SELECT a.t AS t1, b.t AS t2, count(*) AS n FROM i a JOIN i b ON a.doc_id = b.doc_id AND abs(b.i - a.i) BETWEEN 1 AND 10 AND a.t <> b.t GROUP BY 1, 2 HAVING count(*) >= 2) SELECT a.term AS t1, b.term AS t2, coalesce(c.n, 0) AS n FROM top a CROSS JOIN top b LEFT JOIN c ON c.t1 = a.term AND c.t2 = b.term""",
+)(lambda spark, d: mining.window_matrix(model.corpus(spark, d), 30, 10, 2, stopwords=STOP))
+query("dimension_pivot", SIGNAL_SQL + "SELECT dimension, " + ", ".join(f'round(avg(CASE WHEN len(f) > 0 THEN CAST(100 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) FILTER (year = {y}), 1) AS "{y}"' for y in YEARS) + " FROM m GROUP BY 1")(
+    lambda spark, d: mining.prevalence(mining.signals(model.corpus(spark, d), DIMENSIONS, by=["year"]), ["year"]).groupBy("dimension").pivot("year", YEARS).agg(F.first("pct"))
+)
+query("ocr_rescue", "WITH p AS (SELECT l_orderkey AS doc_id, CASE WHEN l_returnflag = 'R' THEN 2 * l_quantity ELSE (2 * l_quantity + CAST(l_suppkey % 101 AS DOUBLE)) / 2 END AS c FROM lineitem) SELECT doc_id, count(*) FILTER (c >= 60) AS rescued, round(avg(c) FILTER (c >= 60), 1) AS confidence FROM p GROUP BY 1", base=False)(
+    lambda spark, d: rules.ocr_rescue(model.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), F.array(F.struct(F.lit("a").alias("word"), (2 * F.col("l_quantity")).alias("conf")), F.struct(F.lit("b").alias("word"), F.when(F.col("l_returnflag") == "R", -1.0).otherwise((F.col("l_suppkey") % 101).cast("double")).alias("conf"))).alias("words")))
+)
+# connectives and stopwords are planted into the texts, as the given corpus has none
+PLANTED = " no que se refere palavra-chave Bem Como outra palavra; por meio de novas palavras the "
+query("planted_connectives", "WITH t AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS p FROM documents WHERE text IS NOT NULL) SELECT w AS term, CAST(sum(p) AS BIGINT) AS freq FROM t, (SELECT unnest(['palavra chave', 'chave outra', 'outra palavra', 'palavra novas', 'novas palavras']) AS w) GROUP BY 1", base=False)(
+    lambda spark, d: mining.term_frequency(model.corpus(spark, d).where("text IS NOT NULL").select(F.when(F.col("doc_id") % 3 == 0, F.lit(PLANTED)).otherwise("").alias("text")), (2, 2), 1, ("the",))
+)

@@ -8,7 +8,7 @@ import tomllib
 from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TEXT_LIMIT = 8000
@@ -38,9 +38,27 @@ def hashed_files(spark: SparkSession, path: str, max_bytes: int = 50 << 20) -> D
     return files.where(F.substring("content", 1, 5) == F.lit(b"%PDF-")).select("path", "length", F.sha2("content", 256).alias("hash")).withColumn("id", F.substring("hash", 1, 12))
 
 
-def write_listing(rows: DataFrame, path: str, columns: Sequence[str]) -> None:
-    """CSV with a header, also where there are no rows, in one file, in the rows' order."""
-    rows.select(*columns).coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+#: Quotes inside quoted values are doubled; a null is an empty value.
+CSV = {"escape": '"', "nullValue": "", "emptyValue": ""}
+
+
+def write_listing(rows: DataFrame, path: str, columns: Sequence[str], order: Sequence[Column | str] | None = None) -> None:
+    """CSV parts whose names' order is the rows' order: put one after the other they are one file.
+
+    The header is the first line of the first part, and all there is if there are no rows. Rows are dealt out by ranges of
+    the order (the columns themselves, if none is given), so every task writes a part of its own.
+    """
+    keys = [F.col(c) if isinstance(c, str) else c for c in (order or columns)]
+    text = lambda c: F.col(c).cast("string")
+    lines = rows.select(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).alias("k"), F.to_csv(F.struct(*[text(c).alias(c) for c in columns]), CSV).alias("value"))
+    header = rows.sparkSession.createDataFrame([(",".join(columns),)], "value string").select(F.lit(None).cast(lines.schema["k"].dataType).alias("k"), "value")
+    lines.unionByName(header).repartitionByRange("k").sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)
+
+
+def read_listing(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of write_listing(), of values without line breaks."""
+    columns = spark.createDataFrame([], schema).columns
+    return spark.read.text(path).where(F.col("value") != ",".join(columns)).select(F.from_csv("value", schema, CSV).alias("r")).select("r.*")
 
 
 def write_custody(rows: DataFrame, path: str) -> None:
