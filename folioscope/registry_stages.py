@@ -221,7 +221,8 @@ TOP = ngram_sql(1, 1) + ", top AS (SELECT term, count(*) AS freq FROM terms GROU
 query("heavy_terms", TOP + " SELECT * FROM top")(lambda spark, d: mining.heavy_terms(model.corpus(spark, d), 30, stopwords=STOP))
 query(
     "cooccurrence_matrix",
-    TOP + """, k AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' '), ' '), lambda x: list_contains((SELECT list(term) FROM top), x)) AS w FROM corpus), i AS (SELECT doc_id, w[i] AS t, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM k)),
+    TOP + """, k AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' '), ' ') AS w FROM corpus), j AS (SELECT doc_id, w[p] AS t, p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM k)),
+i AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM j JOIN top ON top.term = j.t),
 c AS (SELECT a.t AS t1, b.t AS t2, count(*) AS n FROM i a JOIN i b ON a.doc_id = b.doc_id AND abs(b.i - a.i) BETWEEN 1 AND 10 AND a.t <> b.t GROUP BY 1, 2 HAVING count(*) >= 2) SELECT a.term AS t1, b.term AS t2, coalesce(c.n, 0) AS n FROM top a CROSS JOIN top b LEFT JOIN c ON c.t1 = a.term AND c.t2 = b.term""",
 )(lambda spark, d: mining.window_matrix(model.corpus(spark, d), 30, 10, 2, stopwords=STOP))
 query("dimension_pivot", SIGNAL_SQL + "SELECT dimension, " + ", ".join(f'round(avg(CASE WHEN len(f) > 0 THEN CAST(100 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) FILTER (year = {y}), 1) AS "{y}"' for y in YEARS) + " FROM m GROUP BY 1")(
@@ -232,6 +233,6 @@ query("ocr_rescue", "WITH p AS (SELECT l_orderkey AS doc_id, CASE WHEN l_returnf
 )
 # connectives and stopwords are planted into the texts, as the given corpus has none
 PLANTED = " no que se refere palavra-chave Bem Como outra palavra; por meio de novas palavras the "
-query("planted_connectives", "WITH t AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS p FROM documents WHERE text IS NOT NULL) SELECT w AS term, CAST(sum(p) AS BIGINT) AS freq FROM t, (SELECT unnest(['palavra chave', 'chave outra', 'outra palavra', 'palavra novas', 'novas palavras']) AS w) GROUP BY 1", base=False)(
-    lambda spark, d: mining.term_frequency(model.corpus(spark, d).where("text IS NOT NULL").select(F.when(F.col("doc_id") % 3 == 0, F.lit(PLANTED)).otherwise("").alias("text")), (2, 2), 1, ("the",))
+query("planted_connectives", ", planted AS (SELECT doc_id, institution, year, list_concat(w, CASE WHEN doc_id % 3 = 0 THEN ['palavra', 'chave', 'outra', 'palavra', 'novas', 'palavras'] ELSE [] END) AS w FROM toks)" + ngram_sql(1, 2).replace("FROM toks", "FROM planted") + "SELECT term, count(*) AS freq FROM terms GROUP BY 1 HAVING count(*) >= 2")(
+    lambda spark, d: mining.term_frequency(model.corpus(spark, d).withColumn("text", F.concat("text", F.when(F.col("doc_id") % 3 == 0, PLANTED).otherwise(""))), (1, 2), 2, STOP)
 )
