@@ -2,14 +2,20 @@
 
 A page becomes a list of text blocks, each with the chain of elements around it. Pages of a host are sorted by URL
 path, which puts pages of one template and section side by side, and every page is aligned with the page before and
-the page after it: the longest common subsequence of their block lines (chain and text) is what they share. A shared
-block is site furniture and is deleted. In an ``article`` or ``main`` element more is asked, as texts legitimately repeat
-passages and copies of an article share everything: there a block goes if both neighbours share it and each of them
-shares half of the page's blocks in those elements at most. The first and the last page of a host have one neighbour; they
-lose the blocks that it shares with them and loses itself.
-Blocks whose chain names furniture (nav, header, footer, aside, form, adverts, notices, comments ...) go in any case:
-menus and adverts that change from page to page share no line with a neighbour. A page with an article or main element
-keeps that element's blocks only.
+the page after it, twice, by longest common subsequences. Blocks that agree in chain and text are shared lines. Blocks that
+agree in elements, classes and order are shared places: menus, notices, adverts and footers whose words change from page to
+page share no line, but their places are the template's.
+
+What a page is about lies in its content root: the ``article`` or ``main`` element where it has one, else the element that
+holds most of the text that differs from the neighbours (from the page's root down, as long as one child holds two thirds).
+Outside the root shared lines and shared places are deleted. Inside it texts legitimately repeat passages, and copies of an
+article share everything: there a block goes if both neighbours share its line and each of them shares half of the page's
+blocks there at most. The first and the last page of a host have one neighbour; they lose the blocks that it shares with
+them and loses itself.
+
+Only what differencing can't tell is left to names: a page without neighbours, an element that one page alone has, and
+elements inside the root (a form, reader comments) go by element and class (nav, footer, form, advert, comments ...), and
+what stands outside an article or main element isn't the article.
 
 Neighbours are found without gathering a host: the keys (host, path, url, id, hash of the page) are sorted first and cut
 into ranges, and each range is sent to one task with copies of the HALO pages before and after it, so a hot host is
@@ -28,6 +34,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from html import unescape
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,11 +82,20 @@ def furniture(tag: str, attributes: str) -> bool:
     return False
 
 
+_CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*))", re.I)
+
+
+def styled(tag: str, attributes: str) -> str:
+    """An element with its classes, whatever numbers they hold."""
+    found = _CLASS.search(attributes)
+    return f"{tag}.{' '.join(sorted(_WORD.findall(''.join(x or '' for x in found.groups()).lower())))}" if found else tag
+
+
 class Block:
-    __slots__ = ("chain", "text", "main", "drop")
+    __slots__ = ("chain", "text", "main", "drop", "place")
 
-    def __init__(self, chain: str, text: str, main: bool, drop: bool):
-        self.chain, self.text, self.main, self.drop = chain, text, main, drop
+    def __init__(self, chain: str, text: str, main: bool, drop: bool, place: tuple[str, ...] = ()):
+        self.chain, self.text, self.main, self.drop, self.place = chain, text, main, drop, place
 
     def line(self) -> tuple[str, str]:
         return self.chain, self.text
@@ -88,7 +104,7 @@ class Block:
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, main so far, furniture so far
+    stack: list[tuple[str, bool, bool, str]] = []  # element, main so far, furniture so far, element with classes
     held: list[str] = []
 
     def flush() -> None:
@@ -96,11 +112,11 @@ def blocks(html: str) -> list[Block]:
             text = _SPACE.sub(" ", "".join(held)).strip()
             held.clear()
             if text:
-                _, main, drop = stack[-1] if stack else ("", False, False)
-                out.append(Block("/".join(t for t, _, _ in stack if t in BLOCK), text, main, drop))
+                _, main, drop, _ = stack[-1] if stack else ("", False, False, "")
+                out.append(Block("/".join(x[0] for x in stack if x[0] in BLOCK), text, main, drop, tuple(x[3] for x in stack if x[0] in BLOCK)))
 
     def close(to: int) -> None:
-        if any(t in BLOCK for t, _, _ in stack[to:]):
+        if any(x[0] in BLOCK for x in stack[to:]):
             flush()
         del stack[to:]
 
@@ -157,22 +173,32 @@ def blocks(html: str) -> list[Block]:
                 k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in same or stack[i][0] in ("ul", "ol", "dl", "table", "tr") and stack[i][0] != tag), -1)
                 if k >= 0 and stack[k][0] in same:
                     close(k)
-        _, main, drop = stack[-1] if stack else ("", False, False)
+        _, main, drop, _ = stack[-1] if stack else ("", False, False, "")
         own = furniture(tag, attributes or "")
         if own and tag == "header" and main:
             own = False  # an article's own header holds its title
         if not (attributes or "").rstrip().endswith("/") or tag in BLOCK:
-            stack.append((tag, main or tag in MAIN, drop or own))
+            stack.append((tag, main or tag in MAIN, drop or own, styled(tag, attributes) if attributes else tag))
     flush()
     return out
 
 
 def shared(a: list[Block], b: list[Block]) -> tuple[set[int], set[int]]:
-    """Indices of a's and b's blocks in a longest common subsequence of their lines.
+    """Indices of a's and b's blocks in a longest common subsequence of their lines."""
+    return common([p.line() for p in a], [p.line() for p in b])
+
+
+def aligned(a: list[Block], b: list[Block]) -> tuple[set[int], set[int]]:
+    """Indices of a's and b's blocks in a longest common subsequence of their places. Blocks in a row at one place, such as
+    the items of a list, are one there, however many a page has."""
+    runs = [[(place, [i for i, _ in own]) for place, own in groupby(enumerate(page), lambda x: x[1].place)] for page in (a, b)]
+    found = common(*[[place for place, _ in r] for r in runs])
+    return tuple({i for k in own for i in r[k][1]} for own, r in zip(found, runs, strict=True))
+
 
-    Common ends are cut off first, and lines that only one page has are left out; what is left is small.
-    """
-    x, y = [p.line() for p in a], [p.line() for p in b]
+def common(x: list, y: list) -> tuple[set[int], set[int]]:
+    """Indices of x and y in a longest common subsequence. Common ends are cut off first, and values that only one has are
+    left out; what is left is small."""
     low = 0
     while low < min(len(x), len(y)) and x[low] == y[low]:
         low += 1
@@ -180,8 +206,8 @@ def shared(a: list[Block], b: list[Block]) -> tuple[set[int], set[int]]:
     while tail < min(len(x), len(y)) - low and x[-1 - tail] == y[-1 - tail]:
         tail += 1
     in_a, in_b = set(range(low)) | set(range(len(x) - tail, len(x))), set(range(low)) | set(range(len(y) - tail, len(y)))
-    common = set(x[low : len(x) - tail]) & set(y[low : len(y) - tail])
-    i_of, j_of = [i for i in range(low, len(x) - tail) if x[i] in common], [j for j in range(low, len(y) - tail) if y[j] in common]
+    both = set(x[low : len(x) - tail]) & set(y[low : len(y) - tail])
+    i_of, j_of = [i for i in range(low, len(x) - tail) if x[i] in both], [j for j in range(low, len(y) - tail) if y[j] in both]
     for i, j in subsequence([x[i] for i in i_of], [y[j] for j in j_of]):
         in_a.add(i_of[i])
         in_b.add(j_of[j])
@@ -211,11 +237,38 @@ def subsequence(x: list, y: list) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def kept(page: list[Block], shared_lines: set[int], shared_main: frozenset | set = frozenset()) -> str:
-    """The page's text; shared_main: blocks to delete from article and main elements."""
-    has_main = any(b.main for b in page)
-    left = [b.text for i, b in enumerate(page) if not b.drop and (b.main and i not in shared_main if has_main else i not in shared_lines)]
-    return "\n".join(left)
+def content_root(page: list[Block], shared_lines: set[int]) -> tuple[str, ...]:
+    """The place under which most of the text lies that differs from the neighbours; () is the whole page. A place that
+    holds its text itself, as paragraphs do, is no root: headings stand beside it."""
+    root: tuple[str, ...] = ()
+    inside = [b for i, b in enumerate(page) if i not in shared_lines]
+    while inside:
+        weight: dict[str, int] = {}
+        for b in inside:
+            if len(b.place) > len(root):
+                weight[b.place[len(root)]] = weight.get(b.place[len(root)], 0) + len(b.text)
+        if not weight or 3 * max(weight.values()) < 2 * sum(len(b.text) for b in inside):
+            return root
+        child = (*root, max(sorted(weight), key=weight.__getitem__))
+        inside = [b for b in inside if b.place[: len(child)] == child]
+        if 2 * sum(len(b.text) for b in inside if b.place == child) > sum(len(b.text) for b in inside):
+            return root
+        root = child
+    return root
+
+
+def differenced(page: list[Block], shared_lines: set[int], shared_places: set[int], shared_main: frozenset | set = frozenset()) -> set[int]:
+    """What the neighbours take from a page; shared_main: blocks to delete from article and main elements."""
+    if any(b.main for b in page):
+        return {i for i, b in enumerate(page) if (i in shared_main if b.main else i in shared_lines or i in shared_places)}
+    root = content_root(page, shared_lines)
+    return shared_lines | {i for i in shared_places if page[i].place[: len(root)] != root}
+
+
+def kept(page: list[Block], shared_lines: set[int], shared_main: frozenset | set = frozenset(), shared_places: frozenset | set = frozenset()) -> str:
+    """The page's text: what differencing leaves, without what elements and classes name as furniture."""
+    gone, has_main = differenced(page, shared_lines, set(shared_places), shared_main), any(b.main for b in page)
+    return "\n".join(b.text for i, b in enumerate(page) if i not in gone and not b.drop and (b.main or not has_main))
 
 
 def little(page: list[Block], shared_lines: set[int]) -> set[int]:
@@ -302,28 +355,29 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     schema = T.StructType([*dealt.schema.fields[:2], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
-        # (id, url, (range, host), blocks, shared with the page before, halo, whether there is a page before)
+        # (id, url, (range, host), blocks, lines shared with the page before, halo, whether there is a page before, places
+        # shared with the page before)
         before = None
         first = None  # the first page of its host and what it shares with the second, until that one is known
         done: list[tuple] = []
 
-        def settle(page, lines: set[int], main: set[int]) -> None:
+        def settle(page, lines: set[int], places: set[int], main: set[int]) -> None:
             if not page[5]:
-                text = kept(page[3], lines, main)
+                text = kept(page[3], lines, main, places)
                 done.append((page[0], page[1], text, len(text)))
 
         def by_lines(page, shared_lines: set[int], lines: set) -> set[int]:
             return {i for i in little(page[3], shared_lines) if page[3][i].line() in lines}
 
-        def settle_middle(page, after_shared: set[int]) -> set:
+        def settle_middle(page, after_shared: set[int], after_places: set[int]) -> set:
             """Settles a page with two neighbours, and the one before it if that is the host's first; the lines it loses."""
             nonlocal first
             main = little(page[3], page[4]) & little(page[3], after_shared)
             lines = {page[3][i].line() for i in main}
             if first is not None:
-                settle(*first, by_lines(*first, lines))
+                settle(*first, by_lines(*first[:2], lines))
                 first = None
-            settle(page, page[4] | after_shared, main)
+            settle(page, page[4] | after_shared, page[7] & after_places, main)
             return lines
 
         def settle_last(page) -> None:
@@ -331,7 +385,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             if first is not None:  # a host of two pages
                 settle(*first, set())
                 first = None
-            settle(page, page[4], by_lines(page, page[4], lost))
+            settle(page, page[4], page[7], by_lines(page, page[4], lost))
 
         lost: set = set()  # lines that the page before the last one loses
 
@@ -345,18 +399,19 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                 for row in batch.slice(at, 500).to_pylist():
                     found, group = blocks(row["html"]), (row["range"], row["host"])
                     mine: set[int] = set()
-                    theirs: set[int] = set()
+                    places: set[int] = set()
                     after = before is not None and before[2] == group
                     if after:
                         theirs, mine = shared(before[3], found)
+                        their_places, places = aligned(before[3], found)
                         if before[6]:
-                            lost = settle_middle(before, theirs)
+                            lost = settle_middle(before, theirs, their_places)
                         else:
-                            first, lost = (before, theirs), set()
+                            first, lost = (before, theirs, their_places), set()
                     elif before is not None:
                         settle_last(before)
                         lost = set()
-                    before = (row["page_id"], row["url"], group, found, mine, row["halo"], after)
+                    before = (row["page_id"], row["url"], group, found, mine, row["halo"], after, places)
                 if done:
                     yield batch_of(done)
                     done = []
