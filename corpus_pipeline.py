@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which the caller writes as Parquet and reads again as
 the next stage's docs. All but the last return the columns of documents; the last returns a row of digests for each
 document that is left.
+
+Defined results: a null or empty text fails the quality rules; ties of near duplicates and of passages go to the smaller
+doc_id, then by the text's hash; repeated rows are documents of their own until the second stage, which keeps all rows of
+the kept id; a null doc_id is a document without copies; empty tables go through all stages; extra columns pass through
+unchanged, whatever their names. Each stage's own module says more.
 """
 
 from __future__ import annotations

@@ -111,10 +111,9 @@ def present_category(category: Column) -> Column:
 
 
 def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame], args: dict | None = None) -> DataFrame:
-    """A statement over named tables, with :name parameter markers; values never become part of its text."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(sql, args=args or {})
+    """A statement over tables, written {name}, with :name parameter markers; values never become part of its text,
+    and nothing stays behind in the session."""
+    return spark.sql(sql, args=args or {}, **tables)
 
 
 def top_pairs(pairs: DataFrame, least: int = 2, n: int = 20) -> DataFrame:

@@ -300,7 +300,7 @@ on_catalog("shared_urls", lambda c: reports.shared_ids(c.documents, c.candidates
 on_corpus("term_year_pivot", lambda c: reports.wide(mining.term_heatmap(c, "year", 20, stopwords=STOP), "term", "year", "freq", YEARS), ngram_sql(1, 1) + ", top AS (SELECT term, count(*) AS f FROM terms GROUP BY 1 HAVING count(*) >= 2 ORDER BY 2 DESC, 1 LIMIT 20) SELECT top.term, " + ", ".join(f'count(t.term) FILTER (t.year = {y}) AS "{y}"' for y in YEARS) + " FROM top LEFT JOIN terms t ON t.term = top.term GROUP BY 1")
 on_catalog("n_docs_pivot", lambda c: C.coverage(c).groupBy("institution").pivot("ano", YEARS).agg(F.sum("n_docs")).na.fill(0), "SELECT institution, " + ", ".join(f'CAST(coalesce(sum(n_docs) FILTER (ano = {y}), 0) AS BIGINT) AS "{y}"' for y in YEARS) + " FROM coverage GROUP BY 1")
 on_catalog("category_remap", lambda c: c.portals.select("id", reports.present_category(F.when(F.col("id") % 3 == 0, "prpgi_prppg").otherwise(F.col("category"))).alias("category")), "SELECT id, CASE WHEN id % 3 = 0 THEN 'prppg_inovacao' ELSE category END AS category FROM portals")
-query("sql_with_parameters", "SELECT id, url FROM docs WHERE id > 100 AND call_id = 7")(lambda spark, d: reports.run_sql(spark, "SELECT id, url FROM documentos WHERE id > :least AND call_id = :call", {"documentos": model.catalog(spark, d).documents}, {"least": 100, "call": 7}))
+query("sql_with_parameters", "SELECT id, url FROM docs WHERE id > 100 AND call_id = 7")(lambda spark, d: reports.run_sql(spark, "SELECT id, url FROM {documentos} WHERE id > :least AND call_id = :call", {"documentos": model.catalog(spark, d).documents}, {"least": 100, "call": 7}))
 query("file_urls", "SELECT o_orderkey, o_orderkey % 18 < 15 AS is_file FROM orders", base=False)(lambda spark, d: model.table(spark, d, "orders").select("o_orderkey", urls.is_file(F.concat(F.lit("https://h.org/x.y/f."), F.element_at(F.array(*[F.lit(x) for x in (*urls.BINARY_ENDINGS, "jpg", "html", "PNG")]), (F.col("o_orderkey") % 18 + 1).cast("int")), F.lit("?a=b.pdf"))).alias("is_file")))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import urls
-from folioscope.operators import catalog, classifying, coding, dating, eventlog, joins, mining, rules, stages
+from folioscope.operators import catalog, classifying, coding, dating, eventlog, joins, mining, rules, staged, stages
 from folioscope.plans import model
 from folioscope.registry import BOOK, DIMENSIONS, FOLD, SIGNAL_SQL, SIGNALS, STOP, YEARS, coded, ngram_sql, query
 from folioscope.sources import files
@@ -113,6 +113,23 @@ query("stage_totals", ", t AS (SELECT doc_id AS k, text FROM corpus), x AS (SELE
     lambda spark, d: (lambda docs: classifying.totals(docs, docs.where("id % 3 <> 0").select("url", F.when(F.col("id") % 2 == 0, "inovacao").otherwise("nao_inovacao").alias("kind")), "kind"))(_documents(spark, d))
 )
 
+
+
+def _staged(spark: SparkSession, d: str) -> DataFrame:
+    """Both classifications over one sweep, then a stage that fails and one that is not run; what the tables hold then."""
+    docs = _documents(spark, d)
+    first, third = Buckets(spark, shared_folder(spark), classifying.LEVEL1, ["url"], 16), Buckets(spark, shared_folder(spark), classifying.AXIS3, ["url"], 16)
+    steps = [("classificar", lambda x: classifying.level1(x, first, SIGNALS, {})), ("eixo3", lambda x: classifying.axis3(x, third, **AXIS)), ("falha", lambda x: x.select("nada").count()), ("depois", lambda x: third.add(x.select("url", F.lit("x").alias("code"), F.lit("").alias("evidence")), ["url"]))]
+    made = spark.createDataFrame([(s.name, s.status) for s in staged.run(lambda: docs, docs.where("id % 2 = 1"), steps)], "stage string, status string")
+    held = first.read().select(F.lit("classificar").alias("stage")).unionByName(third.read().select(F.lit("eixo3").alias("stage"))).groupBy("stage").agg(F.count("*").alias("n"))
+    return made.join(held, "stage", "left").select("stage", "status", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+query("staged_run", ", t AS (SELECT doc_id AS k, text FROM corpus WHERE doc_id % 2 = 1 AND doc_id % 17 <> 0) SELECT 'classificar' AS stage, 'concluido' AS status, count(*) AS n FROM t UNION ALL SELECT 'eixo3', 'concluido', count(*) FILTER (k % 5 <> 0 AND text IS NOT NULL) FROM t UNION ALL SELECT 'falha', 'falhou', 0 UNION ALL SELECT 'depois', 'nao_executado', 0")(_staged)
+query("reachable_hosts", "WITH h AS (SELECT *, CAST(event_type = 'error' AS INT) AS hit FROM events), i AS (SELECT *, sum(1 - hit) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS isl FROM h), r AS (SELECT user_id, max(n) AS longest FROM (SELECT user_id, isl, sum(hit) AS n FROM i GROUP BY 1, 2) GROUP BY 1) SELECT event_id, e.user_id FROM events e JOIN r USING (user_id) WHERE longest < 3", base=False)(
+    lambda spark, d: (lambda e: rules.reachable(e, e, "user_id", ["ts", "event_id"], F.col("event_type") == "error").select("event_id", "user_id"))(model.table(spark, d, "events"))
+)
+
 # ---- second-level coding: a deterministic client that refuses some calls now and then --------------------------------
 
 
