@@ -210,16 +210,28 @@ def tfidf(corpus: DataFrame, max_features: int = 1500, min_df: int = 2, max_df:
 
 
 def project_2d(weights: DataFrame) -> DataFrame:
-    """Documents in two dimensions by PCA over the TF-IDF vectors (in place of a neighbour embedding)."""
-    from pyspark.ml.feature import PCA, StringIndexer
-    from pyspark.ml.functions import array_to_vector
-
-    indexed = StringIndexer(inputCol="term", outputCol="k", stringOrderType="alphabetAsc").fit(weights).transform(weights)
-    size = indexed.agg((F.max("k") + 1).cast("int")).first()[0] or 1
-    held = indexed.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("k").cast("int"), "weight"))).alias("m"))
-    dense = held.select("doc_id", array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))).alias("v"))
-    out = PCA(k=2, inputCol="v", outputCol="p").fit(dense).transform(dense)
-    from pyspark.ml.functions import vector_to_array
-
-    return out.select("doc_id", vector_to_array("p").alias("p")).select("doc_id", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+    """Documents in two dimensions by PCA over sparse vectors (doc_id, term, weight), in place of a neighbour embedding.
 
+    Products of terms that meet in a document are summed over all documents into one number a pair of terms: that table,
+    bounded by the vocabulary's square, is all that reaches the driver, and the two axes, a number a term, are what goes
+    back. Each axis points to where its largest loading is positive; documents aren't centred.
+    """
+    import numpy as np
+
+    spark = weights.sparkSession
+    terms = [r["term"] for r in weights.select("term").distinct().orderBy("term").collect()]  # the vocabulary
+    rows = weights.join(F.broadcast(spark.createDataFrame(list(enumerate(terms)), "k int, term string")), "term").select("doc_id", "k", "weight")
+    a, b = rows.alias("a"), rows.alias("b")
+    pairs = a.join(b, "doc_id").where("a.k <= b.k").groupBy(F.col("a.k").alias("i"), F.col("b.k").alias("j")).agg(F.sum(F.col("a.weight") * F.col("b.weight")).alias("x")).toArrow()
+    sums = rows.groupBy("k").agg(F.sum("weight").alias("x")).toArrow()
+    n = weights.select("doc_id").distinct().count()
+    gram, mean = np.zeros((len(terms), len(terms))), np.zeros(len(terms))
+    i, j = pairs["i"].to_numpy(), pairs["j"].to_numpy()
+    gram[i, j] = gram[j, i] = pairs["x"].to_numpy()
+    mean[sums["k"].to_numpy()] = sums["x"].to_numpy() / max(n, 1)
+    axes = np.linalg.eigh(gram - n * np.outer(mean, mean))[1][:, ::-1][:, :2] if len(terms) else np.zeros((0, 2))
+    axes = np.pad(axes, ((0, 0), (0, 2 - axes.shape[1])))
+    if len(terms):
+        axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), [0, 1]] < 0, -1, 1)
+    sent = F.broadcast(spark.createDataFrame([(k, *map(float, axis)) for k, axis in enumerate(axes)], "k int, x double, y double"))  # a row a term
+    return rows.join(sent, "k").groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("x")).alias("x"), F.sum(F.col("weight") * F.col("y")).alias("y"))

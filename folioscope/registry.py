@@ -212,7 +212,28 @@ on_corpus(
     lambda c: neighbours.neighbours(mining.tfidf(c, 1500, 2, 0.9, STOP), 10),
     ORACLES["tfidf"].removeprefix(model.SQL).replace("SELECT doc_id, term, round(w / l, 6) AS weight FROM w JOIN l USING (doc_id)", ", u AS (SELECT doc_id, term, w / l AS w FROM w JOIN l USING (doc_id)), c AS (SELECT a.doc_id, b.doc_id AS other, round(sum(a.w * b.w), 6) AS cosine FROM u a JOIN u b ON a.term = b.term AND a.doc_id <> b.doc_id GROUP BY 1, 2) SELECT doc_id, CAST(rank AS INT) AS rank, other, cosine FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, other) AS rank FROM c WHERE cosine > 0) WHERE rank <= 10"),
 )
-on_corpus("tfidf_projection", lambda c: mining.project_2d(mining.tfidf(c, 1500, 2, 0.9, STOP)))
+
+
+def _projection_sql(steps: int = 60) -> str:
+    """Two axes by repeated multiplication, the second kept square to the first; the sign as the operator has it."""
+    parts = [ORACLES["tfidf"].removeprefix(model.SQL).replace("SELECT doc_id, term, round(w / l, 6) AS weight FROM w JOIN l USING (doc_id)", ", u AS MATERIALIZED (SELECT doc_id, term, w / l AS w FROM w JOIN l USING (doc_id)), c AS MATERIALIZED (SELECT CAST(count(DISTINCT doc_id) AS DOUBLE) AS n FROM u), mu AS MATERIALIZED (SELECT term, sum(w) / n AS m FROM u, c GROUP BY term, n), z0 AS MATERIALIZED (SELECT term, CAST(1 AS DOUBLE) / row_number() OVER (ORDER BY term) AS x FROM mu)")]
+    before = "z0"
+    for axis in ("p", "q"):
+        for k in range(steps):
+            parts.append(f"{axis}y{k} AS MATERIALIZED (SELECT doc_id, sum(w * x) AS y FROM u JOIN {before} USING (term) GROUP BY 1), {axis}m{k} AS MATERIALIZED (SELECT sum(m * x) AS s FROM mu JOIN {before} USING (term))")
+            parts.append(f"{axis}r{k} AS MATERIALIZED (SELECT term, sum(w * y) - any_value(n * m * s) AS x FROM u JOIN {axis}y{k} USING (doc_id) JOIN mu USING (term), c, {axis}m{k} GROUP BY 1)")
+            flat = f"{axis}r{k}"
+            if axis == "q":
+                parts.append(f"qd{k} AS MATERIALIZED (SELECT sum(a.x * b.x) AS s FROM qr{k} a JOIN p{steps - 1} b USING (term)), qf{k} AS MATERIALIZED (SELECT term, a.x - s * b.x AS x FROM qr{k} a JOIN p{steps - 1} b USING (term), qd{k})")
+                flat = f"qf{k}"
+            parts.append(f"{axis}{k} AS MATERIALIZED (SELECT term, x / l AS x FROM {flat}, (SELECT sqrt(sum(x * x)) AS l FROM {flat}))")
+            before = f"{axis}{k}"
+        before = "z0"
+    turned = ", ".join(f"{a}s AS (SELECT term, x * CASE WHEN (SELECT arg_max(x, abs(x)) FROM {a}{steps - 1}) < 0 THEN -1 ELSE 1 END AS x FROM {a}{steps - 1})" for a in "pq")
+    return ", ".join([*parts, turned]) + " SELECT doc_id, round(sum(w * ps.x), 4) AS x, round(sum(w * qs.x), 4) AS y FROM u JOIN ps USING (term) JOIN qs USING (term) GROUP BY 1"
+
+
+on_corpus("tfidf_projection", lambda c: mining.project_2d(mining.tfidf(c, 1500, 2, 0.9, STOP)).select("doc_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y")), _projection_sql())
 
 # ---- rules and coding ------------------------------------------------------------------------------------------
 
