@@ -257,6 +257,10 @@ class Memory:
         self.at, self.id_at = np.cumsum(self.size) - self.size, np.cumsum(self.id_size) - self.id_size
 
 
+#: A text and where the tokenizer must cut it: a letter and the comma or full stop after it are never one piece.
+PROBE = "ab,cd. ef\n gh  x", ["ab", ",", "cd", ".", "Ġef", "Ċ", "Ġgh", "Ġ", "Ġx"]
+
+
 class Encoder:
     """Whole texts by the tokenizers library, which sees each distinct chunk once.
 
@@ -273,6 +277,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        cut = self.library.pre_tokenizer
+        if self.library.normalizer is not None or cut is None or [x for x, _ in cut.pre_tokenize_str(PROBE[0])] != PROBE[1]:
+            raise ValueError(f"{path}: not a byte-level tokenizer that splits words, punctuation and white space")
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}  # what the library has just been asked for
         self.memory = Memory(self.ENTRIES, np.dtype(f"<u{self.width}"))

@@ -196,6 +196,11 @@ def test_sstable_encoder_where_hashes_agree(monkeypatch):
         assert [np.frombuffer(g, "<u2").tolist() for g in got] == [w.ids for w in tool.library.encode_batch(docs, add_special_tokens=False)]
 
 
+def test_sstable_refuses_other_tokenizers():
+    with pytest.raises(ValueError):
+        sstable.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def test_sstable_ties_and_empty(spark, empty):
     two = spark.createDataFrame([(None, "a"), (3, "b c"), (3, "d"), (3, "d")], "doc_id long, text string")
     out = sorted((r.start, r.doc_id if r.doc_id is not None else -1) for r in sstable.write_and_read(two, public_tokenizers.path("byte_bpe_50k.json"), 2).collect())
