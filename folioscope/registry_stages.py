@@ -141,14 +141,14 @@ def _calls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def client(text: str, attempt: int) -> str:
-    """Fails the first attempts of a call, as its number says; then cites the first document."""
-    first = re.search(r"^=== documento (\d+) ===\n(.*)", text, re.S)
+    """Fails the first attempts of a call, as its number says; then cites the first document, no further than its end."""
+    first = re.search(r"^=== documento (\d+) ===\n(.*?)(?=\n\n=== documento \d+ ===\n|\Z)", text, re.S)
     call = int(first[1]) // 3
     if attempt <= call % 5:
         if call % 2 == 0:
             raise ConnectionError("refused")
         return "no object"
-    quote = first[2][:15].strip() or "vazio"
+    quote = first[2].strip()[:15].strip() or "vazio"
     answer = lambda value, document, part: {"valor": value, "citacao_documento": document, "citacao_trecho": part}
     return json.dumps({"campos": {"qualidade": answer(1, first[1], quote), "tom": answer("N/A", None, None)}})
 

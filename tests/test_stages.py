@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope import registry
 from folioscope.operators import classifying, coding, dating, eventlog, joins, mining, rules, stages
 from folioscope.sources import files
 from folioscope.sources.buckets import Buckets
@@ -158,3 +159,13 @@ def test_coding_asks_again(spark):
     assert coding.code(docs.limit(0), answering, BOOK).outcomes.count() == 0
     cut = spark.createDataFrame([(1, "a", 1, "12345"), (1, "b", 2, "67890"), (1, "c", 3, "x")], "call_id long, doc_id string, captured_at int, text string")
     assert coding.sections(cut, 8).first().input == "=== documento a ===\n12345\n\n=== documento b ===\n678"
+
+
+def test_catalogue_cites_the_first_document_alone(spark, tmp_path):
+    """Texts shorter than a quote, ones that begin with white space, and ones without a word."""
+    texts = {0: "x", 1: "Curto.", 2: "outro", 3: " " * 20 + "fim", 4: "z", 6: "x", 7: "", 8: "z", 16: "ab", 31: "só um", 37: "\n\t ", 38: "z"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = registry.queries()["l2_catalogue"](spark, str(tmp_path)).collect()
+    ok, bad = "ok", "citacao_invalidada"
+    assert {(r.call_id, r.verification) for r in found if r.field == "qualidade"} == {(0, ok), (1, ok), (2, ok), (5, ok), (10, ok), (12, bad)}
