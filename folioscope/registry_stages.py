@@ -20,14 +20,17 @@ from folioscope.sources.scratch import shared_folder
 
 
 def dated_pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Documents and queue made from pages: years 2018 to 2027 in path, anchor, metadata and page."""
+    """Documents and queue made from pages: years 2018 to 2027 in path, anchor, metadata and page.
+
+    A page's number is spelt in letters in its URL: p2019 would be evidence of 2019 that nobody planted.
+    """
     k = F.col("page_id")
     year = (2018 + k % 10).cast("string")
     say = lambda every, *parts: F.when(k % every == 0, F.concat(*parts))
     pages = model.table(spark, d, "pages")
     docs = pages.select(
         k.alias("id"),
-        F.concat(F.lit("https://h.org/p"), k.cast("string"), F.coalesce(say(2, F.lit("/"), year), F.lit(""))).alias("url"),
+        F.concat(F.lit("https://h.org/p"), F.translate(k.cast("string"), "0123456789", "abcdefghij"), F.coalesce(say(2, F.lit("/"), year), F.lit(""))).alias("url"),
         (k % 7).alias("portal_id"),
         say(3, F.lit("Edital "), year).alias("anchor"),
         say(4, F.lit("D:"), year, F.lit("0101")).alias("created"),

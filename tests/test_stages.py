@@ -6,6 +6,7 @@ import io
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,3 +170,18 @@ def test_catalogue_cites_the_first_document_alone(spark, tmp_path):
     found = registry.queries()["l2_catalogue"](spark, str(tmp_path)).collect()
     ok, bad = "ok", "citacao_invalidada"
     assert {(r.call_id, r.verification) for r in found if r.field == "qualidade"} == {(0, ok), (1, ok), (2, ok), (5, ok), (10, ok), (12, bad)}
+
+
+def _pages_numbered_like_years(spark, folder):
+    ids = [7, 9, *range(2015, 2031), 12019, 20190]
+    spark.createDataFrame([(i, "http://x/", "<p>x</p>") for i in ids], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+    return con
+
+
+def test_dating_stage_takes_no_page_number_for_a_year(spark, tmp_path):
+    con = _pages_numbered_like_years(spark, tmp_path)
+    found = sorted(map(tuple, registry.queries()["dating_stage"](spark, str(tmp_path)).collect()))
+    assert found == sorted(con.execute(registry.oracle_sql()["dating_stage"]).fetchall())
+    assert (2019, "fila", None, None, "sem_data") in found and (2022, "aceito", 2020, "url", None) in found
