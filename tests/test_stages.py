@@ -185,3 +185,10 @@ def test_dating_stage_takes_no_page_number_for_a_year(spark, tmp_path):
     found = sorted(map(tuple, registry.queries()["dating_stage"](spark, str(tmp_path)).collect()))
     assert found == sorted(con.execute(registry.oracle_sql()["dating_stage"]).fetchall())
     assert (2019, "fila", None, None, "sem_data") in found and (2022, "aceito", 2020, "url", None) in found
+
+
+def test_dating_queue_takes_no_page_number_for_a_year(spark, tmp_path):
+    con = _pages_numbered_like_years(spark, tmp_path)
+    found = sorted(map(tuple, registry.queries()["dating_queue"](spark, str(tmp_path)).collect()))
+    assert found == sorted(con.execute(registry.oracle_sql()["dating_queue"]).fetchall())
+    assert (102026, "pendente", "sem_data") in found
