@@ -138,6 +138,23 @@ def test_neighbours_are_exact(spark, docs, terms, k):
     assert set(found) == plain_neighbours(weights, k) and len(found) == len(set(found))
 
 
+@pytest.mark.parametrize("docs,terms,k,size", [(60, 30, 3, 2048), (90, 40, 4, 16), (12, 5, 20, 4), (80, 60, 1, 7), (150, 9, 5, 10)])
+def test_neighbours_by_tiles_are_exact(spark, monkeypatch, docs, terms, k, size):
+    """Pairs of blocks, columns in parts, groups of more copies than k, and a document that shares no term."""
+    for name, value in (("PRODUCTS", -1), ("PRODUCTS_A_ROW", 0), ("SIZE", size), ("WIDTH", 7 if docs % 20 else 2048), ("FIRST", 3)):
+        monkeypatch.setattr(neighbours, name, value)
+    monkeypatch.setattr(neighbours, "_by_index", None)
+    r = random.Random(docs + k)
+    weights = []
+    for d in range(docs):
+        own = {int(terms * r.random() ** 2): r.randint(1, 3) for _ in range(r.randint(1, 8))}
+        norm = math.sqrt(sum(w * w for _, w in sorted(own.items())))
+        weights += [(d * 3, f"t{t}", w / norm) for t, w in own.items()]
+    weights += [(3 * docs + 1 + i, t, w) for i in range(9) for d, t, w in weights if d == 30] + [(1, t, w) for d, t, w in weights if d == 33] + [(2, "alone", 1.0)]
+    found = [tuple(x) for x in neighbours.neighbours(spark.createDataFrame(weights, "doc_id long, term string, weight double"), k).collect()]
+    assert set(found) == plain_neighbours(weights, k) and len(found) == len(set(found))
+
+
 def test_neighbours_prune_pairs(spark, monkeypatch):
     """Groups of like documents that share a frequent term with all others: pairs across groups are not summed."""
     texts = [(g * 8 + i, f"comum comum {' '.join(f'g{chr(97 + g)}{chr(97 + w)}' for w in range(12))} s{chr(97 + g)}{chr(97 + i)}") for g in range(12) for i in range(8)]
