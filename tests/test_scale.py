@@ -5,6 +5,7 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,3 +165,27 @@ def test_neighbours_prune_pairs(spark, monkeypatch):
     found = neighbours.neighbours(mining.tfidf(corpus, min_df=1, max_df=1.0), 5).collect()
     assert len(found) == 96 * 5 and all(r.other // 8 == r.doc_id // 8 for r in found)
     assert written[-1].count() == 96 * 7
+
+
+def test_projection_makes_no_row_a_pair_of_terms(spark, monkeypatch):
+    """Vectors are multiplied in the tasks; the coordinates are those of the matrix's two main axes."""
+    monkeypatch.setattr(mining, "BATCH", 8, raising=False)
+    r = random.Random(5)
+    full = np.zeros((50, 37))
+    for d in range(50):
+        for t in range(37):
+            full[d, t] = r.random() if r.random() < (0.7 if t % 3 == d % 3 else 0.1) else 0
+    full /= np.sqrt((full * full).sum(axis=1, keepdims=True))
+    weights = spark.createDataFrame([(d, f"t{t:02}", float(full[d, t])) for d in range(50) for t in range(37) if full[d, t]], "doc_id long, term string, weight double").repartition(3)
+    join = type(weights).join
+
+    def once(own, other, *args):
+        assert not ("doc_id" in own.columns and "doc_id" in other.columns)
+        return join(own, other, *args)
+
+    monkeypatch.setattr(type(weights), "join", once)
+    found = {x.doc_id: (x.x, x.y) for x in mining.project_2d(weights).collect()}
+    axes = np.linalg.svd(full - full.mean(axis=0))[2][:2]
+    want = full @ (axes * np.where(axes[[0, 1], np.abs(axes).argmax(axis=1)] < 0, -1, 1)[:, None]).T
+    assert len(found) == 50 and np.allclose([found[d] for d in range(50)], want, atol=1e-9)
+    assert mining.project_2d(weights.limit(0)).count() == 0
